@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.language import language_code
 from caseloom.llm.tokenizers import TOKENIZER_DIR, counter
+from caseloom.operators.aliases import with_jurisdiction
 from caseloom.operators.skew import hot_keys, salted_join
 from caseloom.sources.tables import c, cut, spread, table
 
@@ -115,9 +116,8 @@ def p4_document_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_review_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usable tokens of summaries by jurisdiction (one name each), language and host."""
-    from caseloom.llm.jurisdictions import with_jurisdiction
-
-    demo = with_jurisdiction(table(spark, sf_dir, "demo_bank_review"), table(spark, sf_dir, "jurisdiction_alias"), "jurisdiction", ["review_id", "english_fact_summary", "narrative_language", "canonical_url"])
+    keep = ["review_id", "english_fact_summary", "narrative_language", "canonical_url"]
+    demo = with_jurisdiction(table(spark, sf_dir, "demo_bank_review"), table(spark, sf_dir, "jurisdiction_alias"), "jurisdiction", keep)
     host = F.lower(F.regexp_extract("canonical_url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1))
     slices = {"jurisdiction": F.col("jurisdiction_name"), "lang": language_code(F.col("narrative_language")), "host": F.nullif(host, F.lit(""))}
     return TokenBudget(demo, "review_id", "english_fact_summary", slices).totals()

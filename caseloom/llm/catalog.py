@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from caseloom.llm import grouped_splits, lexicon, lookalikes, token_budget
+from caseloom.llm import grouped_splits, lexicon, lookalikes, mojibake, token_budget
 
-MODULES = (grouped_splits, lookalikes, token_budget, lexicon)
+MODULES = (grouped_splits, lookalikes, token_budget, lexicon, mojibake)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

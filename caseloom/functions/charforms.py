@@ -38,11 +38,25 @@ def plain(ch: str) -> str:
     return ch
 
 
+class _PlainTable(dict):
+    """For str.translate: code point -> plain(), filled as characters come."""
+
+    def __missing__(self, cp: int) -> str:
+        self[cp] = out = plain(chr(cp))
+        return out
+
+
+_TABLE = _PlainTable()
+
+
 def fold(text: str) -> str:
     """text in plain characters, accents composed; equal for texts that show the same characters."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", "".join(map(plain, unicodedata.normalize("NFC", text))))
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    text = text.translate(_TABLE)
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
 def fold_map(text: str) -> tuple[str, list[int]]:

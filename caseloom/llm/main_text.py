@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from caseloom.sources.tables import c, cut, spread, table
 
 #: A text is the site's if so many pages show it outside of main text, and so many times more than inside.
-SITE_PAGES, SITE_TIMES = 3, 4
+SITE_PAGES, SITE_TIMES = 5, 2
+#: Share of the largest density sum at which an inner node is preferred.
+NEAR_MOST = 0.5
 #: Up to so many site texts (16 bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_TEXTS = 200_000
 
@@ -164,6 +166,11 @@ def _hidden(node: Node) -> bool:
     return "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", "")))
 
 
+def _pane(node: Node) -> bool:
+    """Whether an element wraps panes that tabs show."""
+    return "tab-" in node.attr and bool(re.search(r"\btab-(?:content|pane)\b", node.attrs().get("class", "")))
+
+
 def _of_site(node: Node) -> bool:
     """Whether an element's tag, role or name says that it serves the site."""
     if node.tag in SITE_TAGS:
@@ -175,7 +182,7 @@ def _of_site(node: Node) -> bool:
         return True
     name = f"{a.get('class', '')} {a.get('id', '')}"
     # Wrappers of panes are content, their row of tabs (a list) isn't.
-    if node.tag not in ("ul", "ol") and re.search(r"\btab-(?:content|pane)\b", name):
+    if node.tag not in ("ul", "ol") and _pane(node):
         return False
     return bool(SITE_NAMES.search(name))
 
@@ -220,6 +227,23 @@ def _clean(pieces: list[str]) -> str:
     return " ".join(text.split())
 
 
+def _inset(node: Node) -> bool:
+    """A small container of one to three texts without heading, list or table, set among the blocks of a text."""
+    n, stack = 0, [k for k in node.kids if not isinstance(k, str)]
+    if any(isinstance(k, str) and k.strip() for k in node.kids):
+        return False
+    while stack:
+        x = stack.pop()
+        if x.tag in INLINE:
+            continue
+        if x.tag in PARTS or re.fullmatch("h[1-6]", x.tag):
+            return False
+        inner = [k for k in x.kids if not isinstance(k, str) and k.tag not in INLINE]
+        n += not inner
+        stack += inner
+    return 0 < n <= 3
+
+
 class Page:
     """The blocks of a page: heading, own blocks and the site's; none where it shows no item of its own."""
 
@@ -241,7 +265,9 @@ class Page:
             path.append(x)
             x = x.up
         holders = [x for x in path if x.tag not in INLINE and x.tag not in ("html", "p", "tr", "tbody", "table") and not re.fullmatch("h[1-6]|dt|dd|ul|ol", x.tag)] or [root]
-        main = max(holders, key=lambda x: x.sum)
+        most = max(x.sum for x in holders)
+        # The innermost that gathers about as much: an outer one can win by the site's parts alone.
+        main = next(x for x in holders if x.sum >= NEAR_MOST * most)
         i = path.index(main) if main in path else len(path) - 1
         floor = min((x.d for x in path[i:] if x.tag != "html"), default=0.0)
         self._sort(root, main, blocks[at][1], floor)
@@ -340,7 +366,7 @@ class Page:
                 if x.tag == "hr" and top and begun and main.tag == "body":
                     ended = True
                 has_parts = any(not isinstance(k, str) and k.tag not in INLINE for k in x.kids)
-                if _of_site(x) or (top and has_parts and x.tag not in PARTS and x.d < floor and begun):
+                if _of_site(x) or (has_parts and begun and x.tag not in PARTS and not _pane(x) and (_inset(x) or (top and x.d < floor))):
                     own = False
             stack += [(k, own, False) for k in reversed(x.kids)]
         flush()

@@ -366,7 +366,7 @@ class Page:
                 if x.tag == "hr" and top and begun and main.tag == "body":
                     ended = True
                 has_parts = any(not isinstance(k, str) and k.tag not in INLINE for k in x.kids)
-                if _of_site(x) or (has_parts and begun and x.tag not in PARTS and not _pane(x) and (_inset(x) or (top and x.d < floor))):
+                if _of_site(x) or (has_parts and begun and x.tag not in PARTS and not _pane(x) and (_inset(x) or (top and x.d < floor and not any(not isinstance(k, str) and _pane(k) for k in x.kids)))):
                     own = False
             stack += [(k, own, False) for k in reversed(x.kids)]
         flush()

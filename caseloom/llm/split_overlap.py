@@ -24,8 +24,11 @@ from caseloom.functions.urls import same_page_key, url_host
 from caseloom.sources.tables import c, cut, spread, table
 
 #: Words of a shingle, bands, and hashes of a band. A pair whose shingle sets have Jaccard
-#: similarity j shares a band with probability 1 - (1 - j**ROWS)**BANDS: 0.99 at 0.6.
-SHINGLE, BANDS, ROWS = 3, 20, 3
+#: similarity j shares a band with probability 1 - (1 - j**ROWS)**BANDS: 0.9986 at 0.7.
+SHINGLE, BANDS, ROWS = 3, 24, 4
+#: Of 64 hashes, one bit each is kept; a candidate may differ in so many of them. Similar
+#: texts differ in 32 * (1 - j) on average, unrelated ones in about 31.
+BITS = 21
 #: Share of the longer text's words that stand in the same order in the other.
 SHARE = 0.8
 #: Up to so many needed texts, their ids are broadcast (8 bytes each); beyond, the join shuffles.
@@ -63,8 +66,8 @@ class Signer:
                 met[w] = xxhash.xxh64_intdigest(w)
         return [met[w] for w in words]
 
-    def bands(self, texts: list[list[str]]) -> np.ndarray:
-        """texts x BANDS; every text has a word at least."""
+    def bands(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """texts x BANDS hashes, and a 64-bit sketch of each text; every text has a word at least."""
         flat, n = [], []
         for words in texts:
             h = self._hashes(words)
@@ -85,14 +88,19 @@ class Signer:
             keep[at[at >= 0]] = False
         mixed = mixed[keep]
         starts = np.concatenate([[0], np.cumsum(size - SHINGLE + 1)])[:-1]
-        out = np.empty((len(texts), BANDS), dtype=np.uint64)
+        out, sketch = np.empty((len(texts), BANDS), dtype=np.uint64), np.zeros(len(texts), dtype=np.uint64)
         for band in range(BANDS):
             got = np.full(len(texts), band, dtype=np.uint64)
             for r in range(ROWS):
-                h = mixed * self.mul[band * ROWS + r]
-                got = _mix(got * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h ^ (h >> np.uint64(29)), starts))
+                k = band * ROWS + r
+                h = mixed * self.mul[k]
+                h ^= h >> np.uint64(29)
+                low = _mix(np.minimum.reduceat(h, starts))
+                if k < 64:
+                    sketch |= (low & np.uint64(1)) << np.uint64(k)
+                got = _mix(got * np.uint64(0x9E3779B97F4A7C15) + low)
             out[:, band] = got
-        return out
+        return out, sketch
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -124,7 +132,7 @@ def near_same(a: list[str], b: list[str]) -> tuple[float, float]:
 
 
 def _sign(rows: DataFrame) -> DataFrame:
-    """(__id, __group, __train, __text) -> __id, __group, __train, __class, __bands for texts with a word."""
+    """(__id, __group, __train, __text) -> __id, __group, __train, __class, __sketch, __bands for texts with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
@@ -135,67 +143,68 @@ def _sign(rows: DataFrame) -> DataFrame:
                 if not at:
                     continue
                 kept = [words[i] for i in at]
-                bands = signer.bands(kept).view(np.int64).ravel()
+                bands, sketch = signer.bands(kept)
                 rest = part.take(pa.array(at))
                 offsets = np.arange(0, len(at) * BANDS + 1, BANDS, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         rest.column(0), rest.column(1), rest.column(2),
                         pa.array([hashlib.md5(" ".join(w).encode("utf-8", "surrogatepass")).digest() for w in kept], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands)),
+                        pa.array(sketch.view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.view(np.int64).ravel())),
                     ],
-                    names=["__id", "__group", "__train", "__class", "__bands"],
+                    names=["__id", "__group", "__train", "__class", "__sketch", "__bands"],
                 )
 
-    return rows.mapInArrow(run, "__id long, __group string, __train boolean, __class binary, __bands array<long>")
+    return rows.mapInArrow(run, "__id long, __group string, __train boolean, __class binary, __sketch long, __bands array<long>")
 
 
 def _verify(pairs: DataFrame) -> DataFrame:
-    """(__group, a, b, text_a, text_b) -> __group, a, b, jaccard, share of those near enough."""
+    """(a, b, text_a, text_b) -> a, b, jaccard, share of those near enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [near_same(words_of(x), words_of(y)) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            got = [near_same(words_of(x), words_of(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             at = [i for i, (_, share) in enumerate(got) if share >= SHARE]
             rest = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [rest.column(0), rest.column(1), rest.column(2), pa.array([got[i][0] for i in at], pa.float64()), pa.array([got[i][1] for i in at], pa.float64())],
-                names=["__group", "a", "b", "jaccard", "share"],
+                [rest.column(0), rest.column(1), pa.array([got[i][0] for i in at], pa.float64()), pa.array([got[i][1] for i in at], pa.float64())],
+                names=["a", "b", "jaccard", "share"],
             )
 
-    return pairs.mapInArrow(run, "__group string, a binary, b binary, jaccard double, share double")
+    return pairs.mapInArrow(run, "a binary, b binary, jaccard double, share double")
 
 
 def near_classes(df: DataFrame, id_col: str, group: Column, train: Column, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(members: __id, __group, __train, __class) and (links: __group, a, b, jaccard, share).
+    """(members: __id, __group, __train, __class) and (links: a, b, jaccard, share).
 
-    a is a class with training records, b one with evaluation records; equal classes link
-    with 1.0. Null, blank and wordless texts are in no class.
+    a is a class with training records, b one with evaluation records of one group at
+    least; equal classes link with 1.0. Null, blank and wordless texts are in no class.
     """
     rows = df.select(c(id_col).cast("long").alias("__id"), group.alias("__group"), train.alias("__train"), c(text_col).alias("__text"))
     rows = spread(rows.where(F.col("__text").isNotNull() & F.col("__train").isNotNull() & F.col("__group").isNotNull()))
     signed = cut(_sign(rows), "signed")
     members = signed.select("__id", "__group", "__train", "__class")
-    # One row per class and side: copies are collapsed before any pair is made.
-    sides = signed.groupBy("__group", "__class", "__train").agg(F.min("__id").alias("__rep"), F.any_value("__bands").alias("__bands"))
-
-    def banded(train: bool, name: str) -> DataFrame:
-        one = sides.where(F.col("__train") == train).select("__group", F.col("__class").alias(name), F.explode("__bands").alias("__band"))
-        return one.select(F.xxhash64("__group", "__band").alias("__key"), "__group", name)
-
-    t, e = banded(True, "a"), banded(False, "b").withColumnRenamed("__group", "__g")
-    found = t.join(e, "__key").where((F.col("__group") == F.col("__g")) & (F.col("a") != F.col("b"))).select("__group", "a", "b").distinct()
-    found = cut(found, "candidates")
-    need = found.select(F.col("a").alias("__class")).unionByName(found.select(F.col("b").alias("__class"))).distinct()
-    reps = cut(members.groupBy("__class").agg(F.min("__id").alias("__id")).join(need, "__class", "left_semi"), "representatives")
+    # One row per class, group and side: copies are collapsed before any pair is made.
+    sides = signed.groupBy("__group", "__class", "__train").agg(F.any_value("__sketch").alias("__sketch"), F.any_value("__bands").alias("__bands"))
+
+    def banded(train: bool, side: str) -> DataFrame:
+        # A class travels as a 64-bit hash; classes that share one are told apart by verification.
+        one = sides.where(F.col("__train") == train).select("__group", F.xxhash64("__class").alias(f"c{side}"), F.col("__sketch").alias(f"s{side}"), F.explode("__bands").alias("__band"))
+        return one.select(F.xxhash64("__group", "__band").alias("__key"), f"c{side}", f"s{side}")
+
+    found = banded(True, "a").join(banded(False, "b"), "__key").where((F.col("ca") != F.col("cb")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= BITS))
+    found = cut(found.select("ca", "cb").distinct(), "candidates")
+    need = found.select(F.col("ca").alias("__cid")).unionByName(found.select(F.col("cb").alias("__cid"))).distinct()
+    classes = members.groupBy("__class").agg(F.min("__id").alias("__id")).withColumn("__cid", F.xxhash64("__class"))
+    reps = cut(classes.join(need, "__cid", "left_semi"), "representatives")
     few = reps.count() <= BROADCAST_IDS
-    texts = rows.select("__id", "__text").join(F.broadcast(reps) if few else reps, "__id").select("__class", "__text")
-    texts = cut(texts, "candidate-texts")
-    with_a = found.join(texts.select(F.col("__class").alias("a"), F.col("__text").alias("text_a")), "a")
-    pairs = with_a.join(texts.select(F.col("__class").alias("b"), F.col("__text").alias("text_b")), "b").select("__group", "a", "b", "text_a", "text_b")
-    both = sides.groupBy("__group", "__class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 2)
-    same = both.select("__group", F.col("__class").alias("a"), F.col("__class").alias("b"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("share"))
-    return members, _verify(spread(pairs)).unionByName(same)
+    texts = cut(rows.select("__id", "__text").join(F.broadcast(reps) if few else reps, "__id").select("__cid", "__class", "__text"), "candidate-texts")
+    with_a = found.join(texts.select(F.col("__cid").alias("ca"), F.col("__class").alias("a"), F.col("__text").alias("text_a")), "ca")
+    pairs = with_a.join(texts.select(F.col("__cid").alias("cb"), F.col("__class").alias("b"), F.col("__text").alias("text_b")), "cb")
+    both = members.groupBy("__class").agg(F.min("__train").alias("x"), F.max("__train").alias("y")).where(F.col("x") != F.col("y"))
+    same = both.select(F.col("__class").alias("a"), F.col("__class").alias("b"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("share"))
+    return members, _verify(spread(pairs.select("a", "b", "text_a", "text_b"))).unionByName(same)
 
 
 def cross_split_pairs(df: DataFrame, id_col: str, group: Column, split: Column, text_col: str, url_col: str) -> DataFrame:
@@ -211,7 +220,7 @@ def cross_split_pairs(df: DataFrame, id_col: str, group: Column, split: Column,
     members, links = near_classes(df, id_col, group, train, text_col)
     t = members.where("__train").select(F.col("__id").alias("train_id"), "__group", F.col("__class").alias("a"))
     e = members.where(~F.col("__train")).select(F.col("__id").alias("eval_id"), "__group", F.col("__class").alias("b"))
-    by_text = links.join(t, ["__group", "a"]).join(e, ["__group", "b"])
+    by_text = links.join(t, "a").join(e, ["__group", "b"])
     by_text = by_text.select("train_id", "eval_id", F.lit(True).alias("by_text"), F.lit(False).alias("by_url"), "jaccard")
     pages = df.select(c(id_col).cast("long").alias("__id"), group.alias("__group"), train.alias("__train"), same_page_key(c(url_col)).alias("__page"))
     pages = pages.where(F.col("__page").isNotNull() & F.col("__train").isNotNull())

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from caseloom.plans import packed
+from caseloom.plans import metrics, packed
 
-MODULES = (packed,)
+MODULES = (metrics, packed)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
-FLAGSHIP = "p5_found"
+FLAGSHIP = "a1_method_metrics"

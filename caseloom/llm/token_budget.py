@@ -124,7 +124,7 @@ def p4_review_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_records": p4_records, "p4_document_totals": p4_document_totals, "p4_review_totals": p4_review_totals}
-_WORDS = r"len(list_filter(regexp_split_to_array(english_fact_summary, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), x -> x <> ''))"
+_WORDS = r"len(list_filter(regexp_split_to_array(english_fact_summary, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> ''))"
 ORACLE = {
     "p4_found": f"""
         WITH w AS (SELECT review_id, modernbert_summary_tokens AS t, {_WORDS} AS n FROM demo_bank_review WHERE english_fact_summary IS NOT NULL)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def same_page_key(url: Column) -> Column:
@@ -19,3 +23,53 @@ def same_page_key(url: Column) -> Column:
 def url_host(url: Column) -> Column:
     """The host in lower case without port; null where there is none."""
     return F.nullif(F.lower(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
+
+
+@F.pandas_udf(StringType())
+def normal_escapes(paths: pd.Series) -> pd.Series:
+    """Percent escapes in one form: unreserved characters decoded, hex digits upper case, a stray % escaped."""
+    unreserved = re.compile(r"[A-Za-z0-9._~-]")
+
+    def one(m: re.Match) -> str:
+        if m[1] is None:
+            return "%25"
+        ch = chr(int(m[1], 16))
+        return ch if unreserved.fullmatch(ch) else "%" + m[1].upper()
+
+    return paths.map(lambda p: p if not isinstance(p, str) or "%" not in p else re.sub(r"%(?:([0-9A-Fa-f]{2}))?", one, p))
+
+
+def url_flags(url: Column) -> Column:
+    """What is odd about a URL, sorted: control characters, backslashes, dot segments, malformed escapes, other schemes, no page."""
+    u = F.trim(url)
+    path = F.regexp_replace(F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*", ""), r"[?#].*$", "")
+    tests = {
+        "BACKSLASH": u.contains("\\"),
+        "CONTROL_CHARACTER": u.rlike(r"[\x00-\x1f\x7f]"),
+        "DOT_SEGMENT": path.rlike(r"(^|/)\.{1,2}(/|$)"),
+        "MALFORMED_ESCAPE": path.rlike(r"%(?![0-9A-Fa-f]{2})"),
+        "NO_HTML_PAGE": ~F.lower(path).endswith(".html"),
+        "OTHER_SCHEME": ~F.lower(u).rlike(r"^https?://"),
+    }
+    found = F.array(*[F.when(t, F.lit(name)) for name, t in tests.items()])
+    return F.when(u.isNull() | (u == ""), F.array(F.lit("MISSING"))).otherwise(F.filter(found, lambda x: x.isNotNull()))
+
+
+def page_identity(url: Column) -> Column:
+    """Host and path of a web page: https without port or with its own, slashes collapsed, the locale step
+    and the closing slash dropped, query and fragment aside; null for anything else."""
+    u = F.regexp_replace(F.trim(url), r"[?#].*$", "")
+    host = F.lower(F.regexp_extract(u, r"^(?i:https)://([^/:@]+)(?::443)?(?:/|$)", 1))
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(u, r"^[A-Za-z]+://[^/]+(.*)$", 1), r"\\", "/"), r"/{2,}", "/")
+    path = F.regexp_replace(path, r"^/cld/(?i:ar|zh|en|fr|ru|es)/case-law-doc/", "/cld/case-law-doc/")
+    return F.when(host != "", F.concat(host, F.regexp_replace(path, r"/+$", "")))
+
+
+def url_relation(actual: Column, expected: Column) -> Column:
+    """MISSING, EXACT_MATCH, CANONICAL_EQUIVALENT or MISMATCH."""
+    return (
+        F.when(F.coalesce(F.trim(actual), F.lit("")) == "", F.lit("MISSING"))
+        .when(actual == expected, F.lit("EXACT_MATCH"))
+        .when(page_identity(actual) == page_identity(expected), F.lit("CANONICAL_EQUIVALENT"))
+        .otherwise(F.lit("MISMATCH"))
+    )

@@ -324,7 +324,7 @@ QUERIES = {
 }
 
 _SET = "coalesce(list_distinct(list_filter({}, lambda x: x IS NOT NULL)), [])"
-_P = f"""p AS (SELECT record_id, evaluation, method, prediction_variant AS variant, fold, jurisdiction, search_rank, case_id, lower(trim(split)) AS role,
+SQL_PREDICTIONS = _P = f"""p AS (SELECT record_id, evaluation, method, prediction_variant AS variant, fold, jurisdiction, search_rank, case_id, lower(trim(split)) AS role,
       {_SET.format("silver_reference_labels")} AS ref, {_SET.format("predicted_labels")} AS pred FROM prediction_record),
   t AS (SELECT *, CAST(len(list_intersect(ref, pred)) AS BIGINT) AS tp, CAST(len(ref) AS BIGINT) AS nr, CAST(len(pred) AS BIGINT) AS np FROM p WHERE role = 'test')"""
 _F1 = "CASE WHEN 2 * {tp} + {fp} + {fn} = 0 THEN 0.0 ELSE 2.0 * {tp} / (2 * {tp} + {fp} + {fn}) END"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from caseloom.plans import metrics, packed, relations, texts
+from caseloom.plans import annotations, metrics, models, packed, relations, texts
 
-MODULES = (metrics, texts, relations, packed)
+MODULES = (metrics, texts, relations, models, annotations, packed)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
 FLAGSHIP = "a1_method_metrics"

@@ -11,7 +11,6 @@ far more often than inside (consent, newsletters, sharing) are taken out.
 from __future__ import annotations
 
 import hashlib
-import html
 import math
 import re
 from collections.abc import Iterator
@@ -20,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseloom.functions.html_tree import INLINE, PARTS, Node, blocks, clean, decode, hidden, parse
 from caseloom.sources.tables import c, cut, spread, table
 
 #: A text is the site's if so many pages show it outside of main text, and so many times more than inside.
@@ -29,11 +29,7 @@ NEAR_MOST = 0.5
 #: Up to so many site texts (16 bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_TEXTS = 200_000
 
-# Tags that don't interrupt a text, tags without content or end.
-INLINE = {"a", "b", "i", "em", "strong", "span", "font", "br"}
-VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
-RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noframes"}
-UNSEEN_TAGS = {"script", "style", "noscript", "template", "head", "iframe", "object", "select", "svg", "textarea", "title", "button"}
+# Tags and roles that serve a site.
 SITE_TAGS = {"nav", "aside", "footer", "form", "dialog", "menu"}
 SITE_ROLES = {"navigation", "complementary", "contentinfo", "dialog", "banner", "search", "menu", "menubar", "tablist", "toolbar", "alertdialog"}
 # Fixed value: name parts of classes and ids that stand for parts of a site.
@@ -41,129 +37,6 @@ SITE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|menu|crumbs?|breadcrumbs?|share|sharing|social|suggest\w*|relat\w*|more|side|sidebar|promo\w*|banner|cookies?|gdpr|consent|modal|popup|"
     r"newsletter|foot|footer|subscribe|advert\w*|toolbar|pager|pagination|tabs?)(?:$|[\s_-])|[a-z]related\b|(?:^|[\s-])inline-note\b", re.I
 )
-# A start tag closes open ones of these kinds, up to the nearest of the walls.
-CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "option": ({"option"}, {"select"}),
-}
-ENDS_P = {
-    "p", "div", "ul", "ol", "dl", "table", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "section", "article", "main", "nav", "aside", "header", "footer",
-    "form", "pre", "address", "figure", "fieldset", "center", "details",
-}
-PARTS = {"table", "tbody", "thead", "tfoot", "tr", "td", "th", "dl", "dt", "dd", "ul", "ol", "li", "blockquote", "pre", "figure", "center"}
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
-_ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_CHARSET = re.compile(rb"""<meta[^>]+charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.I)
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-
-
-class Node:
-    """An element; kids are elements and texts in order."""
-
-    __slots__ = ("attr", "c", "d", "kids", "lc", "lt", "sum", "t", "tag", "up")
-
-    def __init__(self, tag: str, attr: str, up: Node | None):
-        self.tag, self.attr, self.up, self.kids = tag, attr, up, []
-        self.c = self.t = self.lc = self.lt = 0
-        self.d = self.sum = 0.0
-
-    def attrs(self) -> dict[str, str]:
-        return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attr)} if self.attr.strip() else {}
-
-
-def decode(body: bytes) -> str:
-    """By the encoding that the page declares, UTF-8 where it declares none and is, else Windows-1252."""
-    if body[:3] == b"\xef\xbb\xbf":
-        return body[3:].decode("utf-8", "replace")
-    m = _CHARSET.search(body[:4096])
-    name = m[1].decode("ascii").lower() if m else ""
-    if name in ("iso-8859-1", "latin1", "latin-1", "us-ascii", "iso8859-1", "windows-1252"):
-        name = "cp1252"
-    try:
-        return body.decode(name, "replace") if name else body.decode("utf-8")
-    except (LookupError, UnicodeDecodeError):
-        return body.decode("cp1252", "replace")
-
-
-def parse(text: str) -> tuple[Node, str]:
-    """(tree, text of the title tag). Open and crossed tags are closed as browsers close them."""
-    root = Node("#root", "", None)
-    now, title, at, n = root, "", 0, len(text)
-    match = _TOKEN.match
-    while at < n:
-        m = match(text, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                now.kids.append(piece)
-            continue
-        tag = tag.lower()
-        if m[1]:
-            x = now
-            same = {"ul", "ol"} if tag in ("ul", "ol") else {tag}
-            wall = {"td", "th", "table"} if tag not in ("table", "tr", "td", "th", "tbody", "body", "html") else {"table"} if tag in ("tr", "td", "th") else set()
-            if re.fullmatch("h[1-6]", tag):
-                same = {"h1", "h2", "h3", "h4", "h5", "h6"}
-            while x is not root and x.tag not in same:
-                if x.tag in wall:
-                    x = root
-                    break
-                x = x.up
-            if x is not root and tag not in ("body", "html"):
-                now = x.up
-            continue
-        if tag in ENDS_P:
-            x = now
-            while x is not root and (x.tag in INLINE or x.tag == "p"):
-                if x.tag == "p":
-                    now = x.up
-                    break
-                x = x.up
-        if tag in CLOSES:
-            kinds, walls = CLOSES[tag]
-            x, last = now, None
-            while x is not root and x.tag not in walls:
-                if x.tag in kinds:
-                    last = x
-                    if tag == "li":
-                        break
-                x = x.up
-            if last is not None:
-                now = last.up
-        if tag in ("html", "body", "head"):
-            continue_with = Node(tag, m[3], now)
-            now.kids.append(continue_with)
-            if tag == "body":
-                # The head ends here even where its end tag is missing.
-                while now is not root and now.tag != "html":
-                    now = now.up
-                continue_with.up = now
-                if now.kids and now.kids[-1] is not continue_with:
-                    now.kids.append(continue_with)
-            now = continue_with
-            continue
-        node = Node(tag, m[3], now)
-        now.kids.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at)
-            if tag == "title" and not title:
-                title = text[at : end.start() if end else n]
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            now = node
-    return root, " ".join(html.unescape(title).split())
-
-
-def _hidden(node: Node) -> bool:
-    if node.tag in UNSEEN_TAGS:
-        return True
-    if not node.attr or not ("hid" in (low := node.attr.lower()) or "none" in low):
-        return False
-    a = node.attrs()
-    return "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", "")))
 
 
 def _pane(node: Node) -> bool:
@@ -196,7 +69,7 @@ def measure(root: Node) -> None:
         order.append(x)
         stack += [k for k in x.kids if not isinstance(k, str)]
     for x in reversed(order):
-        if _hidden(x):
+        if hidden(x):
             continue
         for k in x.kids:
             if isinstance(k, str):
@@ -220,13 +93,6 @@ def measure(root: Node) -> None:
         x.sum = sum(k.d for k in x.kids if not isinstance(k, str))
 
 
-def _clean(pieces: list[str]) -> str:
-    text = "".join(pieces)
-    if "&" in text:
-        text = html.unescape(text)
-    return " ".join(text.split())
-
-
 def _inset(node: Node) -> bool:
     """A small container of one to three texts without heading, list or table, set among the blocks of a text."""
     n, stack = 0, [k for k in node.kids if not isinstance(k, str)]
@@ -252,15 +118,15 @@ class Page:
         self.heading: str | None = None
         self.own: list[str] = []
         self.site: list[str] = []
-        blocks = self._blocks(root)
-        at = self._find_heading(blocks)
+        found = blocks(root)
+        at = self._find_heading(found)
         if at is None:
-            self.site = [b for b, _ in blocks]
+            self.site = [b for b, _ in found]
             return
-        self.heading = blocks[at][0]
+        self.heading = found[at][0]
         measure(root)
         path = []
-        x = blocks[at][1]
+        x = found[at][1]
         while x is not root and x is not None:
             path.append(x)
             x = x.up
@@ -270,50 +136,17 @@ class Page:
         main = next(x for x in holders if x.sum >= NEAR_MOST * most)
         i = path.index(main) if main in path else len(path) - 1
         floor = min((x.d for x in path[i:] if x.tag != "html"), default=0.0)
-        self._sort(root, main, blocks[at][1], floor)
-
-    @staticmethod
-    def _blocks(root: Node) -> list[tuple[str, Node]]:
-        """(text, the element it is in) in order; iterative, as trees may be deep."""
-        out: list[tuple[str, Node]] = []
-        run: list[str] = []
-        where = root
-
-        def flush() -> None:
-            if run and (text := _clean(run)):
-                out.append((text, where))
-            run.clear()
-
-        stack: list[tuple[object, Node]] = [(root, root)]
-        while stack:
-            x, holder = stack.pop()
-            if isinstance(x, str):
-                if not run:
-                    where = holder
-                run.append(x)
-            elif x is None:
-                flush()
-            elif x.tag == "br":
-                run.append(" ")
-            elif not _hidden(x):
-                if x.tag not in INLINE:
-                    flush()
-                    stack.append((None, holder))
-                stack += [(k, x) for k in reversed(x.kids)]
-            elif x.tag not in INLINE:
-                flush()
-        flush()
-        return out
+        self._sort(root, main, found[at][1], floor)
 
-    def _find_heading(self, blocks: list[tuple[str, Node]]) -> int | None:
+    def _find_heading(self, found: list[tuple[str, Node]]) -> int | None:
         """The block that the page's title names: a proper beginning of it, before a separator and the site's name."""
         best, title = None, self.title
-        for i, (text, node) in enumerate(blocks):
+        for i, (text, node) in enumerate(found):
             if len(text) < len(title) and title.startswith(text) and re.match(r"\s*[|–—:·»/-]\s*\S", title[len(text) :]):
                 x = node
                 while x is not None and not _of_site(x):
                     x = x.up
-                if x is None and (best is None or len(text) > len(blocks[best][0])):
+                if x is None and (best is None or len(text) > len(found[best][0])):
                     best = i
         return best
 
@@ -326,7 +159,7 @@ class Page:
 
         def flush() -> None:
             nonlocal begun
-            if run and (text := _clean(run)):
+            if run and (text := clean(run)):
                 if run_own and not begun and text == self.heading:
                     begun = True
                     self.own.append(text)
@@ -350,7 +183,7 @@ class Page:
             if x.tag == "br":
                 run.append(" ")
                 continue
-            if _hidden(x):
+            if hidden(x):
                 if x.tag not in INLINE:
                     flush()
                 continue
@@ -404,22 +237,22 @@ def main_blocks(pages: DataFrame, id_col: str, body_col: str) -> DataFrame:
     Null, empty and other bodies that show no item of their own have none; equal pages
     have equal blocks; the site's texts are those of all pages given.
     """
-    blocks = cut(page_blocks(pages, id_col, body_col), "blocks")
-    shown = blocks.groupBy("__md5").agg(
+    rows = cut(page_blocks(pages, id_col, body_col), "blocks")
+    shown = rows.groupBy("__md5").agg(
         F.sum((F.col("__own") == 0).cast("long")).alias("n_out"), F.sum((F.col("__own") > 0).cast("long")).alias("n_in")
     )
     sites = cut(shown.where((F.col("n_out") >= SITE_PAGES) & (F.col("n_out") >= SITE_TIMES * F.col("n_in"))).select("__md5"), "site-texts")
     few = sites.count() <= BROADCAST_TEXTS
-    own = blocks.where(F.col("__own") == 1).join(F.broadcast(sites) if few else sites, "__md5", "left_anti").select("__page", "__own", "__md5")
-    return own.unionByName(blocks.where(F.col("__own") == 2).select("__page", "__own", "__md5"))
+    own = rows.where(F.col("__own") == 1).join(F.broadcast(sites) if few else sites, "__md5", "left_anti").select("__page", "__own", "__md5")
+    return own.unionByName(rows.where(F.col("__own") == 2).select("__page", "__own", "__md5"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes of the blocks of each page's own case, and of its bare title where one is recorded."""
-    blocks = main_blocks(table(spark, sf_dir, "http_outcome"), "page_id", "body")
-    body = blocks.select(F.col("__page").alias("page_id"), F.lit("body").alias("piece"), F.lower(F.hex("__md5")).alias("block_md5"))
+    found = main_blocks(table(spark, sf_dir, "http_outcome"), "page_id", "body")
+    body = found.select(F.col("__page").alias("page_id"), F.lit("body").alias("piece"), F.lower(F.hex("__md5")).alias("block_md5"))
     titled = table(spark, sf_dir, "page_validation").where(F.col("case_title").isNotNull()).select("page_id").distinct()
-    heads = blocks.where(F.col("__own") == 2).select(F.col("__page").alias("page_id"), "__md5").join(titled, "page_id", "left_semi")
+    heads = found.where(F.col("__own") == 2).select(F.col("__page").alias("page_id"), "__md5").join(titled, "page_id", "left_semi")
     return body.unionByName(heads.select("page_id", F.lit("title").alias("piece"), F.lower(F.hex("__md5")).alias("block_md5")))
 
 

@@ -33,8 +33,11 @@ def plain(ch: str) -> str:
         return ""
     if kind == "Zs" or ch in "\t\n\r\x0b\x0c\x85\u2028\u2029":
         return " "
-    if unicodedata.decomposition(ch).startswith(("<wide>", "<narrow>")):
+    parts = unicodedata.decomposition(ch)
+    if parts.startswith(("<wide>", "<narrow>")):
         return plain(unicodedata.normalize("NFKC", ch)[0])
+    if parts and parts[0] != "<" and (apart := unicodedata.normalize("NFD", ch))[0] in LOOKALIKE:
+        return unicodedata.normalize("NFC", LOOKALIKE[apart[0]] + apart[1:])
     return ch
 
 

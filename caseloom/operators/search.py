@@ -16,10 +16,10 @@ def balanced_partition(sizes: dict[str, Sequence[int]], parts: int = 3) -> dict[
     """
     if len(sizes) > 5000:
         raise ValueError("a partition search takes 5,000 groups at most")
+    if not sizes:
+        return {}
     names = sorted(sizes, key=lambda g: (-sizes[g][0], g))
     x = np.array([sizes[g] for g in names], dtype=float).reshape(len(names), -1)
-    if not len(names):
-        return {}
     want = x.sum(axis=0) / parts
     scale = np.maximum(want, 1.0)
     part = np.zeros(len(names), dtype=int)

@@ -24,7 +24,8 @@ from caseloom.sources.tables import c, spread, table
 
 #: Size of the count table: pairs of characters are hashed into so many cells.
 CELLS = 1 << 18
-#: A round trip must lower the cost by this (natural log units); one that recodes a line as a whole, by this share, too.
+#: A round trip must lower the cost by this (natural log units); one that recodes a line as a whole, by this share, too,
+#: and the mean cost of a pair.
 DROP, DROP_SHARE = 4.0, 0.12
 #: A pair with a cost over this is rare; only lines with one are tried with one-byte encodings.
 RARE = 8.0
@@ -40,7 +41,7 @@ READ_WRITTEN = (
     ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("cp1251", "cp1252"), ("cp1251", "gb18030"), ("cp1251", "mac_cyrillic"), ("mac_cyrillic", "cp1251"),
     ("koi8-r", "cp1252"), ("cp866", "koi8-r"), ("cp1250", "cp1252"), ("cp1250", "cp1251"), ("iso8859-2", "cp1252"),
     ("mac_roman", "cp1252"), ("mac_roman", "cp1251"), ("mac_roman", "gb18030"), ("mac_roman", "iso8859-16"), ("cp437", "cp1252"), ("cp437", "cp1251"), ("cp437", "gb18030"),
-    ("cp850", "cp1252"), ("cp850", "cp1251"), ("cp850", "gb18030"), ("cp437", "iso8859-16"), ("cp850", "iso8859-16"), ("gb18030", "utf-8"), ("big5", "utf-8"), ("shift_jis", "utf-8"), ("gb18030", "cp1251"), ("gb18030", "big5"),
+    ("cp850", "cp1252"), ("cp850", "cp1251"), ("cp850", "gb18030"), ("cp437", "iso8859-16"), ("cp850", "iso8859-16"), ("gb18030", "utf-8"), ("big5", "utf-8"), ("shift_jis", "utf-8"), ("gb18030", "cp1251"),
 )
 
 
@@ -167,6 +168,16 @@ def _stretch_pattern(name: str) -> re.Pattern:
     return re.compile("[" + "".join(re.escape(x) for x in _one_byte(name)[1]) + "]+")
 
 
+#: Neighbours that words don't have: letters of two scripts, or a letter and a sign of a far block.
+_FAR = "\u0530-\u1dff\u2800-\ud7ff"
+_TORN = re.compile(f"(?=[A-Za-zÀ-ɏͰ-Ͽ][Ѐ-ԯ{_FAR}]|[Ѐ-ԯ][A-Za-zÀ-ɏͰ-Ͽ{_FAR}]|[{_FAR}][A-Za-zÀ-ԯ])")
+
+
+def _tears(old: str, new: str) -> bool:
+    """Whether a round trip puts letters of different scripts together more often than one time in four characters that it saves."""
+    return 4 * (len(_TORN.findall(new)) - len(_TORN.findall(old))) > len(old) - len(new)
+
+
 class Repairer:
     """Round-trip repair of texts under a cost."""
 
@@ -186,9 +197,10 @@ class Repairer:
                 return part
             raw = _encode(part, read)
             try:
-                return part if raw is None else raw.decode(written)
+                new = part if raw is None else raw.decode(written)
             except UnicodeDecodeError:
                 return part
+            return new
 
         return _stretch_pattern(read).sub(stretch, line)
 
@@ -215,8 +227,9 @@ class Repairer:
             if not trips:
                 break
             best, changed, step = 0.0, {}, ""
-            cost = {i: self.costs(parts[i]) for i in live}
-            odd = {i for i in live if float(np.maximum(self.costs.each(parts[i]) - RARE, 0).sum()) >= DROP}
+            each = {i: self.costs.each(parts[i]) for i in live}
+            cost, mean = {i: float(x.sum()) for i, x in each.items()}, {i: float(x.mean()) for i, x in each.items()}
+            odd = {i for i, x in each.items() if float(np.maximum(x - RARE, 0).sum()) >= DROP}
             for read, written in trips:
                 utf8 = written == "utf-8" and read not in WIDE
                 got, total = {}, 0.0
@@ -225,8 +238,11 @@ class Repairer:
                         continue
                     new = _from_utf8(parts[i], read) if utf8 else self._back(parts[i], read, written)
                     if new != parts[i]:
-                        drop = cost[i] - self.costs(new)
-                        if drop >= DROP and (utf8 or drop >= DROP_SHARE * cost[i]):
+                        after = self.costs.each(new)
+                        drop = cost[i] - float(after.sum())
+                        # Not only shorter: pair by pair a line recoded as a whole must be likelier.
+                        now = float(after.mean()) if len(after) else 0.0
+                        if drop >= DROP and (utf8 or (drop >= DROP_SHARE * cost[i] and now < mean[i])) and not _tears(parts[i], new):
                             got[i] = new
                             total += drop
                 if total > best:

@@ -23,6 +23,8 @@ from caseloom.sources.tables import c, cut, table
 
 #: A leaf's seeded order is cut into so many bins; only the bin in which its prefix ends is sorted.
 BINS = 4096
+#: Stands for a null name within the tree.
+NO_NAME = "\0"
 #: Bound of the tree, which the driver budgets: leaves, not texts.
 MAX_LEAVES = 500_000
 
@@ -84,7 +86,7 @@ class Mix:
     records: id, n_tokens and the levels (first the source), a row per text; targets: the
     first level's name, its share and the most copies of a text. Sources without target
     aren't used; targets without texts are short, and their share goes to the others by
-    weight. Null names are the level 'none'. Texts without tokens aren't used. Copies under
+    weight. Texts of a null source aren't used; null names of other levels are a leaf of their own. Texts without tokens aren't used. Copies under
     several ids are several texts. total is by default the tokens of all texts of the
     target's sources. Repeated targets of a source add up, with the largest number of copies.
     """
@@ -100,7 +102,8 @@ class Mix:
         names = [f"__l{i}" for i in range(len(levels))]
         self.goal = {r["s"]: (r["w"] or 0.0, r["r"] if r["r"] is not None else 1) for r in rows}
         used = records.where(c(tokens_col) > 0).select(
-            c(id_col).alias("__id"), c(tokens_col).cast("long").alias("__n"), *[F.coalesce(c(x).cast("string"), F.lit("none")).alias(n) for x, n in zip(levels, names, strict=True)]
+            c(id_col).alias("__id"), c(tokens_col).cast("long").alias("__n"), 
+            *[F.coalesce(c(x).cast("string"), F.lit(None if i == 0 else NO_NAME)).alias(n) for i, (x, n) in enumerate(zip(levels, names, strict=True))],
         )
         goal_df = spark.createDataFrame([(s, float(w), int(r)) for s, (w, r) in self.goal.items()], "__l0 string, __share double, __most int")
         used = used.join(F.broadcast(goal_df), "__l0")
@@ -141,7 +144,7 @@ class Mix:
 
     def texts(self) -> DataFrame:
         """id, the levels, n_tokens and copies of every text taken."""
-        return self.chosen.select(F.col("__id").alias(self.id_col), *[F.col(n).alias(x) for n, x in zip(self.names, self.levels, strict=True)], F.col("__n").alias("n_tokens"), "copies")
+        return self.chosen.select(F.col("__id").alias(self.id_col), *[F.nullif(F.col(n), F.lit(NO_NAME)).alias(x) for n, x in zip(self.names, self.levels, strict=True)], F.col("__n").alias("n_tokens"), "copies")
 
     def shares(self) -> DataFrame:
         """Per source with a target: the target, what there is, what was taken, and the share reached."""

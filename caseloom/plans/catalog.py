@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from caseloom.plans import annotations, metrics, models, packed, pages, partitions, relations, requests, texts
+from caseloom.plans import annotations, extras, metrics, models, packed, pages, partitions, relations, requests, texts
 
-MODULES = (metrics, texts, relations, models, annotations, pages, partitions, requests, packed)
+MODULES = (metrics, texts, relations, models, annotations, pages, partitions, requests, extras, packed)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
 FLAGSHIP = "a1_method_metrics"

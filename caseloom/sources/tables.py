@@ -24,7 +24,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Give Python stages at least one task a core.
 
     Inputs that already have as many partitions as cores, which is every input of
-    some size, are left alone, so that no shuffle is added at scale.
+    some size, are left alone, so that no shuffle is added at scale. For scans only:
+    behind a shuffle, asking for the number of partitions would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:

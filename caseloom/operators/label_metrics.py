@@ -58,8 +58,11 @@ def label_facts(df: DataFrame, keys: Sequence[str], ref: str = "ref", pred: str
     )
 
 
-def per_label(df: DataFrame, keys: Sequence[str], ontology: DataFrame, ref: str = "ref", pred: str = "pred") -> DataFrame:
-    """keys x every label of the ontology (a small dimension): support, predicted, tp, fp, fn, precision, recall, f1, status."""
+def per_label(df: DataFrame, keys: Sequence[str], ontology: DataFrame, ref: str = "ref", pred: str = "pred", groups: DataFrame | None = None) -> DataFrame:
+    """keys x every label of the ontology (a small dimension): support, predicted, tp, fp, fn, precision, recall, f1, status.
+
+    groups: the distinct keys, where an aggregation has them already; else they are read from df.
+    """
     facts = label_facts(df, keys, ref, pred)
     counts = facts.groupBy(*keys, "label_id").agg(
         F.count_if(F.col("in_ref")).alias("support"), F.count_if(F.col("in_pred")).alias("predicted"), F.count_if(F.col("in_ref") & F.col("in_pred")).alias("tp")
@@ -67,7 +70,7 @@ def per_label(df: DataFrame, keys: Sequence[str], ontology: DataFrame, ref: str
     # The grid holds a row per group and label, however few labels a group shows.
     labels = small_rows(ontology.select("label_ord", "label_id", "family"))
     each = F.array(*[F.struct(F.lit(r[0]).alias("label_ord"), F.lit(r[1]).alias("label_id"), F.lit(r[2]).alias("family")) for r in labels])
-    grid = df.select(*keys).distinct().select(*keys, F.inline(each))
+    grid = (df.select(*keys).distinct() if groups is None else groups).select(*keys, F.inline(each))
     got = grid.alias("g").join(counts.alias("c"), [F.col(f"g.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "label_id")], "left")
     got = got.select(*[F.col(f"g.{k}") for k in (*keys, "label_ord", "label_id", "family")], *[F.coalesce(f"c.{x}", F.lit(0)).alias(x) for x in ("support", "predicted", "tp")])
     got = got.withColumns({"fp": F.col("predicted") - F.col("tp"), "fn": F.col("support") - F.col("tp")})

@@ -42,26 +42,29 @@ def frozen_labels(cases: DataFrame) -> DataFrame:
     return cases.select("evaluation", F.explode("ref").alias("label_id")).distinct()
 
 
-def macro(cases: DataFrame, keys: list[str], onto: DataFrame) -> DataFrame:
-    """keys, macro_f1 over the frozen labels (a frozen label without support in a group adds 0), their number."""
-    labels = M.per_label(cases, keys, onto)
-    return (
-        labels.join(F.broadcast(frozen_labels(cases)), ["evaluation", "label_id"], "left_semi")
-        .groupBy(*keys)
-        .agg(F.avg("f1_or_zero").alias("macro_f1"), F.count(F.lit(1)).alias("macro_label_count"))
-    )
-
-
 def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """a joined to b on keys, where nulls are equal."""
     b = b.select(*[F.col(k).alias(f"__{k}") for k in keys], *[x for x in b.columns if x not in keys])
     return a.join(b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).drop(*[f"__{k}" for k in keys])
 
 
+def scored(cases: DataFrame, keys: list[str], onto: DataFrame) -> DataFrame:
+    """Case metrics with macro_f1 and macro_label_count by keys (evaluation among them).
+
+    Macro scores are over the labels that the evaluation's pooled reference supports; one
+    without support in a group adds 0. Cases are read twice: for sets and for labels.
+    The groups of the first aggregation make the grid of the second.
+    """
+    base = M.case_metrics(cases, keys)
+    labels = M.per_label(cases, keys, onto, groups=base.select(*keys))
+    pooled = F.max("support").over(Window.partitionBy("evaluation", "label_id"))  # a row per group and label
+    macro = labels.withColumn("pooled", pooled).where("pooled > 0").groupBy(*keys).agg(F.avg("f1_or_zero").alias("macro_f1"), F.count(F.lit(1)).alias("macro_label_count"))
+    return same_keys(base, macro, keys)
+
+
 def a1_method_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro-F1, micro-F1, exact sets and Jaccard by evaluation, method and variant."""
-    cases = test_cases(spark, sf_dir)
-    return same_keys(M.case_metrics(cases, KEYS), macro(cases, KEYS, ontology(spark, sf_dir)), KEYS)
+    return scored(test_cases(spark, sf_dir), KEYS, ontology(spark, sf_dir))
 
 
 def a2_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +97,7 @@ def a5_scoped_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics overall, by fold and by jurisdiction, with labels frozen from the pooled set."""
     cases = scopes(test_cases(spark, sf_dir).where(F.col("variant") == "PRIMARY"))
     keys = ["evaluation", "method", "scope", "scope_value"]
-    # The union of scopes shows the same labels as the pooled set does.
-    return same_keys(M.case_metrics(cases, keys), macro(cases, keys, ontology(spark, sf_dir)), keys)
+    return scored(cases, keys, ontology(spark, sf_dir))
 
 
 def a6_threshold_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ delimits nothing. Values that aren't known are cut at delimiters.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
@@ -104,12 +103,6 @@ class Segmenter:
         while b > a and _blank(cell[b - 1]):
             b -= 1
         if b - a >= 2 and BRACKETS.get(cell[a]) == cell[b - 1]:
-            try:
-                whole = json.loads(cell[a:b])
-            except ValueError:
-                whole = None
-            if isinstance(whole, list) and all(isinstance(x, str) for x in whole):
-                return [x for x in map(str.strip, whole) if x]  # nothing to decide
             a, b = a + 1, b - 1
         s = cell[a:b]
         starts: dict[int, int] = {}

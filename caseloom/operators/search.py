@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -47,30 +46,3 @@ def balanced_partition(sizes: dict[str, Sequence[int]], parts: int = 3) -> dict[
         if not moved:
             break
     return {g: int(p) for g, p in zip(names, part, strict=True)}
-
-
-def beam_cover(candidates: Sequence[tuple[int, frozenset[str], float]], k: int, width: int = 500) -> tuple[list[int], float]:
-    """k candidates (of at most 20,000) that cover rare labels best: a beam of partial sets.
-
-    candidates: id, labels, quality. A label weighs 1/sqrt(its frequency), once; ties by ids.
-    """
-    if len(candidates) > 20_000:
-        raise ValueError("a beam search takes 20,000 candidates at most")
-    n: dict[str, int] = {}
-    for _, labels, _ in candidates:
-        for x in labels:
-            n[x] = n.get(x, 0) + 1
-    w = {x: 1 / c**0.5 for x, c in n.items()}
-    beam: list[tuple[float, tuple[int, ...], frozenset[str]]] = [(0.0, (), frozenset())]
-    order = sorted(candidates, key=lambda r: r[0])
-    for _ in range(min(k, len(order))):
-        nxt: dict[tuple[int, ...], tuple[float, frozenset[str]]] = {}
-        for score, ids, seen in beam:
-            for i, labels, quality in order:
-                if i not in ids:
-                    key = tuple(sorted((*ids, i)))
-                    if key not in nxt:
-                        nxt[key] = (round(score + quality + sum(w[x] for x in labels - seen), 9), seen | labels)
-        beam = [(s, ids, seen) for ids, (s, seen) in heapq.nsmallest(width, nxt.items(), key=lambda r: (-r[1][0], r[0]))]
-    best = min(beam, key=lambda r: (-r[0], r[1]))
-    return list(best[1]), best[0]

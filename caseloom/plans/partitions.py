@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
 from caseloom.operators.ranking import spaced_places, with_place
-from caseloom.operators.search import balanced_partition, beam_cover
+from caseloom.operators.search import balanced_partition
 from caseloom.plans.metrics import predictions
 from caseloom.sources.tables import table
 
@@ -120,10 +120,35 @@ def w06_role_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "demo_order int, required_label string, review_id long")
 
 
+def beam_cover(pool: DataFrame, k: int, width: int = 20) -> tuple[list[int], float]:
+    """k rows of (id, labels, quality) that cover rare labels best, and their score: a beam of partial sets.
+
+    A covered label weighs 1/sqrt(its frequency), once; ties go to the smaller ids. Every
+    step scores all candidates against the width best partial sets where they are; only
+    the next width best come to the driver.
+    """
+    n = pool.select(F.explode("labels").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per label
+    weight = F.create_map(*[F.lit(v) for r in n for v in (r["x"], float(r["n"]) ** -0.5)]) if n else F.create_map().cast("map<string,double>")
+    beam: list[tuple[float, list[int], list[str]]] = [(0.0, [], [])]
+    for _ in range(k):
+        ids = lambda x: F.array(*map(F.lit, x)).cast("array<bigint>")
+        seen = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+        states = F.array(*[F.struct(F.lit(score).alias("score"), ids(i).alias("ids"), seen(x).alias("seen")) for score, i, x in beam])
+        each = pool.select("id", "labels", "quality", F.inline(states)).where(~F.array_contains("ids", F.col("id")))
+        gain = F.aggregate(F.array_except("labels", "seen"), F.lit(0.0), lambda a, x: a + F.element_at(weight, x))
+        nxt = each.select(F.round(F.col("score") + F.col("quality") + gain, 9).alias("score"), F.array_sort(F.concat("ids", F.array("id"))).alias("ids"), F.array_union("seen", "labels").alias("seen"))
+        nxt = nxt.groupBy("ids").agg(F.max("score").alias("score"), F.any_value("seen").alias("seen"))
+        rows = nxt.orderBy(F.desc("score"), "ids").limit(width).collect()
+        if not rows:
+            break
+        beam = [(r["score"], r["ids"], r["seen"]) for r in rows]
+    return beam[0][1], beam[0][0]
+
+
 def w09_beam_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six candidates that cover rare labels best."""
-    pool = demo_pool(spark, sf_dir).orderBy(F.desc(F.size("labels")), "review_id").limit(200).collect()  # the search's stated candidate count
-    ids, score = beam_cover([(r["review_id"], frozenset(r["labels"]), -r["words"] / 1000) for r in pool], 6, 100)
+    pool = demo_pool(spark, sf_dir).select(F.col("review_id").alias("id"), F.array_distinct("labels").alias("labels"), (-F.col("words") / 1000).alias("quality"))
+    ids, score = beam_cover(pool, 6)
     return spark.createDataFrame([(i, score) for i in ids], "review_id long, set_score double")
 
 

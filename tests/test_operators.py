@@ -9,9 +9,9 @@ from caseloom.operators import integrity as I
 from caseloom.operators.aliases import with_jurisdiction
 from caseloom.operators.ranking import spaced_places, with_place
 from caseloom.operators.resample import draws, intervals, replicates
-from caseloom.operators.search import balanced_partition, beam_cover
+from caseloom.operators.search import balanced_partition
 from caseloom.operators.skew import hot_keys, salted_join
-from caseloom.plans.partitions import stratified_roles
+from caseloom.plans.partitions import beam_cover, stratified_roles
 
 
 def test_with_place(spark):
@@ -72,9 +72,11 @@ def test_balanced_partition():
     assert balanced_partition({}) == {} and balanced_partition({"a": (1,)}) == {"a": 0}
 
 
-def test_beam_cover():
-    ids, score = beam_cover([(1, frozenset("ab"), 0.0), (2, frozenset("ab"), 0.0), (3, frozenset("c"), 0.0)], 2)
+def test_beam_cover(spark):
+    pool = spark.createDataFrame([(1, ["a", "b"], 0.0), (2, ["a", "b"], 0.0), (3, ["c"], 0.0)], "id long, labels array<string>, quality double")
+    ids, score = beam_cover(pool, 2)
     assert ids == [1, 3] and score == pytest.approx(2 / 2**0.5 + 1)
+    assert beam_cover(pool.limit(0), 2) == ([], 0.0) and len(beam_cover(pool, 5)[0]) == 3
 
 
 def test_aliases(spark):

@@ -14,7 +14,7 @@ from caseloom.functions.language import language_code
 from caseloom.llm.tokenizers import TOKENIZER_DIR, counter
 from caseloom.operators.aliases import with_jurisdiction
 from caseloom.operators.skew import hot_keys, salted_join
-from caseloom.sources.tables import c, cut, spread, table
+from caseloom.sources.tables import c, cut, table
 
 
 def text_counts(texts: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -25,7 +25,7 @@ def text_counts(texts: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKE
         enc = counter(name, folder)
         return pd.DataFrame({"n_tokens": [len(enc.encode_ordinary(x)) for x in text], "n_words": [len(x.split()) for x in text]}, dtype="int64")
 
-    done = spread(texts).select("__hash", count("__text").alias("__n"))
+    done = texts.select("__hash", count("__text").alias("__n"))  # the shuffle before sizes the partitions
     return done.select("__hash", "__n.n_tokens", "__n.n_words")
 
 

@@ -98,7 +98,7 @@ class GroupedSplit:
             F.pmod(F.xxhash64(F.coalesce(label.cast("string"), F.lit("\0"))), F.lit(LABELS)).cast("int").alias("__label"),
             *[c(x).alias(f"__x{i}") for i, x in enumerate(carry)],
         )
-        by_comp = rows.groupBy("__comp").agg(F.count(F.lit(1)).alias("__n"))
+        by_comp = cut(rows.groupBy("__comp").agg(F.count(F.lit(1)).alias("__n")), "components")
         total = by_comp.agg(F.sum("__n")).first()[0] or 0
         heavy = F.broadcast(by_comp.where(F.col("__n") >= max(total / UNITS, 1.0)).select(F.col("__comp").alias("__heavy")))
         bundle = F.concat(F.lit("b:"), F.pmod(F.xxhash64(F.lit(seed), "__comp"), F.lit(UNITS)).cast("string"))

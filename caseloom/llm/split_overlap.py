@@ -9,7 +9,7 @@ exactly: Jaccard similarity of the words, then their longest common subsequence.
 from __future__ import annotations
 
 import hashlib
-import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.functions.charforms import fold
+from caseloom.functions.charforms import plain
 from caseloom.functions.urls import same_page_key, url_host
 from caseloom.sources.tables import c, cut, spread, table
 
@@ -28,19 +28,35 @@ from caseloom.sources.tables import c, cut, spread, table
 SHINGLE, BANDS, ROWS = 3, 24, 4
 #: Of 64 hashes, one bit each is kept; a candidate may differ in so many of them. Similar
 #: texts differ in 32 * (1 - j) on average, unrelated ones in about 31.
-BITS = 21
+BITS = 19
 #: Share of the longer text's words that stand in the same order in the other.
 SHARE = 0.8
 #: Up to so many needed texts, their ids are broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 500_000
 
-_WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
-_ASCII_WORD = re.compile(r"[a-z0-9]+")
+
+class _WordTable(dict):
+    """For str.translate: a character in its plain form and lower case, a blank for what separates words,
+    nothing for what shows nothing and for stray accents; ideographs stand apart. Filled as characters come."""
+
+    def __missing__(self, cp: int) -> str:
+        x = plain(chr(cp)).lower()
+        if not any(map(str.isalnum, x)):
+            x = "" if not x or all(map(unicodedata.combining, x)) else " "
+        elif "一" <= x <= "鿿":
+            x = f" {x} "
+        self[cp] = x
+        return x
+
+
+_WORDS = _WordTable()
 
 
 def words_of(text: str) -> list[str]:
     """Words in one form; ideographs count one by one."""
-    return _ASCII_WORD.findall(text.lower()) if text.isascii() else _WORD.findall(fold(text).lower())
+    if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    return text.translate(_WORDS).split()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -204,7 +220,8 @@ def near_classes(df: DataFrame, id_col: str, group: Column, train: Column, text_
     pairs = with_a.join(texts.select(F.col("__cid").alias("cb"), F.col("__class").alias("b"), F.col("__text").alias("text_b")), "cb")
     both = members.groupBy("__class").agg(F.min("__train").alias("x"), F.max("__train").alias("y")).where(F.col("x") != F.col("y"))
     same = both.select(F.col("__class").alias("a"), F.col("__class").alias("b"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("share"))
-    return members, _verify(spread(pairs.select("a", "b", "text_a", "text_b"))).unionByName(same)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # verification costs more than its rows weigh
+    return members, _verify(pairs.select("a", "b", "text_a", "text_b").repartition(tasks)).unionByName(same)
 
 
 def cross_split_pairs(df: DataFrame, id_col: str, group: Column, split: Column, text_col: str, url_col: str) -> DataFrame:

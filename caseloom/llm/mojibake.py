@@ -160,6 +160,14 @@ def _encode(text: str, name: str) -> bytes | None:
         return None
 
 
+_ASCII = frozenset(map(chr, range(128)))
+
+
+@lru_cache(maxsize=64)
+def _charset(name: str) -> frozenset[str]:
+    return frozenset(_one_byte(name)[1]) - _ASCII
+
+
 @lru_cache(maxsize=64)
 def _stretch_pattern(name: str) -> re.Pattern:
     """Maximal parts of a line that an encoding can write."""
@@ -229,12 +237,13 @@ class Repairer:
             best, changed, step = 0.0, {}, ""
             each = {i: self.costs.each(parts[i]) for i in live}
             cost, mean = {i: float(x.sum()) for i, x in each.items()}, {i: float(x.mean()) for i, x in each.items()}
-            odd = {i for i, x in each.items() if float(np.maximum(x - RARE, 0).sum()) >= DROP}
+            odd = {i: set(parts[i]) - _ASCII for i, x in each.items() if float(np.maximum(x - RARE, 0).sum()) >= DROP}
             for read, written in trips:
                 utf8 = written == "utf-8" and read not in WIDE
                 got, total = {}, 0.0
                 for i in live:
-                    if not utf8 and i not in odd:
+                    # Half of a line's other characters at least must be ones that the encoding has.
+                    if not utf8 and (i not in odd or (read not in WIDE and 2 * len(odd[i] & _charset(read)) < len(odd[i]))):
                         continue
                     new = _from_utf8(parts[i], read) if utf8 else self._back(parts[i], read, written)
                     if new != parts[i]:

@@ -10,6 +10,7 @@ from caseloom.functions.urls import page_identity, same_page_key
 from caseloom.operators import integrity as I
 from caseloom.operators.label_metrics import ratio
 from caseloom.operators.ranking import spaced_places, with_place
+from caseloom.operators.skew import hot_keys, salted_join
 from caseloom.plans.metrics import SQL_PREDICTIONS as _P
 from caseloom.plans.metrics import ontology, predictions, test_cases
 from caseloom.plans.texts import SQL_BLANK as _B
@@ -198,7 +199,7 @@ def a21_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of a group of equal texts: the group's first id and size (a row per member, so no group is gathered)."""
     d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("h"))
     groups = d.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_members")).where("n_members > 1")
-    return d.join(groups, "h").select("doc_id", "first_id", "n_members")
+    return salted_join(d, groups, "h", hot_keys(groups, "h", "n_members"), ["doc_id"]).select("doc_id", "first_id", "n_members")
 
 
 def a23_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from caseloom.operators import label_metrics as M
 from caseloom.operators.resample import STEPS, intervals, replicates
 from caseloom.plans.metrics import SQL_PREDICTIONS as _P
 from caseloom.plans.metrics import predictions, test_cases
-from caseloom.sources.tables import table
+from caseloom.sources.tables import cut, spread, table
 
 MIN_DF, MAX_TERMS, REPLICATES, SEED = 5, 50_000, 100, 20260811
 
@@ -30,14 +30,14 @@ def vocabulary(counts: DataFrame, n_docs: int) -> DataFrame:
 
 def m01_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequencies and smoothed idf of words and word pairs."""
-    docs = table(spark, sf_dir, "documents")
-    return vocabulary(terms(docs, "doc_id", "text"), docs.count())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return vocabulary(terms(spread(docs), "doc_id", "text"), docs.count())
 
 
 def m01_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sublinear tf times idf, scaled to length 1 in each document: number of terms, largest weight and its term."""
-    docs = table(spark, sf_dir, "documents")
-    counts = terms(docs, "doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = cut(terms(spread(docs), "doc_id", "text"), "term-counts")  # read twice: for the vocabulary and for the weights
     got = counts.join(F.broadcast(vocabulary(counts, docs.count())), "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
     norm = got.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.count(F.lit(1)).alias("n_terms"), F.max(F.struct(F.round("raw", 9), "term")).alias("top"))
     return norm.select("doc_id", "n_terms", (F.col("top").getField("col1") / F.col("norm")).alias("top_weight"), F.col("top.term").alias("top_term"))
@@ -123,7 +123,7 @@ STATS = ["tp", "fp", "fn", "is_exact", "jaccard"]
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = M.with_case_counts(test_cases(spark, sf_dir).where(F.col("variant") == "PRIMARY"))
+    cases = M.with_case_counts(spread(test_cases(spark, sf_dir).where(F.col("variant") == "PRIMARY")))
     r = replicates(cases, ["evaluation", "method"], "case_id", STATS, REPLICATES, SEED)
     return r.select(
         "evaluation", "method", "replicate", M.f1_of(F.col("tp"), F.col("fp"), F.col("fn")).alias("micro_f1"), M.ratio(F.col("is_exact"), F.col("n")).alias("exact_set_accuracy"), M.ratio(F.col("jaccard"), F.col("n")).alias("example_jaccard")

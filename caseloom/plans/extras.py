@@ -104,7 +104,7 @@ def m06_batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p04_nested_paths, f19_label_shapes, c11_secret_scan, h10_charges, h13_flattened, m03_grid, m06_batch_scores)}
 ORACLE = {
-    "p04_nested_paths": "SELECT page_id, coalesce(json_array_length(redirect_chain), 0) AS n_steps, CAST(redirect_chain->'$[#-1]'->>'status' AS INT) AS last_status FROM http_outcome",
+    "p04_nested_paths": "SELECT page_id, CAST(coalesce(json_array_length(redirect_chain), 0) AS BIGINT) AS n_steps, CAST(redirect_chain->'$[#-1]'->>'status' AS INT) AS last_status FROM http_outcome",
     "f19_label_shapes": """SELECT count(*) AS n, 0 AS n_different, CAST(sum((SELECT count(*) FROM amp_ontology WHERE list_contains(predicted_labels, label_id))) AS BIGINT) AS n_labels FROM prediction_record""",
     "c11_secret_scan": r"""WITH d AS (SELECT doc_domain, coalesce(text, '') AS t FROM documents), k AS (SELECT doc_domain, unnest(list_filter([CASE WHEN regexp_matches(t, '(?i)\b(?:api|secret|access)[_-]?key\b\s*[:=]') THEN 'KEY' END,
         CASE WHEN regexp_matches(t, '(?i)\bbearer\s+[a-z0-9._-]{16,}') THEN 'BEARER' END, CASE WHEN regexp_matches(t, '(?i)\bpassword\b\s*[:=]') THEN 'PASSWORD' END, CASE WHEN regexp_matches(t, '\b[A-Z0-9]{3,}_[A-Z0-9_]{3,}\b') THEN 'TOKEN_LIKE' END],

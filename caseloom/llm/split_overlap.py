@@ -1,9 +1,10 @@
 """Problem 6: the same or near-same records across splits.
 
 Texts that are equal but for letter case, blanks, punctuation and character form are
-one class. Classes get minwise hashes of word shingles, in bands; only a band shared by
-a training class and an evaluation class makes a candidate. Candidates are verified
-exactly: Jaccard similarity of the words, then their longest common subsequence.
+one class. Classes get minwise hashes of their words with repeats, in bands; a band shared by
+a training class and an evaluation class makes a candidate, and so does, for short texts, what is
+left when one word is taken out. Candidates are verified exactly: Jaccard similarity of the
+words, then their longest common subsequence.
 """
 
 from __future__ import annotations
@@ -23,15 +24,19 @@ from caseloom.functions.charforms import plain
 from caseloom.functions.urls import same_page_key, url_host
 from caseloom.sources.tables import c, cut, spread, table
 
-#: Words of a shingle, bands, and hashes of a band. A pair whose shingle sets have Jaccard
-#: similarity j shares a band with probability 1 - (1 - j**ROWS)**BANDS: 0.9986 at 0.7.
-SHINGLE, BANDS, ROWS = 3, 24, 4
-#: Of 64 hashes, one bit each is kept; a candidate may differ in so many of them. Similar
-#: texts differ in 32 * (1 - j) on average, unrelated ones in about 31.
-BITS = 19
+#: Hashes of a band, bands, and hashes that they draw on. Of texts with four in five words in the same order, the
+#: words with repeats have Jaccard similarity j >= 2/3; they share a band with probability 1 - (1 - j**ROWS)**BANDS:
+#: 0.9965 at 2/3, wherever the other words stand.
+ROWS, BANDS, HASHES = 5, 40, 128
+#: Of each hash, PLANES bits are kept. Candidates may differ in so many of the first bits (at 2/3 in 21.3 of 128 on
+#: average, with a deviation of 4.2), and in so many of all bits together (40, 5.2); unrelated texts in about 51 and 97.
+PLANES, BITS, CELLS = 4, 36, 60
+#: Up to so many words, four in five leave room for one other word; such pairs are found without hashes' luck.
+SHORT = 9
 #: Share of the longer text's words that stand in the same order in the other.
 SHARE = 0.8
-#: Up to so many needed texts, their ids are broadcast (8 bytes each); beyond, the join shuffles.
+#: Up to so many needed texts, their ids are broadcast (8 bytes each), and up to so many classes, their sketches (80);
+#: beyond, the join shuffles.
 BROADCAST_IDS = 500_000
 
 
@@ -70,53 +75,56 @@ class Signer:
 
     def __init__(self) -> None:
         rng = np.random.default_rng(6)
-        self.mul = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+        self.mul = rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
+        per = HASHES // ROWS
+        self.of = [at[k * ROWS : (k + 1) * ROWS] for at in (rng.permutation(HASHES) for _ in range(-(-BANDS // per))) for k in range(per)][:BANDS]
         self.met: dict[str, int] = {}
 
     def _hashes(self, words: list[str]) -> list[int]:
+        """One hash per word and how often it came before."""
         met = self.met
         if len(met) > 500_000:
             met.clear()
+        out, seen = [], {}
         for w in words:
             if w not in met:
-                met[w] = xxhash.xxh64_intdigest(w)
-        return [met[w] for w in words]
+                met[w] = xxhash.xxh64_intdigest(w) >> 1
+            k = seen.get(w, 0)
+            seen[w] = k + 1
+            out.append(met[w] ^ k)
+        return out
 
     def bands(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """texts x BANDS hashes, and a 64-bit sketch of each text; every text has a word at least."""
-        flat, n = [], []
+        """texts x BANDS hashes, and texts x 2 * PLANES numbers of 64 bits, a bit per hash; every text has a word at least."""
+        flat: list[int] = []
+        n = []
         for words in texts:
-            h = self._hashes(words)
-            h += [0] * (SHINGLE - len(h))
-            flat += h
-            n.append(len(h))
-        w = np.array(flat, dtype=np.uint64)
-        size = np.array(n)
-        first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        mixed = w[: len(w) - SHINGLE + 1].copy()
-        for k in range(1, SHINGLE):
-            mixed = _mix(mixed) + w[k : len(w) - SHINGLE + 1 + k]
-        mixed = _mix(mixed)
-        # Shingles that start in a text's last words would reach into the next one.
-        keep = np.ones(len(mixed), dtype=bool)
-        for k in range(1, SHINGLE):
-            at = first[1:] - k
-            keep[at[at >= 0]] = False
-        mixed = mixed[keep]
-        starts = np.concatenate([[0], np.cumsum(size - SHINGLE + 1)])[:-1]
-        out, sketch = np.empty((len(texts), BANDS), dtype=np.uint64), np.zeros(len(texts), dtype=np.uint64)
-        for band in range(BANDS):
+            flat += self._hashes(words)
+            n.append(len(words))
+        mixed = (_mix(np.array(flat, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+        starts = np.concatenate([[0], np.cumsum(n)])[:-1]
+        low, sketch = np.empty((HASHES, len(texts)), dtype=np.uint64), np.zeros((len(texts), 2 * PLANES), dtype=np.uint64)
+        for k in range(HASHES):
+            h = mixed * self.mul[k]
+            h ^= h >> np.uint32(15)
+            low[k] = _mix(np.minimum.reduceat(h, starts).astype(np.uint64) + np.uint64(k << 32))
+            for p in range(PLANES):
+                sketch[:, 2 * p + k // 64] |= (low[k] >> np.uint64(p) & np.uint64(1)) << np.uint64(k % 64)
+        out = np.empty((len(texts), BANDS), dtype=np.uint64)
+        for band, at in enumerate(self.of):
             got = np.full(len(texts), band, dtype=np.uint64)
-            for r in range(ROWS):
-                k = band * ROWS + r
-                h = mixed * self.mul[k]
-                h ^= h >> np.uint64(29)
-                low = _mix(np.minimum.reduceat(h, starts))
-                if k < 64:
-                    sketch |= (low & np.uint64(1)) << np.uint64(k)
-                got = _mix(got * np.uint64(0x9E3779B97F4A7C15) + low)
+            for k in at:
+                got = _mix(got * np.uint64(0x9E3779B97F4A7C15) + low[k])
             out[:, band] = got
-        return out, sketch
+        return (out >> np.uint64(32)).astype(np.uint32), sketch
+
+
+def short_keys(words: list[str]) -> list[int]:
+    """Hashes of a short text and of what is left of it without one word; none for longer texts."""
+    if not 3 < len(words) <= SHORT:
+        return []
+    rests = {" ".join(words)} | {" ".join(words[:i] + words[i + 1 :]) for i in range(len(words))}
+    return sorted(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in rests)
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -148,7 +156,7 @@ def near_same(a: list[str], b: list[str]) -> tuple[float, float]:
 
 
 def _sign(rows: DataFrame) -> DataFrame:
-    """(__id, __group, __train, __text) -> __id, __group, __train, __class, __sketch, __bands for texts with a word."""
+    """(__id, __group, __train, __text) -> __id, __group, __train, __class, __sketch, __bands, __short for texts with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
@@ -166,13 +174,14 @@ def _sign(rows: DataFrame) -> DataFrame:
                     [
                         rest.column(0), rest.column(1), rest.column(2),
                         pa.array([hashlib.md5(" ".join(w).encode("utf-8", "surrogatepass")).digest() for w in kept], pa.binary()),
-                        pa.array(sketch.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.view(np.int64).ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * 2 * PLANES + 1, 2 * PLANES, dtype=np.int32)), pa.array(sketch.view(np.int64).ravel())),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.view(np.int32).ravel())),
+                        pa.array([short_keys(w) for w in kept], pa.list_(pa.int64())),
                     ],
-                    names=["__id", "__group", "__train", "__class", "__sketch", "__bands"],
+                    names=["__id", "__group", "__train", "__class", "__sketch", "__bands", "__short"],
                 )
 
-    return rows.mapInArrow(run, "__id long, __group string, __train boolean, __class binary, __sketch long, __bands array<long>")
+    return rows.mapInArrow(run, "__id long, __group string, __train boolean, __class binary, __sketch array<long>, __bands array<int>, __short array<long>")
 
 
 def _verify(pairs: DataFrame) -> DataFrame:
@@ -202,15 +211,36 @@ def near_classes(df: DataFrame, id_col: str, group: Column, train: Column, text_
     signed = cut(_sign(rows), "signed")
     members = signed.select("__id", "__group", "__train", "__class")
     # One row per class, group and side: copies are collapsed before any pair is made.
-    sides = signed.groupBy("__group", "__class", "__train").agg(F.any_value("__sketch").alias("__sketch"), F.any_value("__bands").alias("__bands"))
+    sides = signed.groupBy("__group", "__class", "__train").agg(*[F.any_value(x).alias(x) for x in ("__sketch", "__bands", "__short")])
 
     def banded(train: bool, side: str) -> DataFrame:
-        # A class travels as a 64-bit hash; classes that share one are told apart by verification.
-        one = sides.where(F.col("__train") == train).select("__group", F.xxhash64("__class").alias(f"c{side}"), F.col("__sketch").alias(f"s{side}"), F.explode("__bands").alias("__band"))
-        return one.select(F.xxhash64("__group", "__band").alias("__key"), f"c{side}", f"s{side}")
-
-    found = banded(True, "a").join(banded(False, "b"), "__key").where((F.col("ca") != F.col("cb")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= BITS))
-    found = cut(found.select("ca", "cb").distinct(), "candidates")
+        # A class travels as the first bits of its sketch, which stand for all classes that have them.
+        one = sides.where(F.col("__train") == train).select("__group", F.col("__sketch")[0].alias(f"s{side}"), F.col("__sketch")[1].alias(f"t{side}"), F.posexplode("__bands").alias("__n", "__band"))
+        return one.select(F.hash("__group", "__n", "__band").alias("__key"), f"s{side}", f"t{side}")
+
+    def differ(x: str, y: str) -> Column:
+        return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+
+    near = banded(True, "a").join(banded(False, "b"), "__key").where(differ("sa", "sb") + differ("ta", "tb") <= BITS)
+    near = cut(near.select("sa", "ta", "sb", "tb").distinct(), "near-sketches")
+    # A class is told by a 64-bit hash; classes that share one are told apart by verification.
+    sketches = cut(signed.groupBy("__class").agg(F.any_value("__sketch").alias("k")).select(F.xxhash64("__class").alias("c"), F.col("k")[0].alias("s"), F.col("k")[1].alias("t"), "k"), "sketches")
+    small = sketches.count() <= BROADCAST_IDS
+    for side in "ab":
+        one = sketches.select(*[F.col(x).alias(f"{x}{side}") for x in ("c", "s", "t", "k")])
+        near = near.join(F.broadcast(one) if small else one, [f"s{side}", f"t{side}"])
+
+    def cells(half: int) -> Column:
+        bits = F.lit(0).cast("long")
+        for p in range(PLANES):
+            bits = bits.bitwiseOR(F.col("ka")[2 * p + half].bitwiseXOR(F.col("kb")[2 * p + half]))
+        return F.bit_count(bits)
+
+    def short(train: bool, side: str) -> DataFrame:
+        return sides.where((F.col("__train") == train) & (F.size("__short") > 0)).select("__group", F.xxhash64("__class").alias(f"c{side}"), F.explode("__short").alias("__key"))
+
+    found = near.where(cells(0) + cells(1) <= CELLS).select("ca", "cb").unionByName(short(True, "a").join(short(False, "b"), ["__group", "__key"]).select("ca", "cb"))
+    found = cut(found.where("ca <> cb").distinct(), "candidates")
     need = found.select(F.col("ca").alias("__cid")).unionByName(found.select(F.col("cb").alias("__cid"))).distinct()
     classes = members.groupBy("__class").agg(F.min("__id").alias("__id")).withColumn("__cid", F.xxhash64("__class"))
     reps = cut(classes.join(need, "__cid", "left_semi"), "representatives")

@@ -103,6 +103,38 @@ def test_overlaps_brute_force(spark):
     assert {(r.train_id, r.eval_id) for r in got.collect()} == want and len(want) > 10
 
 
+@pytest.mark.parametrize("changed", [13, 19, 26])
+def test_scattered_changes_are_found(spark, changed):
+    """A tenth to a fifth of 130 words changed one by one, evenly: few shingles are left, four in five words are."""
+    rng = random.Random(changed)
+    rows = []
+    for i in range(150):
+        w = words(rng, 130)
+        v = list(w)
+        for k in range(changed):
+            v[k * 130 // changed] = f"y{rng.randrange(10_000)}"
+        rows += [(2 * i, "A1", "train", " ".join(w), None), (2 * i + 1, "A1", "test", " ".join(v), None)]
+    df = spark.createDataFrame(rows, "record_id long, evaluation string, split string, fact_summary string, canonical_url string")
+    got = O.cross_split_pairs(df, "record_id", F.col("evaluation"), F.col("split"), "fact_summary", "canonical_url")
+    found = {(r.train_id, r.eval_id) for r in got.collect()}
+    assert found <= {(2 * i, 2 * i + 1) for i in range(150)} and len(found) >= 147
+
+
+def test_short_texts_are_found(spark):
+    """One word of five to nine changed, left out or moved, at every place: all of them."""
+    rows, n = [], 0
+    for size in range(5, 10):
+        for k in range(size):
+            w = [f"a{n}x{i}" for i in range(size)]
+            for v in (w[:k] + ["other"] + w[k + 1 :], w[:k] + w[k + 1 :], w[:k] + w[k + 1 :] + [w[k]]):
+                group = f"G{n}"
+                rows += [(2 * n, group, "train", " ".join(w), None), (2 * n + 1, group, "test", " ".join(v) + "!", None)]
+                n += 1
+    df = spark.createDataFrame(rows, "record_id long, evaluation string, split string, fact_summary string, canonical_url string")
+    got = O.cross_split_pairs(df, "record_id", F.col("evaluation"), F.col("split"), "fact_summary", "canonical_url")
+    assert {(r.train_id, r.eval_id) for r in got.collect()} == {(2 * i, 2 * i + 1) for i in range(n)}
+
+
 def test_overlap_edges(spark):
     long = "word " * 60_000
     rows = [

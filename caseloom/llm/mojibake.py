@@ -24,8 +24,8 @@ from caseloom.sources.tables import c, spread, table
 
 #: Size of the count table: pairs of characters are hashed into so many cells.
 CELLS = 1 << 18
-#: A round trip must lower the cost by this (natural log units); one that recodes a line as a whole, by this share, too,
-#: and the mean cost of a pair.
+#: A round trip must lower the cost by this (natural log units); one that isn't of UTF-8, by this share of what the part
+#: that it recodes costs, too, and the mean cost of a pair there.
 DROP, DROP_SHARE = 4.0, 0.12
 #: A pair with a cost over this is rare; only lines with one are tried with one-byte encodings.
 RARE = 8.0
@@ -164,8 +164,9 @@ _ASCII = frozenset(map(chr, range(128)))
 
 
 @lru_cache(maxsize=64)
-def _charset(name: str) -> frozenset[str]:
-    return frozenset(_one_byte(name)[1]) - _ASCII
+def _letters(name: str) -> frozenset[str]:
+    """Letters of a one-byte encoding, ASCII aside: a stretch without one is never recoded."""
+    return frozenset(x for x in _one_byte(name)[1] if x > "\x7f" and x.isalpha())
 
 
 @lru_cache(maxsize=64)
@@ -186,12 +187,29 @@ def _tears(old: str, new: str) -> bool:
     return 4 * (len(_TORN.findall(new)) - len(_TORN.findall(old))) > len(old) - len(new)
 
 
+def _changed(old: str, new: str) -> tuple[str, str]:
+    """What lies between the common beginning and end of two lines, with a neighbour on either side."""
+    n, most = 0, min(len(old), len(new))
+    while n < most and old[n] == new[n]:
+        n += 1
+    m = 0
+    while m < most - n and old[-1 - m] == new[-1 - m]:
+        m += 1
+    n, m = max(n - 1, 0), max(m - 1, 0)
+    return old[n : len(old) - m], new[n : len(new) - m]
+
+
 class Repairer:
     """Round-trip repair of texts under a cost."""
 
     def __init__(self, costs: Costs):
         self.costs = costs
 
+    def _likelier(self, old: str, new: str, drop: float) -> bool:
+        """Whether a drop is large for the part of the line that a round trip recodes, and not only as that is shorter now."""
+        was, now = map(self.costs.each, _changed(old, new))
+        return drop >= DROP_SHARE * float(was.sum()) and (float(now.mean()) if len(now) else 0.0) < float(was.mean())
+
     def _back(self, line: str, read: str, written: str) -> str:
         """The line with each stretch that read can write decoded strictly as written."""
 
@@ -236,22 +254,18 @@ class Repairer:
                 break
             best, changed, step = 0.0, {}, ""
             each = {i: self.costs.each(parts[i]) for i in live}
-            cost, mean = {i: float(x.sum()) for i, x in each.items()}, {i: float(x.mean()) for i, x in each.items()}
+            cost = {i: float(x.sum()) for i, x in each.items()}
             odd = {i: set(parts[i]) - _ASCII for i, x in each.items() if float(np.maximum(x - RARE, 0).sum()) >= DROP}
             for read, written in trips:
                 utf8 = written == "utf-8" and read not in WIDE
                 got, total = {}, 0.0
                 for i in live:
-                    # Half of a line's other characters at least must be ones that the encoding has.
-                    if not utf8 and (i not in odd or (read not in WIDE and 2 * len(odd[i] & _charset(read)) < len(odd[i]))):
+                    if not utf8 and (i not in odd or (read not in WIDE and odd[i].isdisjoint(_letters(read)))):
                         continue
                     new = _from_utf8(parts[i], read) if utf8 else self._back(parts[i], read, written)
                     if new != parts[i]:
-                        after = self.costs.each(new)
-                        drop = cost[i] - float(after.sum())
-                        # Not only shorter: pair by pair a line recoded as a whole must be likelier.
-                        now = float(after.mean()) if len(after) else 0.0
-                        if drop >= DROP and (utf8 or (drop >= DROP_SHARE * cost[i] and now < mean[i])) and not _tears(parts[i], new):
+                        drop = cost[i] - self.costs(new)
+                        if drop >= DROP and (utf8 or self._likelier(parts[i], new, drop)) and not _tears(parts[i], new):
                             got[i] = new
                             total += drop
                 if total > best:

@@ -168,6 +168,16 @@ def test_legacy_misread(repairer, i, written, read):
     assert repairer(bad)[0] == CLEAN[i]
 
 
+@pytest.mark.parametrize(("i", "written", "read"), [(2, "cp1251", "cp1252"), (2, "cp1251", "mac_roman"), (2, "cp1251", "cp437"), (2, "koi8-r", "cp1252")])
+def test_one_stretch_misread(repairer, i, written, read):
+    """A correct line, in Cyrillic or Chinese, that holds one stretch decoded wrongly."""
+    x = "договор был подписан добровольно"
+    bad = "".join(M._one_byte(read)[1][b] for b in x.encode(written))
+    for good in (CLEAN[2], CLEAN[2] + " " + CLEAN[2] + " " + CLEAN[2], CLEAN[3]):
+        assert repairer(good + " " + bad + " " + good)[0] == good + " " + x + " " + good
+        assert repairer(good + " " + good) == (good + " " + good, [])
+
+
 def test_repair_rows(spark):
     rows = [(i, x) for i, x in enumerate(CLEAN * 40)] + [(1000, misread(CLEAN[0], "cp1252")), (1001, None), (1002, ""), (1003, "  "), (1004, "S�rk�ny"), (1005, "a" * 300_000 + misread("é", "cp1252")), (1006, "\x80")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, repaired string")

@@ -8,9 +8,12 @@ only, so methods judged on the same cases share them and can be compared in pair
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,54 @@ def replicates(df: DataFrame, keys: Sequence[str], case: str, stats: Sequence[st
     return rows.groupBy(*[c(k) for k in keys], "replicate").agg(F.sum("__w").alias("n"), *[F.sum(F.col("__w") * c(s)).alias(s) for s in stats])
 
 
+def case_draws(case: object, n: int, seed: int) -> np.ndarray:
+    """The draws of a case in n replicates, the same as those of draws(), a null case included."""
+    end = b"" if case is None else f"|{case}".encode()
+    head = np.frombuffer(b"".join(hashlib.md5(b"%d|%d%s" % (seed, r, end)).digest()[:4] for r in range(n)), dtype=">u4")
+    return np.searchsorted(STEPS, head / 4294967296.0, side="right").astype(np.float64)
+
+
+def many_replicates(df: DataFrame, keys: Sequence[str], case: str, stats: Sequence[str], n: int, seed: int = 20260811) -> DataFrame:
+    """As replicates(), for many replicates and statistics: keys (strings) may be null, statistics may not.
+
+    Rows of a case meet in one task, so that a case is drawn once for all of them; a task
+    returns one matrix of n rows per key. Replicates that draw no case of a key have n = 0.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        last, w = object(), np.zeros(n)
+        named = [*keys, "__case"]
+        for part in parts:
+            part = part.astype({k: object for k in named})
+            part[named] = part[named].where(part[named].notna(), None)
+            ids = part["__case"].tolist()
+            # Neighbours of one case share its draws.
+            at = np.flatnonzero([i == 0 or x != ids[i - 1] for i, x in enumerate(ids)])
+            which = np.cumsum(np.isin(np.arange(len(ids)), at)) - 1
+            for lo in range(0, len(at), 500):
+                some = at[lo : lo + 500]
+                table = np.empty((len(some), n))
+                for j, i in enumerate(some):
+                    if ids[i] != last:
+                        last, w = ids[i], case_draws(ids[i], n, seed)
+                    table[j] = w
+                mine = part[(which >= lo) & (which < lo + 500)]
+                of = which[(which >= lo) & (which < lo + 500)] - lo
+                x = np.column_stack([np.ones(len(mine)), mine[list(stats)].to_numpy(dtype=np.float64)])
+                names = list(mine[list(keys)].itertuples(index=False, name=None))
+                for key in set(names):
+                    rows = np.array([k == key for k in names])
+                    sums[key] = sums.get(key, 0.0) + table[of[rows]].T @ x[rows]
+        for key, got in sums.items():
+            yield pd.DataFrame({**{k: [v] * n for k, v in zip(keys, key, strict=True)}, "replicate": np.arange(n, dtype=np.int32), **{s: got[:, i] for i, s in enumerate(("n", *stats))}})
+
+    rows = df.select(*[c(k).cast("string").alias(k) for k in keys], c(case).cast("string").alias("__case"), *[c(s).cast("double").alias(s) for s in stats])
+    rows = rows.repartition("__case").sortWithinPartitions("__case")
+    schema = ", ".join([*[f"`{k}` string" for k in keys], "replicate int", *[f"`{s}` double" for s in ("n", *stats)]])
+    return rows.mapInPandas(run, schema).groupBy(*[c(k) for k in keys], "replicate").agg(*[F.sum(c(s)).alias(s) for s in ("n", *stats)])
+
+
 def intervals(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], level: float = 0.95) -> DataFrame:
     """keys, metric, lower and upper percentile (linear) over replicates."""
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2

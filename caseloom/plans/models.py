@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.operators import label_metrics as M
-from caseloom.operators.resample import STEPS, intervals, replicates
+from caseloom.operators.resample import STEPS, intervals, many_replicates, replicates
 from caseloom.plans.metrics import SQL_PREDICTIONS as _P
-from caseloom.plans.metrics import predictions, test_cases
+from caseloom.plans.metrics import families, frozen_labels, predictions, test_cases
 from caseloom.sources.tables import cut, spread, table
 
 MIN_DF, MAX_TERMS, REPLICATES, SEED = 5, 50_000, 100, 20260811
@@ -146,6 +146,46 @@ def m10_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals(d, ["evaluation"], METRICS).withColumn("excludes_zero", (F.col("ci_lower") > 0) | (F.col("ci_upper") < 0))
 
 
+FULL_REPLICATES = 1000
+COMPARISONS = [("M3", "M2"), ("M4", "M2"), ("M4", "M3")]
+
+
+def _full_samples(spark: SparkSession, sf_dir: str, n: int = FULL_REPLICATES) -> DataFrame:
+    """As _samples, with macro_f1 over the labels that the evaluation's whole test set supports, in every replicate."""
+    tests = test_cases(spark, sf_dir)
+    cases = M.with_case_counts(spread(tests.where(F.col("variant") == "PRIMARY")))
+    labels = [x for f in families(spark, sf_dir).values() for x in f]
+    has = lambda side, x: F.array_contains(side, x).cast("int")
+    cases = cases.withColumns({f"tp{i}": has("ref", x) * has("pred", x) for i, x in enumerate(labels)} | {f"named{i}": has("ref", x) + has("pred", x) for i, x in enumerate(labels)})
+    r = many_replicates(cases, ["evaluation", "method"], "case_id", [*STATS, *[f"{x}{i}" for i in range(len(labels)) for x in ("tp", "named")]], n, SEED)
+    # At most a row per evaluation, with labels of the ontology only.
+    frozen = frozen_labels(tests).where(F.col("label_id").isin(labels)).groupBy("evaluation").agg(F.collect_set("label_id").alias("frozen"))
+    r = r.where("n > 0").join(F.broadcast(frozen), "evaluation", "left")
+    f1 = [F.when(F.array_contains("frozen", x), F.coalesce(M.ratio(2 * F.col(f"tp{i}"), F.col(f"named{i}")), F.lit(0.0))).otherwise(0.0) for i, x in enumerate(labels)]
+    return r.select(
+        "evaluation", "method", "replicate", M.ratio(sum(f1, F.lit(0.0)), F.size("frozen")).alias("macro_f1"),
+        M.f1_of(F.col("tp"), F.col("fp"), F.col("fn")).alias("micro_f1"), M.ratio(F.col("is_exact"), F.col("n")).alias("exact_set_accuracy"), M.ratio(F.col("jaccard"), F.col("n")).alias("example_jaccard"),
+    )
+
+
+FULL_METRICS = ["macro_f1", *METRICS]
+
+
+def m09_bootstrap_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """m09_bootstrap over 1,000 replicates, macro_f1 with frozen labels among the metrics."""
+    return intervals(_full_samples(spark, sf_dir), ["evaluation", "method"], FULL_METRICS)
+
+
+def m10_paired_bootstrap_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the differences M3 - M2, M4 - M2 and M4 - M3 over 1,000 shared draws, and whether 0 lies outside."""
+    s = _full_samples(spark, sf_dir)
+    pick = lambda m, x: F.max(F.when(F.col("method") == m, F.col(x)))
+    d = s.groupBy("evaluation", "replicate").agg(*[pick(m, x).alias(f"{m}_{x}") for m in ("M2", "M3", "M4") for x in FULL_METRICS])
+    each = F.array(*[F.struct(F.lit(f"{a} - {b}").alias("comparison"), *[(F.col(f"{a}_{x}") - F.col(f"{b}_{x}")).alias(x) for x in FULL_METRICS]) for a, b in COMPARISONS])
+    got = intervals(d.select("evaluation", F.inline(each)), ["evaluation", "comparison"], FULL_METRICS)
+    return got.withColumn("excludes_zero", (F.col("ci_lower") > 0) | (F.col("ci_upper") < 0))
+
+
 def m11_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard per case computed in two ways: cases that differ by more than 1e-12 (none)."""
     cases = M.with_case_counts(test_cases(spark, sf_dir))
@@ -155,7 +195,7 @@ def m11_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (m01_vocabulary, m01_weights, m02_logistic, m04_truncation, m07_vocabulary_digest, m08_assembled, m09_bootstrap, m10_paired_bootstrap, m11_recomputed, w07_best_threshold, w08_best_configuration)
+    for f in (m01_vocabulary, m01_weights, m02_logistic, m04_truncation, m07_vocabulary_digest, m08_assembled, m09_bootstrap, m09_bootstrap_full, m10_paired_bootstrap, m10_paired_bootstrap_full, m11_recomputed, w07_best_threshold, w08_best_configuration)
 }
 
 _TERMS = f"""w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM documents),

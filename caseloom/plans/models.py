@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseloom.operators import label_metrics as M
 from caseloom.operators.resample import STEPS, intervals, many_replicates, replicates
@@ -43,28 +44,59 @@ def m01_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm.select("doc_id", "n_terms", (F.col("top").getField("col1") / F.col("norm")).alias("top_weight"), F.col("top.term").alias("top_term"))
 
 
+def _tfidf(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc, is_train, text) -> doc, features: sublinear tf times idf of words and word pairs, scaled to length 1.
+
+    Vocabulary and idf are those of the training texts; a text without any of its terms has an empty vector.
+    """
+    from pyspark.ml.linalg import VectorUDT
+
+    counts = cut(terms(spread(docs), "doc", "text"), "term-counts")
+    train = docs.where("is_train").select("doc")
+    words = vocabulary(counts.join(train, "doc", "left_semi"), train.count())
+    words = cut(words.select("term", "idf", (F.row_number().over(Window.orderBy("term")) - 1).alias("i")), "vocabulary")  # MAX_TERMS rows at most
+    got = counts.join(F.broadcast(words), "term").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("i", ((1 + F.log("tf")) * F.col("idf")).alias("x")))).alias("v"))
+    got = docs.select("doc").join(got, "doc", "left").withColumn("v", F.coalesce("v", F.expr("cast(array() as array<struct<i:int,x:double>>)")))
+    got = got.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, t: acc + t["x"] * t["x"])))
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(max(words.count(), 1)).cast("int").alias("size"), F.col("v.i").alias("indices"), F.transform("v.x", lambda x: x / F.col("norm")).alias("values")
+    )
+    # The columns of a sparse vector are read back as one; no row passes through Python.
+    return cut(got.select("doc", vector.alias("features")), "tf-idf", T.StructType([T.StructField("doc", T.StringType()), T.StructField("features", VectorUDT())]))
+
+
 def m02_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-vs-rest logistic models of the acts on training summaries with balanced weights: average precision on validation."""
+    """One-vs-rest logistic models of all labels on tf-idf of training summaries with balanced weights: average precision on validation.
+
+    Equal rows are fitted once, by their number. The score is null where training or
+    validation has no positive case of a label, or training no other.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import HashingTF, RegexTokenizer
 
-    p = table(spark, sf_dir, "prediction_record").where("fact_summary IS NOT NULL").select(F.lower(F.trim("split")).alias("role"), "fact_summary", M.as_set(F.col("silver_reference_labels")).alias("ref"))
-    words = RegexTokenizer(inputCol="fact_summary", outputCol="w", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2)
-    x = HashingTF(inputCol="w", outputCol="features", numFeatures=1 << 14).transform(words.transform(p)).select("role", "ref", "features").cache()
-    judge = BinaryClassificationEvaluator(metricName="areaUnderPR")
+    p = table(spark, sf_dir, "prediction_record").where("fact_summary IS NOT NULL")
+    p = p.select(F.lower(F.trim("split")).alias("role"), "fact_summary", F.md5("fact_summary").alias("doc"), F.array_sort(M.as_set(F.col("silver_reference_labels"))).alias("ref"))
+    p = p.where(F.col("role").isin("train", "validation"))
+    docs = cut(p.groupBy("doc").agg(F.max(F.col("role") == "train").alias("is_train"), F.any_value("fact_summary").alias("text")), "texts")
+    x = cut(p.groupBy("role", "doc", "ref").agg(F.count(F.lit(1)).alias("n")), "references").join(_tfidf(spark, docs), "doc").select("role", "ref", "n", "features")
+    train, held = x.where(F.col("role") == "train").cache(), x.where(F.col("role") == "validation").cache()
+    labels = [x for f in families(spark, sf_dir).values() for x in f]
+    counts = [df.agg(F.sum("n"), *[F.sum(F.when(F.array_contains("ref", x), F.col("n"))) for x in labels]).first() for df in (train, held)]
+    n = counts[0][0] or 0
+    judge = BinaryClassificationEvaluator(metricName="areaUnderPR", weightCol="n", numBins=0)
     out = []
-    for label in ("ACT_ENLIST", "ACT_MOVE", "ACT_LODGE"):
-        y = x.withColumn("label", F.array_contains("ref", label).cast("double"))
-        n, k = y.where(F.col("role") == "train").agg(F.count(F.lit(1)), F.sum("label")).first()
-        if not n or not k or k == n:
-            out.append((label, None, n or 0))
+    for i, label in enumerate(labels):
+        k, k_held = counts[0][i + 1] or 0, counts[1][i + 1] or 0
+        if not k or k == n or not k_held:
+            out.append((label, None, n))
             continue
-        y = y.withColumn("weight", F.when(F.col("label") == 1, n / (2 * k)).otherwise(n / (2 * (n - k))))
-        model = LogisticRegression(weightCol="weight", regParam=0.1, maxIter=20).fit(y.where(F.col("role") == "train"))
-        held = model.transform(y.where(F.col("role") == "validation"))
-        out.append((label, float(judge.evaluate(held)) if not held.isEmpty() else None, int(n)))
-    x.unpersist()
+        y = F.array_contains("ref", label).cast("double")
+        weight = F.col("n") * F.when(F.col("label") == 1, n / (2 * k)).otherwise(n / (2 * (n - k)))
+        # C = 1: the penalty is for the sum of losses, here it is for their mean.
+        model = LogisticRegression(weightCol="weight", regParam=1 / n, maxIter=2000, tol=1e-5, standardization=False).fit(train.withColumn("label", y).withColumn("weight", weight))
+        out.append((label, float(judge.evaluate(model.transform(held.withColumn("label", y)))), n))
+    train.unpersist()
+    held.unpersist()
     return spark.createDataFrame(out, "label_id string, average_precision double, n_train long")
 
 

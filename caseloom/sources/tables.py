@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,16 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame, name: str = "stage") -> DataFrame:
+def cut(df: DataFrame, name: str = "stage", schema: StructType | None = None) -> DataFrame:
     """Write df to a parquet table in the shared folder and read it back.
 
     Cuts the lineage as checkpoint() does, but keeps columns prunable and small;
-    it survives the loss of executors, as the files are in the shared folder.
+    it survives the loss of executors, as the files are in the shared folder. schema:
+    other types of the same columns, to read them back as.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def local_path(path: str) -> str | None:

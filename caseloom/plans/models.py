@@ -23,9 +23,9 @@ def terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(counts: DataFrame, n_docs: int) -> DataFrame:
-    """term, df, idf (smoothed) of the most frequent terms with df >= MIN_DF; ties by the term."""
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= MIN_DF)
+def vocabulary(counts: DataFrame, n_docs: int, min_df: int = MIN_DF) -> DataFrame:
+    """term, df, idf (smoothed) of the most frequent terms with df >= min_df; ties by the term."""
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
     return df.orderBy(F.desc("df"), "term").limit(MAX_TERMS).withColumn("idf", F.log(F.lit(1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
 
 
@@ -44,7 +44,7 @@ def m01_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm.select("doc_id", "n_terms", (F.col("top").getField("col1") / F.col("norm")).alias("top_weight"), F.col("top.term").alias("top_term"))
 
 
-def _tfidf(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def _tfidf(spark: SparkSession, docs: DataFrame, min_df: int = MIN_DF) -> DataFrame:
     """(doc, is_train, text) -> doc, features: sublinear tf times idf of words and word pairs, scaled to length 1.
 
     Vocabulary and idf are those of the training texts; a text without any of its terms has an empty vector.
@@ -53,7 +53,7 @@ def _tfidf(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     counts = cut(terms(spread(docs), "doc", "text"), "term-counts")
     train = docs.where("is_train").select("doc")
-    words = vocabulary(counts.join(train, "doc", "left_semi"), train.count())
+    words = vocabulary(counts.join(train, "doc", "left_semi"), train.count(), min_df)
     words = cut(words.select("term", "idf", (F.row_number().over(Window.orderBy("term")) - 1).alias("i")), "vocabulary")  # MAX_TERMS rows at most
     got = counts.join(F.broadcast(words), "term").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("i", ((1 + F.log("tf")) * F.col("idf")).alias("x")))).alias("v"))
     got = docs.select("doc").join(got, "doc", "left").withColumn("v", F.coalesce("v", F.expr("cast(array() as array<struct<i:int,x:double>>)")))
@@ -65,38 +65,59 @@ def _tfidf(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return cut(got.select("doc", vector.alias("features")), "tf-idf", T.StructType([T.StructField("doc", T.StringType()), T.StructField("features", VectorUDT())]))
 
 
+class OneVsRest:
+    """Logistic models of all labels on tf-idf of training summaries, judged on validation; equal rows are fitted once, by their number."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, min_df: int = MIN_DF):
+        from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+        p = table(spark, sf_dir, "prediction_record").where("fact_summary IS NOT NULL")
+        p = p.select(F.lower(F.trim("split")).alias("role"), "fact_summary", F.md5("fact_summary").alias("doc"), F.array_sort(M.as_set(F.col("silver_reference_labels"))).alias("ref"))
+        p = p.where(F.col("role").isin("train", "validation"))
+        docs = cut(p.groupBy("doc").agg(F.max(F.col("role") == "train").alias("is_train"), F.any_value("fact_summary").alias("text")), "texts")
+        x = cut(p.groupBy("role", "doc", "ref").agg(F.count(F.lit(1)).alias("n")), "references").join(_tfidf(spark, docs, min_df), "doc").select("role", "ref", "n", "features")
+        self.train, self.held = x.where(F.col("role") == "train").cache(), x.where(F.col("role") == "validation").cache()
+        self.labels = [x for f in families(spark, sf_dir).values() for x in f]
+        self.counts = [df.agg(F.sum("n"), *[F.sum(F.when(F.array_contains("ref", x), F.col("n"))) for x in self.labels]).first() for df in (self.train, self.held)]
+        self.n = self.counts[0][0] or 0
+        self.judge = BinaryClassificationEvaluator(metricName="areaUnderPR", weightCol="n", numBins=0)
+
+    def fit(self, c: float, balanced: bool) -> list:
+        """A model per label; None where training has no positive case of it, or no other. c is liblinear's C."""
+        from pyspark.ml.classification import LogisticRegression
+
+        out = []
+        for i, label in enumerate(self.labels):
+            n, k = self.n, self.counts[0][i + 1] or 0
+            if not k or k == n:
+                out.append(None)
+                continue
+            weight = F.col("n") * (F.when(F.col("label") == 1, n / (2 * k)).otherwise(n / (2 * (n - k))) if balanced else F.lit(1.0))
+            # C weighs the sum of losses, regParam is for their mean.
+            learn = LogisticRegression(weightCol="weight", regParam=1 / (c * n), maxIter=2000, tol=1e-5, standardization=False)
+            out.append(learn.fit(self.train.withColumn("label", F.array_contains("ref", label).cast("double")).withColumn("weight", weight)))
+        return out
+
+    def scored(self, i: int, model) -> DataFrame:
+        return model.transform(self.held.withColumn("label", F.array_contains("ref", self.labels[i]).cast("double")))
+
+    def precisions(self, models: list) -> list[float | None]:
+        """Average precision per label; None without a model or without a positive validation case."""
+        return [float(self.judge.evaluate(self.scored(i, m))) if m is not None and self.counts[1][i + 1] else None for i, m in enumerate(models)]
+
+    def close(self) -> None:
+        self.train.unpersist()
+        self.held.unpersist()
+
+
 def m02_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-vs-rest logistic models of all labels on tf-idf of training summaries with balanced weights: average precision on validation.
 
-    Equal rows are fitted once, by their number. The score is null where training or
-    validation has no positive case of a label, or training no other.
+    The score is null where training or validation has no positive case of a label, or training no other.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-
-    p = table(spark, sf_dir, "prediction_record").where("fact_summary IS NOT NULL")
-    p = p.select(F.lower(F.trim("split")).alias("role"), "fact_summary", F.md5("fact_summary").alias("doc"), F.array_sort(M.as_set(F.col("silver_reference_labels"))).alias("ref"))
-    p = p.where(F.col("role").isin("train", "validation"))
-    docs = cut(p.groupBy("doc").agg(F.max(F.col("role") == "train").alias("is_train"), F.any_value("fact_summary").alias("text")), "texts")
-    x = cut(p.groupBy("role", "doc", "ref").agg(F.count(F.lit(1)).alias("n")), "references").join(_tfidf(spark, docs), "doc").select("role", "ref", "n", "features")
-    train, held = x.where(F.col("role") == "train").cache(), x.where(F.col("role") == "validation").cache()
-    labels = [x for f in families(spark, sf_dir).values() for x in f]
-    counts = [df.agg(F.sum("n"), *[F.sum(F.when(F.array_contains("ref", x), F.col("n"))) for x in labels]).first() for df in (train, held)]
-    n = counts[0][0] or 0
-    judge = BinaryClassificationEvaluator(metricName="areaUnderPR", weightCol="n", numBins=0)
-    out = []
-    for i, label in enumerate(labels):
-        k, k_held = counts[0][i + 1] or 0, counts[1][i + 1] or 0
-        if not k or k == n or not k_held:
-            out.append((label, None, n))
-            continue
-        y = F.array_contains("ref", label).cast("double")
-        weight = F.col("n") * F.when(F.col("label") == 1, n / (2 * k)).otherwise(n / (2 * (n - k)))
-        # C = 1: the penalty is for the sum of losses, here it is for their mean.
-        model = LogisticRegression(weightCol="weight", regParam=1 / n, maxIter=2000, tol=1e-5, standardization=False).fit(train.withColumn("label", y).withColumn("weight", weight))
-        out.append((label, float(judge.evaluate(model.transform(held.withColumn("label", y)))), n))
-    train.unpersist()
-    held.unpersist()
+    it = OneVsRest(spark, sf_dir)
+    out = [(label, x, it.n) for label, x in zip(it.labels, it.precisions(it.fit(1.0, True)), strict=True)]
+    it.close()
     return spark.createDataFrame(out, "label_id string, average_precision double, n_train long")
 
 

@@ -6,7 +6,7 @@ import math
 
 import pytest
 
-from caseloom.plans import models
+from caseloom.plans import extras, models
 from caseloom.sources.tables import table
 
 
@@ -27,3 +27,14 @@ def test_tfidf(spark):
     assert got["v"].size == 6 and list(got["v"].indices) == [0, 1, 2] and list(got["v"].values) == pytest.approx([x / norm for x in want])
     assert got["e"].numNonzeros() == 0 and len(got) == 22
     assert got["d1"].values[0] / got["d1"].values[1] == pytest.approx(1 + math.log(2))
+
+
+def test_grid_is_fitted(spark, tiny, monkeypatch):
+    """The grid has twelve configurations; two of them (test_oracle.py runs all) are fitted, judged, and one threshold is tuned."""
+    assert extras.GRID == [(m, c, w) for m in (1, 2) for c in (0.25, 1.0, 4.0) for w in (False, True)]
+    monkeypatch.setattr(extras, "GRID", [(1, 0.25, False), (2, 4.0, True)])
+    got = extras.m03_grid(spark, tiny).orderBy("config").collect()
+    assert [(r.min_df, r.c, r.class_weight) for r in got] == [(1, 0.25, None), (2, 4.0, "balanced")]
+    best = max(got, key=lambda r: (r.macro_average_precision, -r.config))
+    assert [r.config for r in got if r.is_selected] == [best.config]
+    assert best.threshold in extras.GRID_THRESHOLDS and 0 < best.macro_f1 <= 1

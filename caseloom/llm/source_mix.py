@@ -99,6 +99,8 @@ class Mix:
         self.levels, self.id_col = list(levels), id_col
         goal = targets.where(c(source_col).isNotNull()).groupBy(c(source_col).alias("s")).agg(F.sum(c(share_col)).alias("w"), F.max(c(repeats_col)).alias("r"))
         rows = goal.limit(MAX_LEAVES + 1).collect()
+        if len(rows) > MAX_LEAVES:
+            raise ValueError(f"there may be {MAX_LEAVES} target sources at most")
         names = [f"__l{i}" for i in range(len(levels))]
         self.goal = {r["s"]: (r["w"] or 0.0, r["r"] if r["r"] is not None else 1) for r in rows}
         used = records.where(c(tokens_col) > 0).select(

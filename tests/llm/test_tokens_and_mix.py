@@ -136,3 +136,11 @@ def test_mix(spark):
 def test_p8(spark, tiny):
     shares = S.p8_shares(spark, tiny).collect()
     assert sum(r.actual_share for r in shares) == pytest.approx(1) and all(r.most_copies <= r.max_repeats for r in shares)
+
+
+def test_too_many_targets(spark, monkeypatch):
+    monkeypatch.setattr(S, "MAX_LEAVES", 3)
+    records = spark.createDataFrame([(1, 5, "s0")], "id long, n long, s string")
+    targets = spark.createDataFrame([(f"s{i}", 0.2, 1) for i in range(5)], "s string, w double, r int")
+    with pytest.raises(ValueError, match="target sources"):
+        S.Mix(records, "id", "n", ["s"], targets, "s", "w", "r")

@@ -34,3 +34,23 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, salt
         "__salt", F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     )
     return b.drop("__hot").join(s.drop("__hot"), [key, "__salt"], how).drop("__salt")
+
+
+def block_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame, hot_col: str, right_id: str, left_id: str | None = None, n: int = 8) -> DataFrame:
+    """Join left to right on keys, neither side unique; keys whose hot_col is hot are joined in blocks.
+
+    Of such keys, rows of right take one of n columns by a hash of right_id and, where left_id is given, rows of
+    left one of n rows; each is copied along the other direction. All other rows are moved once.
+    """
+    mark = F.broadcast(hot.select(c(hot_col).alias("__hot")))
+    rows = n if left_id else 1
+
+    def placed(df: DataFrame, own: str | None, count: int, others: int, mine: str, other: str) -> DataFrame:
+        is_hot = F.col("__hot").isNotNull()
+        at = F.pmod(F.xxhash64(c(own), F.lit(7)), F.lit(count)) if own else F.lit(0)
+        got = df.join(mark, c(hot_col) == F.col("__hot"), "left").withColumn(mine, F.when(is_hot, at).otherwise(F.lit(0)).cast("int"))
+        return got.withColumn(other, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(others - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+
+    a = placed(left, left_id, rows, n, "__row", "__column")
+    b = placed(right, right_id, n, rows, "__column", "__row")
+    return a.join(b, [*keys, "__row", "__column"]).drop("__row", "__column")

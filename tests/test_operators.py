@@ -10,7 +10,7 @@ from caseloom.operators.aliases import with_jurisdiction
 from caseloom.operators.ranking import spaced_places, with_place
 from caseloom.operators.resample import draws, intervals, replicates
 from caseloom.operators.search import balanced_partition
-from caseloom.operators.skew import hot_keys, salted_join
+from caseloom.operators.skew import block_join, hot_keys, salted_join
 from caseloom.plans.partitions import beam_cover, stratified_roles
 
 
@@ -95,3 +95,13 @@ def test_stratified_roles(spark):
     assert len(got) == 202 and len(test) == 20
     assert sum(r.stratum == "b" for r in test) == 5
     assert stratified_roles(df.limit(0), "id", "labels", 0.1).count() == 0
+
+
+def test_block_join(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 7}") for i in range(90)] + [(900, None)], "l long, k string")
+    right = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}") for i in range(60)] + [(900, None)], "r long, k string")
+    hot = hot_keys(left.groupBy("k").count(), "k", "count", 0.5)
+    want = {(a.l, b.r) for a in left.collect() for b in right.collect() if a.k is not None and a.k == b.k}
+    for left_id in ("l", None):
+        got = [tuple(r) for r in block_join(left, right, ["k"], hot, "k", "r", left_id, 4).select("l", "r").collect()]
+        assert len(got) == len(set(got)) and set(got) == want

@@ -2,42 +2,60 @@
 
 Texts that are equal but for letter case, blanks, punctuation and character form are
 one class. Classes get minwise hashes of their words with repeats, in bands; a band shared by
-a training class and an evaluation class makes a candidate, and so does, for short texts, what is
-left when one word is taken out. Candidates are verified exactly: Jaccard similarity of the
-words, then their longest common subsequence.
+a training class and an evaluation class makes a candidate if their sketches are near enough, and
+so does, for short texts, what is left when one word is taken out. Candidates are verified
+exactly: Jaccard similarity of the words, then their longest common subsequence.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions.charforms import plain
 from caseloom.functions.urls import same_page_key, url_host
+from caseloom.operators.skew import block_join, hot_keys
 from caseloom.sources.tables import c, cut, spread, table
 
-#: Hashes of a band, bands, and hashes that they draw on. Of texts with four in five words in the same order, the
-#: words with repeats have Jaccard similarity j >= 2/3; they share a band with probability 1 - (1 - j**ROWS)**BANDS:
-#: 0.9965 at 2/3, wherever the other words stand.
-ROWS, BANDS, HASHES = 5, 40, 128
-#: Of each hash, PLANES bits are kept. Candidates may differ in so many of the first bits (at 2/3 in 21.3 of 128 on
-#: average, with a deviation of 4.2), and in so many of all bits together (40, 5.2); unrelated texts in about 51 and 97.
-PLANES, BITS, CELLS = 4, 36, 60
+#: Hashes of a text. Of texts with four in five words in the same order, the words with repeats have Jaccard similarity 2/3 and more,
+#: wherever the other words stand; that is the share of hashes that agree.
+HASHES, LEAST = 128, 2 / 3
+#: A band of r hashes is shared with probability LEAST**r; so many bands are taken that none is with probability MISSED at most.
+MISSED = 0.003
+#: Unrelated texts of one kind agree in about this share of hashes; bands get so many hashes that a text meets METS of them by chance at most.
+UNRELATED, METS = 0.2, 10_000
+#: Of each hash, two bits are kept. Candidates may differ in so many of the HASHES cells of two bits (a quarter of 1 - Jaccard less: 32 at LEAST,
+#: with a deviation of 4.9), and in so many of their first half (16, 3.5).
+CELLS, HALF = 49, 31
 #: Up to so many words, four in five leave room for one other word; such pairs are found without hashes' luck.
 SHORT = 9
 #: Share of the longer text's words that stand in the same order in the other.
 SHARE = 0.8
-#: Up to so many needed texts, their ids are broadcast (8 bytes each), and up to so many classes, their sketches (80);
-#: beyond, the join shuffles.
+#: Up to so many needed texts, their ids are broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 500_000
+#: Bytes of band keys and sketches that one task joins.
+BUCKET_BYTES = 24 << 20
+#: A key is hot if a task finds it in this share of its texts; it is joined in GRID x GRID blocks.
+HOT, GRID = 0.005, 8
+
+
+def plan_bands(n: int) -> tuple[int, int]:
+    """(hashes of a band, bands) for n texts: recall is the same at every size, only chance meetings are kept in proportion."""
+    rows = 4
+    while True:
+        bands = math.ceil(math.log(MISSED) / math.log(1 - LEAST**rows))
+        if n * bands * UNRELATED**rows <= METS:
+            return rows, bands
+        rows += 1
 
 
 class _WordTable(dict):
@@ -46,6 +64,8 @@ class _WordTable(dict):
 
     def __missing__(self, cp: int) -> str:
         x = plain(chr(cp)).lower()
+        if len(x) > 1:
+            x = "".join(y for y in x if not unicodedata.combining(y))
         if not any(map(str.isalnum, x)):
             x = "" if not x or all(map(unicodedata.combining, x)) else " "
         elif "一" <= x <= "鿿":
@@ -71,52 +91,102 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Signer:
-    """Band hashes of many texts at once."""
+    """Words, minwise hashes, bands and sketches of many texts at once, in vectors over their characters."""
+
+    UNKNOWN, APART, GOLD = np.uint32(0xFFFFFFFF), np.uint32(1 << 31), np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self) -> None:
+    def __init__(self, rows: int = 4, bands: int = 26) -> None:
         rng = np.random.default_rng(6)
         self.mul = rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
-        per = HASHES // ROWS
-        self.of = [at[k * ROWS : (k + 1) * ROWS] for at in (rng.permutation(HASHES) for _ in range(-(-BANDS // per))) for k in range(per)][:BANDS]
-        self.met: dict[str, int] = {}
-
-    def _hashes(self, words: list[str]) -> list[int]:
-        """One hash per word and how often it came before."""
-        met = self.met
-        if len(met) > 500_000:
-            met.clear()
-        out, seen = [], {}
-        for w in words:
-            if w not in met:
-                met[w] = xxhash.xxh64_intdigest(w) >> 1
-            k = seen.get(w, 0)
-            seen[w] = k + 1
-            out.append(met[w] ^ k)
-        return out
-
-    def bands(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """texts x BANDS hashes, and texts x 2 * PLANES numbers of 64 bits, a bit per hash; every text has a word at least."""
-        flat: list[int] = []
-        n = []
-        for words in texts:
-            flat += self._hashes(words)
-            n.append(len(words))
-        mixed = (_mix(np.array(flat, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-        starts = np.concatenate([[0], np.cumsum(n)])[:-1]
-        low, sketch = np.empty((HASHES, len(texts)), dtype=np.uint64), np.zeros((len(texts), 2 * PLANES), dtype=np.uint64)
+        per = HASHES // rows
+        self.of = [at[k * rows : (k + 1) * rows] for at in (rng.permutation(HASHES) for _ in range(-(-bands // per))) for k in range(per)][:bands]
+        self.plain = np.full(0x110000, self.UNKNOWN, dtype=np.uint32)  # code point -> plain code point, 0 for nothing, APART for ideographs
+        self.power = np.ones(1, dtype=np.uint64)
+
+    def _learn(self, points: np.ndarray) -> bool:
+        """Fills the table; whether some character stands for several."""
+        several = False
+        for cp in np.unique(points):
+            x = _WORDS[int(cp)]
+            if len(x) == 3 and x[0] == " ":
+                self.plain[cp] = ord(x[1]) | self.APART
+            elif len(x) > 1:
+                several = True
+            else:
+                self.plain[cp] = ord(x) if x else 0
+        return several
+
+    def _characters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Plain code points of all texts, and the number of the text of each."""
+        texts = [t if t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in texts]
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        got = self.plain[points]
+        new = got == self.UNKNOWN
+        if new.any():
+            if self._learn(points[new]):
+                bad = [i for i, t in enumerate(texts) if any(len(_WORDS[cp]) > 1 for cp in map(ord, set(t)))]
+                for i in bad:
+                    texts[i] = " ".join(words_of(texts[i]))
+                points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                self._learn(points[self.plain[points] == self.UNKNOWN])
+            got = self.plain[points]
+        return got, np.repeat(np.arange(len(texts), dtype=np.uint32), [len(t) for t in texts])
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words in order, and the number of the text of each."""
+        ch, of = self._characters(texts)
+        kept = ch != 0
+        ch, of = ch[kept], of[kept]
+        word = ch != 32
+        alone = ch >= self.APART
+        first = word.copy()
+        first[1:] &= ~word[:-1] | (of[1:] != of[:-1]) | alone[1:] | alone[:-1]
+        ch, of, first = ch[word], of[word], first[word]
+        if not len(ch):
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
+        starts = np.flatnonzero(first)
+        lengths = np.diff(np.append(starts, len(ch)))
+        if (longest := int(lengths.max())) > len(self.power):
+            self.power = np.cumprod(np.append(np.ones(1, dtype=np.uint64), np.full(longest, 0xD6E8FEB86659FD93, dtype=np.uint64)))
+        at = np.arange(len(ch)) - np.repeat(starts, lengths)
+        return _mix(np.add.reduceat(_mix(ch.astype(np.uint64) + self.GOLD) * self.power[at], starts)), of[starts]
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the texts with a word: their numbers, classes (two numbers of 64 bits each), sketches (2 x HASHES bits) and bands."""
+        h, of = self.words(texts)
+        if not len(h):
+            return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros((0, HASHES // 32), np.uint64), np.zeros((0, len(self.of)), np.uint32)
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        place = (np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))).astype(np.uint64)
+        ordered = _mix(h + place * self.GOLD)
+        classes = np.column_stack([np.add.reduceat(ordered, starts), np.add.reduceat(_mix(ordered ^ self.GOLD), starts)])
+        # Words with repeats: sorted within their texts, each with how often it came before.
+        h = np.sort(of.astype(np.uint64) << np.uint64(48) | h >> np.uint64(16))
+        n = np.arange(len(h))
+        same = np.append(False, h[1:] == h[:-1])
+        again = n - np.maximum.accumulate(np.where(same, 0, n))
+        mixed = (_mix((h & np.uint64((1 << 48) - 1)) + again.astype(np.uint64) * self.GOLD) >> np.uint64(32)).astype(np.uint32)
+        low = np.empty((HASHES, len(starts)), dtype=np.uint32)
+        size, step = len(h), 32  # a few texts at a time stay in the processor's cache
+        for i in range(0, len(starts), step):
+            lo, hi = starts[i], starts[i + step] if i + step < len(starts) else size
+            x, y = mixed[lo:hi], np.empty(hi - lo, dtype=np.uint32)
+            for k in range(HASHES):
+                np.multiply(x, self.mul[k], out=y)
+                y ^= y >> np.uint32(15)
+                low[k, i : i + step] = np.minimum.reduceat(y, starts[i : i + step] - lo)
+        wide = _mix(low.astype(np.uint64) + (np.arange(HASHES, dtype=np.uint64) << np.uint64(32))[:, None])
+        sketch = np.zeros((len(starts), HASHES // 32), dtype=np.uint64)
         for k in range(HASHES):
-            h = mixed * self.mul[k]
-            h ^= h >> np.uint32(15)
-            low[k] = _mix(np.minimum.reduceat(h, starts).astype(np.uint64) + np.uint64(k << 32))
-            for p in range(PLANES):
-                sketch[:, 2 * p + k // 64] |= (low[k] >> np.uint64(p) & np.uint64(1)) << np.uint64(k % 64)
-        out = np.empty((len(texts), BANDS), dtype=np.uint64)
+            for p in range(2):
+                sketch[:, 2 * (k // 64) + p] |= (wide[k] >> np.uint64(p) & np.uint64(1)) << np.uint64(k % 64)
+        bands = np.empty((len(starts), len(self.of)), dtype=np.uint64)
         for band, at in enumerate(self.of):
-            got = np.full(len(texts), band, dtype=np.uint64)
+            got = np.full(len(starts), band, dtype=np.uint64)
             for k in at:
-                got = _mix(got * np.uint64(0x9E3779B97F4A7C15) + low[k])
-            out[:, band] = got
-        return (out >> np.uint64(32)).astype(np.uint32), sketch
+                got = _mix(got * self.GOLD + wide[k])
+            bands[:, band] = got
+        return of[starts].astype(np.int64), classes, sketch, (bands >> np.uint64(32)).astype(np.uint32)
 
 
 def short_keys(words: list[str]) -> list[int]:
@@ -155,33 +225,140 @@ def near_same(a: list[str], b: list[str]) -> tuple[float, float]:
     return jaccard, lcs(a, b) / longer
 
 
-def _sign(rows: DataFrame) -> DataFrame:
-    """(__id, __group, __train, __text) -> __id, __group, __train, __class, __sketch, __bands, __short for texts with a word."""
+def _sign(rows: DataFrame, n_rows: int, n_bands: int) -> DataFrame:
+    """(__id, __group, __train, __text) -> __id, __group, __train, __class, __sketch, __kind (a hash of the sketch), __bands, __short for texts with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer()
+        signer = Signer(n_rows, n_bands)
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                words = [words_of(t) for t in part.column(3).to_pylist()]
-                at = [i for i, w in enumerate(words) if w]
-                if not at:
-                    continue
-                kept = [words[i] for i in at]
-                bands, sketch = signer.bands(kept)
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                texts = part.column(3).to_pylist()
+                at, classes, sketch, bands = signer(texts)
                 rest = part.take(pa.array(at))
-                offsets = np.arange(0, len(at) * BANDS + 1, BANDS, dtype=np.int32)
+                short = [short_keys(words_of(texts[i])) if len(texts[i]) < 400 else [] for i in at]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        rest.column(0), rest.column(1), rest.column(2),
-                        pa.array([hashlib.md5(" ".join(w).encode("utf-8", "surrogatepass")).digest() for w in kept], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * 2 * PLANES + 1, 2 * PLANES, dtype=np.int32)), pa.array(sketch.view(np.int64).ravel())),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.view(np.int32).ravel())),
-                        pa.array([short_keys(w) for w in kept], pa.list_(pa.int64())),
-                    ],
-                    names=["__id", "__group", "__train", "__class", "__sketch", "__bands", "__short"],
-                )
+                    [rest.column(0), rest.column(1), rest.column(2), _binary(classes), _binary(sketch), pa.array(_kind(sketch)), _binary(bands), pa.array(short, pa.list_(pa.int64()))],
+                    names=["__id", "__group", "__train", "__class", "__sketch", "__kind", "__bands", "__short"],
+                )
+
+    return rows.mapInArrow(run, "__id long, __group string, __train boolean, __class binary, __sketch binary, __kind long, __bands binary, __short array<long>")
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A row of numbers as bytes each."""
+    rows = np.ascontiguousarray(rows)
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
+def _numbers(col: pa.Array, kind: type, width: int) -> np.ndarray:
+    """The opposite of _binary, for a column without nulls."""
+    lo, hi = np.frombuffer(col.buffers()[1], dtype=np.int32)[[col.offset, col.offset + len(col)]] if len(col) else (0, 0)
+    return np.frombuffer(col.buffers()[2], dtype=np.uint8)[lo:hi].view(kind).reshape(len(col), width) if len(col) else np.zeros((0, width), kind)
+
+
+def _kind(sketch: np.ndarray) -> np.ndarray:
+    """A hash of each sketch."""
+    got = np.zeros(len(sketch), dtype=np.uint64)
+    for k in range(sketch.shape[1]):
+        got = _mix(got * Signer.GOLD + sketch[:, k])
+    return got.view(np.int64)
 
-    return rows.mapInArrow(run, "__id long, __group string, __train boolean, __class binary, __sketch array<long>, __bands array<int>, __short array<long>")
+
+def _banded(batch: pa.RecordBatch, n_bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, train, sketch, bands) -> of the different ones: whether of training, sketches, hashes of them, band keys within the group."""
+    names = batch.column(0).dictionary_encode()
+    groups = np.array([xxhash.xxh64_intdigest(x) for x in names.dictionary.to_pylist()], dtype=np.uint64)[names.indices.to_numpy()] if len(batch) else np.zeros(0, np.uint64)
+    train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+    sketch = _numbers(batch.column(2), np.uint64, HASHES // 32)
+    kind = _kind(sketch).view(np.uint64)
+    _, at = np.unique(_mix(kind + _mix(groups + train.astype(np.uint64))), return_index=True)
+    keys = _mix(_numbers(batch.column(3), np.uint32, n_bands)[at].astype(np.uint64) + groups[at][:, None])
+    return train[at], sketch[at], kind[at], keys
+
+
+def _hot_bands(sides: DataFrame, n_bands: int) -> np.ndarray:
+    """Band keys that HOT of all texts have, sorted: at most n_bands / HOT. A key that so many of all have, so many of one task's have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [_banded(b, n_bands)[3].ravel() for b in batches]
+        if got:
+            keys, n = np.unique(np.concatenate(got), return_counts=True)
+            at = n >= max(32, HOT * sum(map(len, got)) / n_bands)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(n[at])], names=["key", "n"])
+
+    counts = sides.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    total = sides.count()
+    return np.sort(np.array([r.key for r in counts.where(F.col("n") >= max(32, int(HOT * total))).select("key").collect()], dtype=np.int64).view(np.uint64))
+
+
+def _near_kinds(signed: DataFrame, n_bands: int) -> DataFrame:
+    """(ka, kb): hashes of sketches of a training and an evaluation text of one group that share a band and are near enough.
+
+    Bands travel packed: a row holds keys and sketches of a batch for one bucket of keys. Copies are
+    dropped before, and hot keys are split into blocks of training and evaluation texts.
+    """
+    sides = signed.select("__group", "__train", "__sketch", "__bands")
+    hot = _hot_bands(sides, n_bands)
+    tasks = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(2 * tasks, math.ceil(signed.count() * n_bands * (4 + HASHES // 4) / BUCKET_BYTES))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            train, sketch, kind, keys = _banded(batch, n_bands)
+            flat, of = keys.ravel(), np.repeat(np.arange(len(train)), n_bands)
+            if len(hot):
+                is_hot = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat
+                own = (kind[of[is_hot]] >> np.uint64(7)) % np.uint64(GRID)  # a text's own row or column of the grid
+                cells = [np.where(train[of[is_hot]], own * np.uint64(GRID) + np.uint64(i), np.uint64(i * GRID) + own) for i in range(GRID)]
+                flat = np.concatenate([flat[~is_hot], *[_mix(flat[is_hot] + x + np.uint64(1)) for x in cells]])
+                of = np.concatenate([of[~is_hot], *[of[is_hot]] * GRID])
+            bucket = ((flat >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket * 2 + train[of], kind="stable")
+            flat, of, bucket = flat[order].astype(np.uint32), of[order], (bucket * 2 + train[of])[order]
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+            ends = np.append(starts[1:], len(bucket))
+            rows = sketch[of]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array((bucket[starts] // 2).astype(np.int32)), pa.array(bucket[starts] % 2 == 1),
+                    pa.array([flat[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()), pa.array([rows[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()),
+                ],
+                names=["bucket", "train", "keys", "sketches"],
+            )
+
+    def meet(data: pa.Table) -> pa.Table:
+        sides = []
+        for side in (True, False):
+            one = data.filter(pa.compute.equal(data["train"], side))
+            keys = np.frombuffer(b"".join(one["keys"].to_pylist()), dtype=np.uint32).astype(np.uint64) << np.uint64(32)
+            sketch = np.frombuffer(b"".join(one["sketches"].to_pylist()), dtype=np.uint64).reshape(-1, HASHES // 32)
+            whole, at = np.unique(keys | _kind(sketch).view(np.uint64) >> np.uint64(32), return_index=True)
+            sides.append((whole >> np.uint64(32), sketch[at]))
+        (ta, sa), (tb, sb) = sides
+        lo, hi = np.searchsorted(ta, tb, "left"), np.searchsorted(ta, tb, "right")
+        n = hi - lo
+        ends = np.cumsum(n)
+        found = []
+        i = 0
+        while i < len(tb):
+            j = max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 20), "right")), i + 1)  # about a million pairs at a time
+            for x in range(0, int(n[i]) if j == i + 1 else 1, 1 << 20):  # one text that meets more is cut, too
+                k = n[i:j] if j > i + 1 else np.array([min(1 << 20, int(n[i]) - x)])
+                b = np.repeat(np.arange(i, j), k)
+                a = np.repeat(lo[i:j] + x - np.append(0, np.cumsum(k)[:-1]), k) + np.arange(len(b))
+                left = np.bitwise_count((sa[a, 0] ^ sb[b, 0]) | (sa[a, 1] ^ sb[b, 1]))
+                near = np.flatnonzero(left <= HALF)
+                a, b, left = a[near], b[near], left[near]
+                near = left + np.bitwise_count((sa[a, 2] ^ sb[b, 2]) | (sa[a, 3] ^ sb[b, 3])) <= CELLS
+                if near.any():
+                    found.append(np.unique(np.column_stack([_kind(sa[a[near]]), _kind(sb[b[near]])]), axis=0))
+            i = j
+        got = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"ka": got[:, 0], "kb": got[:, 1]})
+
+    packed = sides.mapInArrow(pack, "bucket int, train boolean, keys binary, sketches binary").repartition(buckets, "bucket")
+    return packed.groupBy("bucket").applyInArrow(meet, "ka long, kb long").distinct()
 
 
 def _verify(pairs: DataFrame) -> DataFrame:
@@ -207,51 +384,42 @@ def near_classes(df: DataFrame, id_col: str, group: Column, train: Column, text_
     least; equal classes link with 1.0. Null, blank and wordless texts are in no class.
     """
     rows = df.select(c(id_col).cast("long").alias("__id"), group.alias("__group"), train.alias("__train"), c(text_col).alias("__text"))
-    rows = spread(rows.where(F.col("__text").isNotNull() & F.col("__train").isNotNull() & F.col("__group").isNotNull()))
-    signed = cut(_sign(rows), "signed")
+    rows = rows.where(F.col("__text").isNotNull() & F.col("__train").isNotNull() & F.col("__group").isNotNull())
+    n_rows, n_bands = plan_bands(df.count())
+    rows = spread(rows)
+    signed = cut(_sign(rows, n_rows, n_bands), "signed")
     members = signed.select("__id", "__group", "__train", "__class")
-    # One row per class, group and side: copies are collapsed before any pair is made.
-    sides = signed.groupBy("__group", "__class", "__train").agg(*[F.any_value(x).alias(x) for x in ("__sketch", "__bands", "__short")])
-
-    def banded(train: bool, side: str) -> DataFrame:
-        # A class travels as the first bits of its sketch, which stand for all classes that have them.
-        one = sides.where(F.col("__train") == train).select("__group", F.col("__sketch")[0].alias(f"s{side}"), F.col("__sketch")[1].alias(f"t{side}"), F.posexplode("__bands").alias("__n", "__band"))
-        return one.select(F.hash("__group", "__n", "__band").alias("__key"), f"s{side}", f"t{side}")
-
-    def differ(x: str, y: str) -> Column:
-        return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-
-    near = banded(True, "a").join(banded(False, "b"), "__key").where(differ("sa", "sb") + differ("ta", "tb") <= BITS)
-    near = cut(near.select("sa", "ta", "sb", "tb").distinct(), "near-sketches")
-    # A class is told by a 64-bit hash; classes that share one are told apart by verification.
-    sketches = cut(signed.groupBy("__class").agg(F.any_value("__sketch").alias("k")).select(F.xxhash64("__class").alias("c"), F.col("k")[0].alias("s"), F.col("k")[1].alias("t"), "k"), "sketches")
-    small = sketches.count() <= BROADCAST_IDS
+    near = cut(_near_kinds(signed, n_bands), "near-kinds")
+    kinds = signed.select("__kind", "__class").distinct()
     for side in "ab":
-        one = sketches.select(*[F.col(x).alias(f"{x}{side}") for x in ("c", "s", "t", "k")])
-        near = near.join(F.broadcast(one) if small else one, [f"s{side}", f"t{side}"])
-
-    def cells(half: int) -> Column:
-        bits = F.lit(0).cast("long")
-        for p in range(PLANES):
-            bits = bits.bitwiseOR(F.col("ka")[2 * p + half].bitwiseXOR(F.col("kb")[2 * p + half]))
-        return F.bit_count(bits)
+        near = near.join(kinds.select(F.col("__kind").alias(f"k{side}"), F.col("__class").alias(side)), f"k{side}")
 
     def short(train: bool, side: str) -> DataFrame:
-        return sides.where((F.col("__train") == train) & (F.size("__short") > 0)).select("__group", F.xxhash64("__class").alias(f"c{side}"), F.explode("__short").alias("__key"))
+        return signed.where((F.col("__train") == train) & (F.size("__short") > 0)).select("__group", F.col("__class").alias(side), F.explode("__short").alias("__key")).distinct()
 
-    found = near.where(cells(0) + cells(1) <= CELLS).select("ca", "cb").unionByName(short(True, "a").join(short(False, "b"), ["__group", "__key"]).select("ca", "cb"))
-    found = cut(found.where("ca <> cb").distinct(), "candidates")
-    need = found.select(F.col("ca").alias("__cid")).unionByName(found.select(F.col("cb").alias("__cid"))).distinct()
-    classes = members.groupBy("__class").agg(F.min("__id").alias("__id")).withColumn("__cid", F.xxhash64("__class"))
-    reps = cut(classes.join(need, "__cid", "left_semi"), "representatives")
+    found = near.select("a", "b").unionByName(short(True, "a").join(short(False, "b"), ["__group", "__key"]).select("a", "b"))
+    found = cut(found.where("a <> b").distinct(), "candidates")
+    need = found.select(F.col("a").alias("__class")).unionByName(found.select(F.col("b").alias("__class"))).distinct()
+    reps = cut(members.groupBy("__class").agg(F.min("__id").alias("__id")).join(need, "__class", "left_semi"), "representatives")
     few = reps.count() <= BROADCAST_IDS
-    texts = cut(rows.select("__id", "__text").join(F.broadcast(reps) if few else reps, "__id").select("__cid", "__class", "__text"), "candidate-texts")
-    with_a = found.join(texts.select(F.col("__cid").alias("ca"), F.col("__class").alias("a"), F.col("__text").alias("text_a")), "ca")
-    pairs = with_a.join(texts.select(F.col("__cid").alias("cb"), F.col("__class").alias("b"), F.col("__text").alias("text_b")), "cb")
+    texts = cut(rows.select("__id", "__text").join(F.broadcast(reps) if few else reps, "__id").select("__class", "__text"), "candidate-texts")
+    with_a = found.join(texts.select(F.col("__class").alias("a"), F.col("__text").alias("text_a")), "a")
+    pairs = with_a.join(texts.select(F.col("__class").alias("b"), F.col("__text").alias("text_b")), "b")
     both = members.groupBy("__class").agg(F.min("__train").alias("x"), F.max("__train").alias("y")).where(F.col("x") != F.col("y"))
     same = both.select(F.col("__class").alias("a"), F.col("__class").alias("b"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("share"))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # verification costs more than its rows weigh
-    return members, _verify(pairs.select("a", "b", "text_a", "text_b").repartition(tasks)).unionByName(same)
+    return members, cut(_verify(pairs.select("a", "b", "text_a", "text_b").repartition(tasks)).unionByName(same), "links")
+
+
+def _is_train(split: Column) -> Column:
+    """True for train, false for validation and test, null for other splits."""
+    kind = F.lower(F.trim(split))
+    return F.when(kind == "train", F.lit(True)).when(kind.isin("validation", "test"), F.lit(False))
+
+
+def _pages(df: DataFrame, id_col: str, group: Column, split: Column, url_col: str) -> DataFrame:
+    rows = df.select(c(id_col).cast("long").alias("__id"), group.alias("__group"), _is_train(split).alias("__train"), same_page_key(c(url_col)).alias("__page"))
+    return rows.where(F.col("__page").isNotNull() & F.col("__train").isNotNull() & F.col("__group").isNotNull())
 
 
 def cross_split_pairs(df: DataFrame, id_col: str, group: Column, split: Column, text_col: str, url_col: str) -> DataFrame:
@@ -260,25 +428,52 @@ def cross_split_pairs(df: DataFrame, id_col: str, group: Column, split: Column,
     Columns: train_id, eval_id, by_text, by_url, jaccard (null where only the page is the
     same). Splits are told apart without letter case; records of other or null splits, and
     null groups, are in no pair. Null or blank texts and URLs match nothing. Every record
-    of a class is paired, as a result per record is asked for.
+    of a class is paired, as a result per record is asked for; classes and pages of many
+    records are paired in blocks.
     """
-    kind = F.lower(F.trim(split))
-    train = F.when(kind == "train", F.lit(True)).when(kind.isin("validation", "test"), F.lit(False))
-    members, links = near_classes(df, id_col, group, train, text_col)
+    members, links = near_classes(df, id_col, group, _is_train(split), text_col)
     t = members.where("__train").select(F.col("__id").alias("train_id"), "__group", F.col("__class").alias("a"))
     e = members.where(~F.col("__train")).select(F.col("__id").alias("eval_id"), "__group", F.col("__class").alias("b"))
-    by_text = links.join(t, "a").join(e, ["__group", "b"])
+    hot = hot_keys(members.groupBy("__class").agg(F.count(F.lit(1)).alias("n")), "__class", "n")
+    # One row per link and group: both sides are known to have it.
+    held = links.join(t.select("a", "__group").distinct(), "a").join(e.select("b", "__group").distinct(), ["__group", "b"])
+    left = block_join(held, t, ["a", "__group"], hot.withColumnRenamed("__class", "a"), "a", "train_id")
+    by_text = block_join(left, e, ["b", "__group"], hot.withColumnRenamed("__class", "b"), "b", "eval_id", "train_id")
     by_text = by_text.select("train_id", "eval_id", F.lit(True).alias("by_text"), F.lit(False).alias("by_url"), "jaccard")
-    pages = df.select(c(id_col).cast("long").alias("__id"), group.alias("__group"), train.alias("__train"), same_page_key(c(url_col)).alias("__page"))
-    pages = pages.where(F.col("__page").isNotNull() & F.col("__train").isNotNull())
-    by_url = (
-        pages.where("__train").select(F.col("__id").alias("train_id"), "__group", "__page")
-        .join(pages.where(~F.col("__train")).select(F.col("__id").alias("eval_id"), "__group", "__page"), ["__group", "__page"])
-        .select("train_id", "eval_id", F.lit(False).alias("by_text"), F.lit(True).alias("by_url"), F.lit(None).cast("double").alias("jaccard"))
-    )
+    pages = _pages(df, id_col, group, split, url_col)
+    busy = hot_keys(pages.groupBy("__page").agg(F.count(F.lit(1)).alias("n")), "__page", "n")
+    t = pages.where("__train").select(F.col("__id").alias("train_id"), "__group", "__page")
+    e = pages.where(~F.col("__train")).select(F.col("__id").alias("eval_id"), "__group", "__page")
+    by_url = block_join(t, e, ["__group", "__page"], busy, "__page", "eval_id", "train_id")
+    by_url = by_url.select("train_id", "eval_id", F.lit(False).alias("by_text"), F.lit(True).alias("by_url"), F.lit(None).cast("double").alias("jaccard"))
     return by_text.unionByName(by_url).groupBy("train_id", "eval_id").agg(F.max("by_text").alias("by_text"), F.max("by_url").alias("by_url"), F.max("jaccard").alias("jaccard"))
 
 
+def overlap_counts(df: DataFrame, id_col: str, group: Column, split: Column, text_col: str, url_col: str) -> DataFrame:
+    """Per group, split and host of the evaluation records: n_records with a partner, n_pairs, n_pairs_by_text, n_pairs_by_url.
+
+    Counted from links of classes and from pages with the numbers of their records; no pair of records is made.
+    """
+    members, links = near_classes(df, id_col, group, _is_train(split), text_col)
+    pages = _pages(df, id_col, group, split, url_col)
+    kinds = df.select(c(id_col).cast("long").alias("__id"), group.alias("__group"), _is_train(split).alias("__train"), F.lower(F.trim(split)).alias("split"), url_host(c(url_col)).alias("host"))
+    kinds = kinds.where(F.col("__train").isNotNull() & F.col("__group").isNotNull())
+    every = kinds.join(members.select("__id", "__class"), "__id", "left").join(pages.select("__id", "__page"), "__id", "left")
+    every = cut(every.groupBy("__group", "__train", "split", "host", "__class", "__page").agg(F.count(F.lit(1)).alias("n")), "counted")
+    t, e = every.where("__train"), every.where(~F.col("__train"))
+    of_class = t.where("__class IS NOT NULL").groupBy("__group", F.col("__class").alias("a")).agg(F.sum("n").alias("n"))
+    by_text = links.join(of_class, "a").groupBy("__group", F.col("b").alias("__class")).agg(F.sum("n").alias("x"))
+    by_url = t.where("__page IS NOT NULL").groupBy("__group", "__page").agg(F.sum("n").alias("y"))
+    of_both = t.where("__class IS NOT NULL AND __page IS NOT NULL").groupBy("__group", F.col("__class").alias("a"), "__page").agg(F.sum("n").alias("n"))
+    wanted = e.select("__group", F.col("__class").alias("b"), "__page").distinct()
+    both = links.select("a", "b").join(of_both, "a").join(wanted, ["__group", "b", "__page"]).groupBy("__group", F.col("b").alias("__class"), "__page").agg(F.sum("n").alias("z"))
+    got = e.join(by_text, ["__group", "__class"], "left").join(by_url, ["__group", "__page"], "left").join(both, ["__group", "__class", "__page"], "left").fillna(0, ["x", "y", "z"])
+    pairs = F.col("x") + F.col("y") - F.col("z")
+    return got.where(pairs > 0).groupBy(F.col("__group").alias("group"), "split", "host").agg(
+        F.sum("n").alias("n_records"), F.sum(F.col("n") * pairs).alias("n_pairs"), F.sum(F.col("n") * F.col("x")).alias("n_pairs_by_text"), F.sum(F.col("n") * F.col("y")).alias("n_pairs_by_url")
+    )
+
+
 def p6_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cross-split overlaps of the predictions with their reasons."""
     df = table(spark, sf_dir, "prediction_record")
@@ -293,13 +488,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping pairs and records by evaluation, split and host of the evaluation record."""
     df = table(spark, sf_dir, "prediction_record")
-    kind = df.select(F.col("record_id").alias("eval_id"), "evaluation", F.lower(F.trim("split")).alias("split"), url_host(F.col("canonical_url")).alias("host"))
-    per = p6_overlaps(spark, sf_dir).groupBy("eval_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("by_text").cast("long")).alias("t"), F.sum(F.col("by_url").cast("long")).alias("u")
-    )
-    return per.join(kind, "eval_id").groupBy("evaluation", "split", "host").agg(
-        F.count(F.lit(1)).alias("n_records"), F.sum("n").alias("n_pairs"), F.sum("t").alias("n_pairs_by_text"), F.sum("u").alias("n_pairs_by_url")
-    )
+    return overlap_counts(df, "record_id", F.col("evaluation"), F.col("split"), "fact_summary", "canonical_url").withColumnRenamed("group", "evaluation")
 
 
 QUERIES = {"p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_report": p6_report}

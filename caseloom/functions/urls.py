@@ -13,10 +13,12 @@ from pyspark.sql.types import StringType
 def same_page_key(url: Column) -> Column:
     """Equal for URLs of one page: scheme, case of the host, default port, closing slashes,
     query, fragment and style of percent-escapes aside. Null for null and blank URLs."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), r"[?#].*$", ""), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[^/]*", 0)), r":(?:80|443)?$", "")
-    path = F.regexp_replace(F.regexp_extract(bare, r"^[^/]*(/.*)?$", 1), r"/+$", "")
-    decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    page = F.substring_index(F.substring_index(F.trim(url), "#", 1), "?", 1)
+    bare = F.regexp_replace(page, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//", "")
+    host = F.lower(F.substring_index(bare, "/", 1))
+    host = F.when(host.contains(":"), F.regexp_replace(host, r":(?:80|443)?$", "")).otherwise(host)
+    path = F.rtrim(F.substring(bare, F.length(F.substring_index(bare, "/", 1)) + 1, F.length(bare)), F.lit("/"))
+    decoded = F.when(path.contains("%"), F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)).otherwise(path)
     return F.when(bare != "", F.concat(host, decoded))
 
 

@@ -33,9 +33,10 @@ HASHES, LEAST = 128, 2 / 3
 MISSED = 0.003
 #: Unrelated texts of one kind agree in about this share of hashes; bands get so many hashes that a text meets METS of them by chance at most.
 UNRELATED, METS = 0.2, 10_000
-#: Of each hash, two bits are kept. Candidates may differ in so many of the HASHES cells of two bits (a quarter of 1 - Jaccard less: 32 at LEAST,
-#: with a deviation of 4.9), and in so many of their first half (16, 3.5).
-CELLS, HALF = 49, 31
+#: Of each hash, PLANES bits are kept, of which the first two travel with bands. Candidates may differ in so many of the HASHES cells of two
+#: bits (a quarter of 1 - Jaccard less: 32 at LEAST, with a deviation of 4.9), in so many of their first half (16, 3.5), and in so many cells
+#: of all bits (40, 5.2).
+PLANES, CELLS, HALF, ALL_CELLS = 4, 49, 31, 58
 #: Up to so many words, four in five leave room for one other word; such pairs are found without hashes' luck.
 SHORT = 9
 #: Share of the longer text's words that stand in the same order in the other.
@@ -152,10 +153,10 @@ class Signer:
         return _mix(np.add.reduceat(_mix(ch.astype(np.uint64) + self.GOLD) * self.power[at], starts)), of[starts]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the texts with a word: their numbers, classes (two numbers of 64 bits each), sketches (2 x HASHES bits) and bands."""
+        """Of the texts with a word: their numbers, classes (two numbers of 64 bits each), sketches (PLANES x HASHES bits, the first two planes first) and bands."""
         h, of = self.words(texts)
         if not len(h):
-            return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros((0, HASHES // 32), np.uint64), np.zeros((0, len(self.of)), np.uint32)
+            return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros((0, PLANES * HASHES // 64), np.uint64), np.zeros((0, len(self.of)), np.uint32)
         starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         place = (np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))).astype(np.uint64)
         ordered = _mix(h + place * self.GOLD)
@@ -167,19 +168,18 @@ class Signer:
         again = n - np.maximum.accumulate(np.where(same, 0, n))
         mixed = (_mix((h & np.uint64((1 << 48) - 1)) + again.astype(np.uint64) * self.GOLD) >> np.uint64(32)).astype(np.uint32)
         low = np.empty((HASHES, len(starts)), dtype=np.uint32)
-        size, step = len(h), 32  # a few texts at a time stay in the processor's cache
+        size, step = len(h), 64  # a few texts at a time stay in the processor's cache
         for i in range(0, len(starts), step):
             lo, hi = starts[i], starts[i + step] if i + step < len(starts) else size
             x, y = mixed[lo:hi], np.empty(hi - lo, dtype=np.uint32)
             for k in range(HASHES):
                 np.multiply(x, self.mul[k], out=y)
-                y ^= y >> np.uint32(15)
                 low[k, i : i + step] = np.minimum.reduceat(y, starts[i : i + step] - lo)
         wide = _mix(low.astype(np.uint64) + (np.arange(HASHES, dtype=np.uint64) << np.uint64(32))[:, None])
-        sketch = np.zeros((len(starts), HASHES // 32), dtype=np.uint64)
+        sketch = np.zeros((len(starts), PLANES * HASHES // 64), dtype=np.uint64)
         for k in range(HASHES):
-            for p in range(2):
-                sketch[:, 2 * (k // 64) + p] |= (wide[k] >> np.uint64(p) & np.uint64(1)) << np.uint64(k % 64)
+            for p in range(PLANES):
+                sketch[:, HASHES // 32 * (p // 2) + 2 * (k // 64) + p % 2] |= (wide[k] >> np.uint64(p) & np.uint64(1)) << np.uint64(k % 64)
         bands = np.empty((len(starts), len(self.of)), dtype=np.uint64)
         for band, at in enumerate(self.of):
             got = np.full(len(starts), band, dtype=np.uint64)
@@ -237,11 +237,11 @@ def _sign(rows: DataFrame, n_rows: int, n_bands: int) -> DataFrame:
                 rest = part.take(pa.array(at))
                 short = [short_keys(words_of(texts[i])) if len(texts[i]) < 400 else [] for i in at]
                 yield pa.RecordBatch.from_arrays(
-                    [rest.column(0), rest.column(1), rest.column(2), _binary(classes), _binary(sketch), pa.array(_kind(sketch)), _binary(bands), pa.array(short, pa.list_(pa.int64()))],
+                    [rest.column(0), rest.column(1), rest.column(2), _binary(classes), _lists(sketch), pa.array(_kind(sketch)), _binary(bands), pa.array(short, pa.list_(pa.int64()))],
                     names=["__id", "__group", "__train", "__class", "__sketch", "__kind", "__bands", "__short"],
                 )
 
-    return rows.mapInArrow(run, "__id long, __group string, __train boolean, __class binary, __sketch binary, __kind long, __bands binary, __short array<long>")
+    return rows.mapInArrow(run, "__id long, __group string, __train boolean, __class binary, __sketch array<long>, __kind long, __bands binary, __short array<long>")
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -251,6 +251,11 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).view(np.int64).ravel()))
+
+
 def _numbers(col: pa.Array, kind: type, width: int) -> np.ndarray:
     """The opposite of _binary, for a column without nulls."""
     lo, hi = np.frombuffer(col.buffers()[1], dtype=np.int32)[[col.offset, col.offset + len(col)]] if len(col) else (0, 0)
@@ -258,9 +263,9 @@ def _numbers(col: pa.Array, kind: type, width: int) -> np.ndarray:
 
 
 def _kind(sketch: np.ndarray) -> np.ndarray:
-    """A hash of each sketch."""
+    """A hash of the first two planes of each sketch."""
     got = np.zeros(len(sketch), dtype=np.uint64)
-    for k in range(sketch.shape[1]):
+    for k in range(HASHES // 32):
         got = _mix(got * Signer.GOLD + sketch[:, k])
     return got.view(np.int64)
 
@@ -270,7 +275,7 @@ def _banded(batch: pa.RecordBatch, n_bands: int) -> tuple[np.ndarray, np.ndarray
     names = batch.column(0).dictionary_encode()
     groups = np.array([xxhash.xxh64_intdigest(x) for x in names.dictionary.to_pylist()], dtype=np.uint64)[names.indices.to_numpy()] if len(batch) else np.zeros(0, np.uint64)
     train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-    sketch = _numbers(batch.column(2), np.uint64, HASHES // 32)
+    sketch = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(len(batch), -1)[:, : HASHES // 32] if len(batch) else np.zeros((0, HASHES // 32), np.uint64)
     kind = _kind(sketch).view(np.uint64)
     _, at = np.unique(_mix(kind + _mix(groups + train.astype(np.uint64))), return_index=True)
     keys = _mix(_numbers(batch.column(3), np.uint32, n_bands)[at].astype(np.uint64) + groups[at][:, None])
@@ -390,9 +395,18 @@ def near_classes(df: DataFrame, id_col: str, group: Column, train: Column, text_
     signed = cut(_sign(rows, n_rows, n_bands), "signed")
     members = signed.select("__id", "__group", "__train", "__class")
     near = cut(_near_kinds(signed, n_bands), "near-kinds")
-    kinds = signed.select("__kind", "__class").distinct()
+    kinds = signed.groupBy("__class").agg(F.any_value("__kind").alias("k"), F.any_value("__sketch").alias("s"))
     for side in "ab":
-        near = near.join(kinds.select(F.col("__kind").alias(f"k{side}"), F.col("__class").alias(side)), f"k{side}")
+        near = near.join(kinds.select(F.col("k").alias(f"k{side}"), F.col("__class").alias(side), F.col("s").alias(f"s{side}")), f"k{side}")
+
+    def cells(half: int) -> Column:
+        bits = F.lit(0).cast("long")
+        for p in range(PLANES):
+            at = HASHES // 32 * (p // 2) + 2 * half + p % 2
+            bits = bits.bitwiseOR(F.col("sa")[at].bitwiseXOR(F.col("sb")[at]))
+        return F.bit_count(bits)
+
+    near = near.where(cells(0) + cells(1) <= ALL_CELLS)
 
     def short(train: bool, side: str) -> DataFrame:
         return signed.where((F.col("__train") == train) & (F.size("__short") > 0)).select("__group", F.col("__class").alias(side), F.explode("__short").alias("__key")).distinct()
@@ -419,7 +433,7 @@ def _is_train(split: Column) -> Column:
 
 def _pages(df: DataFrame, id_col: str, group: Column, split: Column, url_col: str) -> DataFrame:
     rows = df.select(c(id_col).cast("long").alias("__id"), group.alias("__group"), _is_train(split).alias("__train"), same_page_key(c(url_col)).alias("__page"))
-    return rows.where(F.col("__page").isNotNull() & F.col("__train").isNotNull() & F.col("__group").isNotNull())
+    return cut(rows.where(F.col("__page").isNotNull() & F.col("__train").isNotNull() & F.col("__group").isNotNull()), "pages")  # read several times
 
 
 def cross_split_pairs(df: DataFrame, id_col: str, group: Column, split: Column, text_col: str, url_col: str) -> DataFrame:

@@ -9,6 +9,8 @@ ASCII, by their counts in the whole corpus.
 
 from __future__ import annotations
 
+import codecs
+import html
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -29,7 +31,6 @@ CELLS = 1 << 18
 DROP, DROP_SHARE = 4.0, 0.12
 #: A pair with a cost over this is rare; only lines with one are tried with one-byte encodings.
 RARE = 8.0
-ROUNDS = 6
 
 # Encodings that UTF-8 text may have been read in.
 UTF8_READ_AS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp1250", "koi8-r", "cp866", "iso8859-2", "cp1253", "cp1254", "mac_cyrillic", "cp855")
@@ -71,9 +72,11 @@ def _classes() -> np.ndarray:
 def _pairs(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cells of neighbouring characters, and which of the pairs hold one that isn't ASCII."""
     kinds = _classes()
-    k = np.where(points < 0x10000, kinds[np.minimum(points, 0xFFFF)], 0x30000 + (points >> 10))
-    a, b = k[:-1], k[1:]
-    return ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) % CELLS, (points[:-1] > 127) | (points[1:] > 127)
+    wide = points > 127
+    k = kinds[np.minimum(points, 0xFFFF)]
+    if (far := points > 0xFFFF).any():
+        k[far] = 0x30000 + (points[far] >> 10)
+    return ((k[:-1] * 0x9E3779B1 + k[1:] * 0x85EBCA77) >> 7) & (CELLS - 1), wide[:-1] | wide[1:]
 
 
 def _points(text: str) -> np.ndarray:
@@ -115,15 +118,15 @@ class Costs:
 
 
 @lru_cache(maxsize=64)
-def _one_byte(name: str) -> tuple[dict[str, int], str]:
-    """char -> byte of a one-byte encoding; bytes that it leaves open stand for the control characters."""
+def _one_byte(name: str) -> tuple[object, str]:
+    """(map for codecs.charmap_encode, characters) of a one-byte encoding; bytes that it leaves open stand for the control characters."""
     chars = []
     for b in range(256):
         try:
             chars.append(bytes([b]).decode(name))
         except UnicodeDecodeError:
             chars.append(chr(b))
-    return {ch: b for b, ch in reversed(list(enumerate(chars)))}, "".join(chars)
+    return codecs.charmap_build("".join(chars)), "".join(chars)
 
 
 @lru_cache(maxsize=64)
@@ -142,24 +145,58 @@ def _utf8_pattern(name: str) -> re.Pattern:
     return re.compile("(?:" + "|".join(kinds) + ")+")
 
 
+#: Character references, which may hide characters that were read wrongly before they were written so.
+_REFERENCE = re.compile(r"&(?:#\d{2,7}|#[xX][0-9A-Fa-f]{2,6}|[A-Za-z][A-Za-z0-9]{1,30});")
+
+
+def _unescaped(line: str) -> str:
+    """The line with references to characters other than ASCII resolved."""
+    new = _REFERENCE.sub(lambda m: m[0] if (x := html.unescape(m[0])).isascii() else x, line) if "&" in line else line
+    return new if new != line else line
+
+
+#: Blanks between sentences.
+_SENTENCES = re.compile(r"((?<=[.!?:;])\s+|(?<=[。！？；]))")
+_RUNS = re.compile(r"[^\x00-\x7f]{2,}")
+
+
+def _utf8_lines(lines: list[str]) -> list[tuple[str, list[int]]]:
+    """(read as, places of the lines that hold a sequence of UTF-8 read so), for each encoding that has such lines."""
+    runs = [" ".join(_RUNS.findall(x)) for x in lines]  # a misread sequence holds no ASCII
+    every = "\n".join(runs)
+    out = []
+    for name in UTF8_READ_AS:
+        pattern = _utf8_pattern(name)
+        if pattern.search(every):
+            out.append((name, [i for i, x in enumerate(runs) if x and pattern.search(x)]))
+    return out
+
+
 def _from_utf8(line: str, name: str) -> str:
     to, _ = _one_byte(name)
-    return _utf8_pattern(name).sub(lambda m: bytes(to[x] for x in m[0]).decode("utf-8"), line)
+    return _utf8_pattern(name).sub(lambda m: codecs.charmap_encode(m[0], "strict", to)[0].decode("utf-8"), line)
 
 
 def _encode(text: str, name: str) -> bytes | None:
-    if name in WIDE:
-        try:
-            return text.encode(name)
-        except UnicodeEncodeError:
-            return None
-    to, _ = _one_byte(name)
     try:
-        return bytes([to[x] for x in text])
-    except KeyError:
+        return text.encode(name) if name in WIDE else codecs.charmap_encode(text, "strict", _one_byte(name)[0])[0]
+    except UnicodeEncodeError:
         return None
 
 
+@lru_cache(maxsize=256)
+def _stretches(line: str, name: str) -> tuple[tuple[str, bytes | None], ...]:
+    """A line in parts, each with its bytes if an encoding can write it and it may be text that was read wrongly."""
+    out, at = [], 0
+    for m in _stretch_pattern(name).finditer(line):
+        # Rules and boxes aren't text: one sign in ten has to be a letter.
+        shown = [x for x in m[0] if x > "\x7f"]
+        if shown and sum(map(str.isalpha, shown)) * 10 >= len(shown):
+            out += [(line[at : m.start()], None), (m[0], _encode(m[0], name))]
+            at = m.end()
+    return (*out, (line[at:], None))
+
+
 _ASCII = frozenset(map(chr, range(128)))
 
 
@@ -204,6 +241,7 @@ class Repairer:
 
     def __init__(self, costs: Costs):
         self.costs = costs
+        self.rare: dict[str, bool] = {}  # of the lines of the text at hand
 
     def _likelier(self, old: str, new: str, drop: float) -> bool:
         """Whether a drop is large for the part of the line that a round trip recodes, and not only as that is shorter now."""
@@ -213,71 +251,90 @@ class Repairer:
     def _back(self, line: str, read: str, written: str) -> str:
         """The line with each stretch that read can write decoded strictly as written."""
 
-        def stretch(m: re.Match) -> str:
-            part = m[0]
-            if part.isascii():
-                return part
-            # Rules and boxes aren't text: one sign in ten has to be a letter.
-            shown = [x for x in part if x > "\x7f"]
-            if sum(map(str.isalpha, shown)) * 10 < len(shown):
-                return part
-            raw = _encode(part, read)
-            try:
-                new = part if raw is None else raw.decode(written)
-            except UnicodeDecodeError:
-                return part
-            return new
-
-        return _stretch_pattern(read).sub(stretch, line)
-
-    def _trips(self, text: str) -> list[tuple[str, str]]:
-        """(read as, written in) that may apply somewhere in a text."""
-        runs = " ".join(re.findall(r"[^\x00-\x7f]{2,}", text))  # a misread sequence holds no ASCII
-        out = [(x, "utf-8") for x in UTF8_READ_AS if _utf8_pattern(x).search(runs)]
-        each = self.costs.each(text)
-        if float(np.maximum(each - RARE, 0).sum()) >= DROP:
-            out += READ_WRITTEN
-        return out
-
-    def __call__(self, text: str) -> tuple[str, list[str]]:
-        """The text as far as it can be restored, and the round trips taken, outermost first.
-
-        Each round takes the trip that lowers the cost of all lines together the most, and
-        takes it in those lines only where it is accepted.
+        out = []
+        for part, raw in _stretches(line, read):
+            if raw is not None:
+                try:
+                    part = raw.decode(written)
+                except UnicodeDecodeError:
+                    pass
+            out.append(part)
+        return "".join(out)
+
+    def _rare(self, line: str) -> bool:
+        """Whether a line holds rare pairs of characters that weigh more than a trip has to save."""
+        if line not in self.rare:
+            self.rare[line] = not line.isascii() and float(np.maximum(self.costs.each(line) - RARE, 0).sum()) >= DROP
+        return self.rare[line]
+
+    def _utf8_trips(self, parts: list[str], live: list[int]) -> Iterator[tuple[str, str, list[int]]]:
+        """(read as, "utf-8", lines in which it may apply)."""
+        for read, i in _utf8_lines([parts[i] for i in live]):
+            yield read, "utf-8", [live[k] for k in i]
+
+    def _other_trips(self, parts: list[str], live: list[int]) -> Iterator[tuple[str, str, list[int]]]:
+        """(read as, written in, lines in which it may apply): of lines with rare pairs, those that hold a letter of the read-as charset."""
+        odd = {i: set(parts[i]) - _ASCII for i in live if self._rare(parts[i])} if self._rare("\n".join(parts[i] for i in live)) else {}
+        for read, written in READ_WRITTEN if odd else ():
+            yield read, written, [i for i in odd if read in WIDE or not odd[i].isdisjoint(_letters(read))]
+
+    def _rounds(self, parts: list[str]) -> list[str]:
+        """Repairs parts in place; the round trips taken, outermost first.
+
+        Each round takes the trip that lowers the cost of all parts together the most, and
+        takes it in those parts only where it is accepted. Trips of UTF-8 come first, and others
+        only where those leave rare pairs. Rounds end when no trip is accepted.
         """
         steps: list[str] = []
-        parts = re.split(r"(\r\n|\n|\r)", text)
         live = [i for i, x in enumerate(parts) if x and not x.isascii()]
-        trips = self._trips(text) if live else []
-        for _ in range(ROUNDS):
-            if not trips:
-                break
+        while live:
             best, changed, step = 0.0, {}, ""
-            each = {i: self.costs.each(parts[i]) for i in live}
-            cost = {i: float(x.sum()) for i, x in each.items()}
-            odd = {i: set(parts[i]) - _ASCII for i, x in each.items() if float(np.maximum(x - RARE, 0).sum()) >= DROP}
-            for read, written in trips:
-                utf8 = written == "utf-8" and read not in WIDE
-                got, total = {}, 0.0
-                for i in live:
-                    if not utf8 and (i not in odd or (read not in WIDE and odd[i].isdisjoint(_letters(read)))):
-                        continue
-                    new = _from_utf8(parts[i], read) if utf8 else self._back(parts[i], read, written)
-                    if new != parts[i]:
-                        drop = cost[i] - self.costs(new)
-                        if drop >= DROP and (utf8 or self._likelier(parts[i], new, drop)) and not _tears(parts[i], new):
-                            got[i] = new
-                            total += drop
-                if total > best:
-                    best, changed, step = total, got, f"{written} read as {read}"
+            cost: dict[int, float] = {}
+            for trips in (self._utf8_trips, self._other_trips):
+                for read, written, at in trips(parts, live):
+                    utf8 = written == "utf-8" and read not in WIDE
+                    got, total = {}, 0.0
+                    for i in at:
+                        new = _from_utf8(parts[i], read) if utf8 else self._back(parts[i], read, written)
+                        if new != parts[i]:
+                            if i not in cost:
+                                cost[i] = self.costs(parts[i])
+                            drop = cost[i] - self.costs(new)
+                            if drop >= DROP and (utf8 or self._likelier(parts[i], new, drop)) and not _tears(parts[i], new):
+                                got[i] = new
+                                total += drop
+                    if total > best:
+                        best, changed, step = total, got, f"{written} read as {read}"
+                if step and not any(self._rare(x) for x in changed.values()):
+                    break
             if not step:
                 break
             steps.append(step)
             for i, new in changed.items():
                 parts[i] = new
             live = [i for i in live if not parts[i].isascii()]
-            trips = self._trips("\n".join(parts[i] for i in live)) if live else []
-        return "".join(parts), steps
+        return steps
+
+    def __call__(self, text: str) -> tuple[str, list[str]]:
+        """The text as far as it can be restored, and the round trips taken.
+
+        Trips are taken in whole lines, then in sentences of the lines that still hold rare pairs.
+        Character references count as the characters that they stand for in lines that a trip
+        changes, and stay as they are in others.
+        """
+        self.rare.clear()
+        parts = re.split(r"(\r\n|\n|\r)", text)
+        read = list(map(_unescaped, parts)) if "&" in text else parts
+        lines = list(read)
+        steps = self._rounds(lines)
+        if self._rare("\n".join(lines)):
+            split = {i: y for i, x in enumerate(lines) if self._rare(x) and len(y := _SENTENCES.split(x)) > 1}
+            pieces = [y for x in split.values() for y in x]
+            if more := self._rounds(pieces):
+                steps += more
+                for i, x in split.items():
+                    lines[i], pieces = "".join(pieces[: len(x)]), pieces[len(x) :]
+        return "".join(old if now == was else now for old, was, now in zip(parts, read, lines, strict=True)), steps
 
 
 #: What only a wrong decoding leaves: the replacement sign and control characters above ASCII, next line aside.
@@ -287,8 +344,8 @@ REMAINS = re.compile("[�\x80-\x84\x86-\x9f]")
 def repair(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, is_garbled, repaired (the text as far as restored), round_trips, is_whole.
 
-    is_garbled: a round trip was accepted or signs of a wrong decoding remain; is_whole:
-    none remain. Null texts give is_garbled false and a null text; empty, blank and
+    is_garbled: a round trip was accepted or signs of a wrong decoding remain (replacement signs, stray
+    control characters); is_whole: none remain. Rows without round_trips that aren't whole were told by such signs alone. Null texts give is_garbled false and a null text; empty, blank and
     ASCII texts come out as they are; equal texts are treated alike. All texts count for
     the cost. Other columns are dropped.
     """
@@ -303,7 +360,7 @@ def repair(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                if text is None or text.isascii():
+                if text is None or (text.isascii() and _unescaped(text) is text):
                     rows.append((False, text, [], True))
                     continue
                 new, steps = fix(text)
@@ -322,9 +379,9 @@ def repair(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The garbled documents with their text as far as it could be restored."""
+    """The garbled documents with their text as far as it could be restored, and what told them: a round trip, or signs that remain."""
     got = repair(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return got.where("is_garbled").select("doc_id", "repaired", "round_trips", "is_whole")
+    return got.where("is_garbled").select("doc_id", "repaired", "round_trips", "is_whole", (F.size("round_trips") > 0).alias("by_round_trip"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

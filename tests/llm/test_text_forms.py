@@ -178,11 +178,37 @@ def test_one_stretch_misread(repairer, i, written, read):
         assert repairer(good + " " + good) == (good + " " + good, [])
 
 
+def test_sentence_in_the_same_letters(repairer):
+    """A sentence whose wrong form is written in the letters of the right lines around it."""
+    x = "Договор был подписан добровольно, однако суд это отклонил."
+    bad = "".join(M._one_byte("cp1251")[1][b] for b in x.encode("koi8-r"))
+    for good in (CLEAN[2], CLEAN[2] + " " + CLEAN[2]):
+        assert repairer(f"{good} {bad} {good}")[0] == f"{good} {x} {good}"
+
+
+def test_references(repairer):
+    """Characters that were read wrongly before they were written as character references."""
+    x = "Según la investigación, los pagos se hacían"
+    named = {ord(k): f"&{v};" for k, v in (("Ã", "Atilde"), ("º", "ordm"), ("³", "sup3"), ("\xad", "#173"))}
+    bad = misread(x, "cp1252").translate(named)
+    assert bad.isascii() and repairer(bad) == (x, ["utf-8 read as cp1252"])
+    for right in ("".join(f"&#{ord(ch)};" if ch > "\x7f" else ch for ch in CLEAN[0]), "a &lt; b &bogus; &#60; & c;"):
+        assert repairer(right) == (right, [])
+    assert repairer(bad + "\nx &eacute; &amp; x")[0] == x + "\nx &eacute; &amp; x"
+
+
+def test_many_layers(repairer):
+    x = bad = CLEAN[0]
+    for _ in range(8):
+        bad = misread(bad, "cp1252")
+    assert repairer(bad) == (x, ["utf-8 read as cp1252"] * 8)
+
+
 def test_repair_rows(spark):
-    rows = [(i, x) for i, x in enumerate(CLEAN * 40)] + [(1000, misread(CLEAN[0], "cp1252")), (1001, None), (1002, ""), (1003, "  "), (1004, "S�rk�ny"), (1005, "a" * 300_000 + misread("é", "cp1252")), (1006, "\x80")]
+    rows = [(i, x) for i, x in enumerate(CLEAN * 40)] + [(1000, misread(CLEAN[0], "cp1252")), (1001, None), (1002, ""), (1003, "  "), (1004, "S�rk�ny"), (1005, "a" * 300_000 + misread("é", "cp1252")), (1006, "\x80"), (1007, "L&acirc;&euro;&trade;inspection, relev&Atilde;&copy;e")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, repaired string")
     got = {r.doc_id: r for r in M.repair(df, "doc_id", "text").collect()}
-    assert {i for i, r in got.items() if r.is_garbled} == {1000, 1004, 1005, 1006}
+    assert {i for i, r in got.items() if r.is_garbled} == {1000, 1004, 1005, 1006, 1007}
     assert got[1000].repaired == CLEAN[0] and got[1000].is_whole and not got[1004].is_whole
     assert got[1001].repaired is None and got[1002].repaired == "" and len(got) == len(rows)
     assert M.repair(df.limit(0), "doc_id", "text").count() == 0

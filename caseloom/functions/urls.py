@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,8 +14,15 @@ from pyspark.sql.types import StringType
 def same_page_key(url: Column) -> Column:
     """Equal for URLs of one page: scheme, case of the host, default port, closing slashes,
     query, fragment and style of percent-escapes aside. Null for null and blank URLs."""
-    page = F.substring_index(F.substring_index(F.trim(url), "#", 1), "?", 1)
-    bare = F.regexp_replace(page, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//", "")
+    return _let(F.regexp_replace(F.substring_index(F.substring_index(F.trim(url), "#", 1), "?", 1), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//", ""), _page_key)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _page_key(bare: Column) -> Column:
     host = F.lower(F.substring_index(bare, "/", 1))
     host = F.when(host.contains(":"), F.regexp_replace(host, r":(?:80|443)?$", "")).otherwise(host)
     path = F.rtrim(F.substring(bare, F.length(F.substring_index(bare, "/", 1)) + 1, F.length(bare)), F.lit("/"))

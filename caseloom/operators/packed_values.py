@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import ahocorasick
 import pandas as pd
@@ -121,14 +122,13 @@ class Segmenter:
 
         def offer(j: int, cost: tuple[int, int], i: int, value: str | None) -> None:
             if j not in best:
-                todo.append(j)
+                heappush(todo, j)
                 best[j] = (*cost, i, value)
             elif cost < best[j][:2]:
                 best[j] = (*cost, i, value)
 
         while todo:
-            i = min(todo)
-            todo.remove(i)
+            i = heappop(todo)
             unknown, n = best[i][:2]
             k = i
             while k < len(s) and (_blank(s[k]) or self._delimits(s, k)):

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from caseloom.operators.aliases import with_jurisdiction
 from caseloom.sources.tables import c, cut, table
 
-#: Bounds of the search table: at most UNITS large components and UNITS bundles, LABELS label classes each.
-UNITS, LABELS = 2048, 16
+#: Bounds of the search table: at most UNITS large components and UNITS bundles, with LABELS label classes each: the most frequent
+#: labels have one each, null has its own, and the others share the last.
+UNITS, LABELS = 2048, 64
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
@@ -77,7 +78,7 @@ class GroupedSplit:
     """Rows of df with a split each; component is the entity's key.
 
     Rows with a null component are related to no other row: each is a component of its
-    own. Null labels are a label. Repeated rows count each. An empty table has an empty
+    own. Null is a label of its own. Repeated rows count each. An empty table has an empty
     result. Proportions are positive and are scaled to sum 1. Only the id, component,
     label and carried columns are read.
     """
@@ -86,6 +87,7 @@ class GroupedSplit:
         self, df: DataFrame, id_col: str, component: Column, label: Column, carry: Sequence[str] = (), proportions: dict[str, float] | None = None,
         seed: int = 20260811, runs: int = 8, steps: int = 20_000,
     ):
+        spark = df.sparkSession
         proportions = proportions or PROPORTIONS
         names = list(proportions)
         shares = np.array([proportions[n] for n in names], dtype=float)
@@ -95,9 +97,13 @@ class GroupedSplit:
         rows = df.select(
             c(id_col).alias("__id"),
             F.coalesce(F.concat(F.lit("c:"), component.cast("string")), F.concat(F.lit("r:"), c(id_col).cast("string"))).alias("__comp"),
-            F.pmod(F.xxhash64(F.coalesce(label.cast("string"), F.lit("\0"))), F.lit(LABELS)).cast("int").alias("__label"),
+            label.cast("string").alias("__name"),
             *[c(x).alias(f"__x{i}") for i, x in enumerate(carry)],
         )
+        often = rows.where(F.col("__name").isNotNull()).groupBy("__name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "__name").limit(LABELS - 2)
+        classes = {r[0]: i for i, r in enumerate(often.select("__name").collect())}  # LABELS at most
+        known = spark.createDataFrame([*classes.items()], "__name string, __label int")
+        rows = rows.join(F.broadcast(known), "__name", "left").withColumn("__label", F.when(F.col("__name").isNull(), LABELS - 2).otherwise(F.coalesce("__label", F.lit(LABELS - 1)))).drop("__name")
         by_comp = cut(rows.groupBy("__comp").agg(F.count(F.lit(1)).alias("__n")), "components")
         total = by_comp.agg(F.sum("__n")).first()[0] or 0
         heavy = F.broadcast(by_comp.where(F.col("__n") >= max(total / UNITS, 1.0)).select(F.col("__comp").alias("__heavy")))
@@ -115,6 +121,8 @@ class GroupedSplit:
             return pd.DataFrame({"__run": int(key[0]), "__cost": cost, "__unit": wide.index, "split": [names[b] for b in best]})
 
         each = units.withColumn("__run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+        # As the number of partitions is given, each run stays a task of its own; runs * 8 keep hashed runs apart.
+        each = each.repartition(runs * 8, "__run")
         states = cut(each.groupBy("__run").applyInPandas(run, "__run long, __cost double, __unit string, split string"), "split-states")
         winner = states.agg(F.min(F.struct("__cost", "__run")).alias("w")).select("w.*").first()
         self.cost = winner["__cost"]
@@ -127,10 +135,12 @@ class GroupedSplit:
         return got.select(F.col("__id").alias(self.id_col), *[F.col(f"__x{i}").alias(x) for i, x in enumerate(self.carry)], "split")
 
 
-def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+CARRY = ["run_id", "jurisdiction_id", "jurisdiction_key", "fold"]
+
+
+def _split(spark: SparkSession, sf_dir: str, carry: Sequence[str] = CARRY) -> DataFrame:
     rows = table(spark, sf_dir, "amp_per_jurisdiction")
     known = with_jurisdiction(rows, table(spark, sf_dir, "jurisdiction_alias"), "jurisdiction", ["row_id", "run_id", "method", "fold"])
-    carry = ["run_id", "jurisdiction_id", "jurisdiction_key", "fold"]
     return GroupedSplit(known, "row_id", F.col("jurisdiction_key"), F.col("method"), carry).assigned()
 
 
@@ -157,5 +167,25 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("split", "n_rows", "n_components", "n_torn", (F.col("n_rows") / total).alias("share"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_assigned": p1_assigned, "p1_shares": p1_shares}
-ORACLE: dict[str, str] = {}
+#: Bounds of what p1_invariants proves: by how much a split's share of all rows, and of the rows of a method, may be off.
+SHARE_OFF, LABEL_OFF = 0.01, 0.02
+
+
+def p1_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the swap search has to reach: every row in one split, no jurisdiction torn, and shares of rows and of methods near the proportions."""
+    got = _split(spark, sf_dir, ["method", *CARRY])
+    cells = cut(got.groupBy("split", "method", "jurisdiction_key").agg(F.count(F.lit(1)).alias("n")), "split-cells")
+    torn = cells.where(F.col("jurisdiction_key").isNotNull()).groupBy("jurisdiction_key").agg(F.countDistinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_torn"))
+    # Every split of every method, the ones without rows included; names in JSON keep null apart.
+    name = F.to_json(F.struct("method"))
+    there = [F.sum(F.when(F.col("split") == x, F.col("n")).otherwise(0)).alias(f"n_{x}") for x in PROPORTIONS]
+    by_method = cells.groupBy(name.alias("name")).agg(F.sum("n").alias("n"), *there)
+    off = [F.abs(F.col(f"n_{x}") - share * F.col("n")) for x, share in PROPORTIONS.items()]
+    sums = by_method.agg(F.sum("n").alias("n_rows"), F.greatest(*[F.abs(F.sum(f"n_{x}") - share * F.sum("n")) for x, share in PROPORTIONS.items()]).alias("off"), F.max(F.greatest(*off)).alias("label_off"))
+    got = sums.withColumn("__one", F.lit(1)).join(torn.withColumn("__one", F.lit(1)), "__one")  # a row each
+    near = lambda x, most: F.coalesce(F.col(x) <= most * F.col("n_rows"), F.lit(True))
+    return got.select(F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "n_torn", near("off", SHARE_OFF).alias("shares_near"), near("label_off", LABEL_OFF).alias("labels_near"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_assigned": p1_assigned, "p1_shares": p1_shares, "p1_invariants": p1_invariants}
+ORACLE = {"p1_invariants": "SELECT count(*) AS n_rows, 0 AS n_torn, true AS shares_near, true AS labels_near FROM amp_per_jurisdiction"}

@@ -26,9 +26,10 @@ from pyspark.sql import types as T
 from caseloom.llm.tokenizers import PATTERN, TOKENIZER_DIR, merge, ranks
 from caseloom.sources.tables import c, shared_dir, spread, table
 
-#: Bounds of the lexicon: it is at most this many words of at most this many bytes.
-MAX_WORDS, MAX_BYTES = 50_000, 32
-_FIELDS = (("first", np.int32), ("label", np.uint8), ("target", np.int32), ("add", np.int32), ("final", np.uint8), ("offset", np.int32), ("ids", np.int32))
+#: Bounds of the lexicon: it is at most this many words of at most this many characters (of up to 4 bytes).
+MAX_WORDS, MAX_CHARS = 50_000, 32
+#: Arrays of the file. arcs: state * 256 + label of each arc, sorted.
+_FIELDS = (("arcs", np.int64), ("target", np.int32), ("add", np.int32), ("final", np.uint8), ("offset", np.int32), ("ids", np.int32))
 
 
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -45,7 +46,7 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(w for w in split(text) if len(w) <= MAX_BYTES)
+                    seen.update(w for w in split(text) if len(w) <= MAX_CHARS)
                 if len(seen) > 200_000:
                     yield flush()
         yield flush()
@@ -58,10 +59,7 @@ class Transducer:
     """Minimal acyclic automaton with numbered words, as flat arrays."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
-        self.a = arrays
-        # Arcs are stored by (state, label): one number each, sorted.
-        state = np.repeat(np.arange(len(arrays["first"]) - 1, dtype=np.int64), np.diff(arrays["first"]))
-        self.arcs = state * 256 + arrays["label"]
+        self.a, self.arcs = arrays, arrays["arcs"]
 
     @staticmethod
     def build(words: list[bytes], ids: list[list[int]]) -> Transducer:
@@ -96,17 +94,16 @@ class Transducer:
             size[s] = finals[s] + sum(size[t] for _, t in out)
         order = [root, *(s for s in range(len(arcs)) if s != root)]
         number = {s: k for k, s in enumerate(order)}
-        first, label, target, add = [0], [], [], []
+        keys, target, add = [], [], []
         for s in order:
             before = int(finals[s])
             for b, t in arcs[s]:
-                label.append(b)
+                keys.append(number[s] * 256 + b)
                 target.append(number[t])
                 add.append(before)
                 before += size[t]
-            first.append(len(label))
         flat = [x for row in ids for x in row]
-        got = (first, label, target, add, [finals[s] for s in order], np.cumsum([0, *map(len, ids)]), flat)
+        got = (keys, target, add, [finals[s] for s in order], np.cumsum([0, *map(len, ids)]), flat)
         return Transducer({k: np.asarray(v, dtype=d) for (k, d), v in zip(_FIELDS, got, strict=True)})
 
     def to_bytes(self) -> bytes:
@@ -137,7 +134,7 @@ class Transducer:
         state, number = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         if not len(self.arcs):
             return np.full(n, -1)
-        alive = np.flatnonzero((width > 0) & (width <= MAX_BYTES * 4))
+        alive = np.flatnonzero((width > 0) & (width <= MAX_CHARS * 4))
         start = np.concatenate([[0], np.cumsum(width)])[:-1]
         data = np.frombuffer(b"".join(words) or b"\0", dtype=np.uint8)
         ok = np.zeros(n, dtype=bool)

@@ -45,7 +45,7 @@ class TokenBudget:
         # dropDuplicates keeps one text a hash before the shuffle, too.
         distinct = hashed.where(F.length(F.coalesce("__text", F.lit(""))) > 0).select("__hash", "__text").dropDuplicates(["__hash"])
         self.counts = cut(text_counts(distinct, name, folder), "token-counts")
-        self.rows = hashed.drop("__text")
+        self.rows = cut(hashed.drop("__text"), "hashed")  # read for hot hashes, for copies and for the join
         self.id_col = id_col
 
     def records(self) -> DataFrame:

@@ -40,6 +40,18 @@ def test_groups_stay_together(spark):
     assert all(abs(share[k] - v) < 0.02 for k, v in G.PROPORTIONS.items())
 
 
+def test_labels_are_balanced(spark):
+    """A hundred labels, null among them: each of the frequent ones is spread by the proportions."""
+    rng = random.Random(2)
+    rows = [(i, f"g{rng.randrange(400)}", None if i % 5 == 0 else f"m{min(rng.randrange(200), 99)}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, g string, l string")
+    got = G.GroupedSplit(df, "id", F.col("g"), F.col("l"), ["g", "l"], runs=3, steps=20_000).assigned()
+    assert got.groupBy("g").agg(F.countDistinct("split").alias("k")).where("k > 1").count() == 0
+    for label in (None, "m99"):
+        of = {r.split: r["count"] for r in got.where(F.col("l").eqNullSafe(F.lit(label))).groupBy("split").count().collect()}
+        assert all(abs(of[x] / sum(of.values()) - share) < 0.02 for x, share in G.PROPORTIONS.items())
+
+
 def test_split_edges(spark):
     df = spark.createDataFrame([(1, "a", "x")], "id long, g string, l string")
     assert G.GroupedSplit(df.limit(0), "id", F.col("g"), F.col("l"), runs=1, steps=10).assigned().count() == 0

@@ -243,5 +243,21 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p7_ids": p7_ids}
-ORACLE: dict[str, str] = {}
+def p7_round_trip(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
+    """Documents, those whose ids don't give their text back, and those without ids (null and empty texts)."""
+    docs = table(spark, sf_dir, "documents")
+    both = docs.select("doc_id", "text").join(encode(docs, "doc_id", "text", name, folder), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = {k: b for b, k in ranks(name, folder).items()}
+        for batch in batches:
+            texts, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            same = [b"".join(map(pieces.__getitem__, x)) == (t or "").encode() for t, x in zip(texts, ids, strict=True)]
+            yield pa.RecordBatch.from_pydict({"same": pa.array(same, pa.bool_()), "empty": pa.array([not x for x in ids], pa.bool_())})
+
+    got = both.select("text", "ids").mapInArrow(run, "same boolean, empty boolean")
+    return got.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(~F.col("same")).alias("n_different"), F.count_if("empty").alias("n_empty"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_round_trip": p7_round_trip}
+ORACLE = {"p7_round_trip": "SELECT count(*) AS n_docs, 0 AS n_different, count(*) FILTER (coalesce(text, '') = '') AS n_empty FROM documents"}

@@ -4,7 +4,9 @@ Hierarchical budgeting: the token budget flows from the root through the levels
 tree (source, language, domain) by weight. What a node can't take, as its texts may be
 repeated only so often, goes to its siblings first and to its ancestors' siblings only
 when those are full. Each leaf takes whole epochs of its texts and then a prefix of one
-more epoch in a seeded order, up to its budget in tokens.
+more epoch in a seeded order, up to its budget in tokens; whether the text at which a leaf's
+budget ends is taken follows from what the leaves of the source before it took too much or too
+little, so that a source is off by half a text, however many leaves it has.
 """
 
 from __future__ import annotations
@@ -136,8 +138,18 @@ class Mix:
         near = placed.join(ends, names, "left")
         inside = near.where(F.col("__bin") == F.col("__end"))
         w = Window.partitionBy(*names).orderBy("__order", "__id").rowsBetween(Window.unboundedPreceding, 0)
-        # The text at which the budget ends is taken if the larger part of it is within.
-        inside = inside.withColumn("__take", F.col("__before") + F.sum("__n").over(w) - F.col("__n") / 2 <= F.col("__left"))
+        inside = cut(inside.withColumn("__upto", F.col("__before") + F.sum("__n").over(w)), "mix-inside")  # a bin of each leaf
+        edge = inside.where((F.col("__upto") > F.col("__left")) & (F.col("__upto") - F.col("__n") < F.col("__left")))
+        edges = edge.select(*names, "__n", (F.col("__left") - F.col("__upto") + F.col("__n")).alias("__room")).collect()  # a row per leaf
+        taken, carry = [], defaultdict(float)
+        for r in sorted(edges, key=lambda r: tuple(r[n] for n in names)):
+            source = r["__l0"]
+            take = carry[source] + r["__room"] >= r["__n"] / 2
+            carry[source] += r["__room"] - take * r["__n"]
+            taken.append((*(r[n] for n in names), take))
+        taken_df = F.broadcast(spark.createDataFrame(taken, ", ".join([*(f"{n} string" for n in names), "__edge boolean"])))
+        inside = inside.join(taken_df, names, "left")
+        inside = inside.withColumn("__take", (F.col("__upto") <= F.col("__left")) | ((F.col("__upto") - F.col("__n") < F.col("__left")) & F.coalesce("__edge", F.lit(False))))
         rest = near.where(F.col("__end").isNull() | (F.col("__bin") != F.col("__end")))
         rest = rest.withColumn("__take", (F.col("__left") > 0) & (F.col("__end").isNull() | (F.col("__bin") < F.col("__end"))))
         both = inside.select("__id", "__n", *names, "__whole", "__take").unionByName(rest.select("__id", "__n", *names, "__whole", "__take"))
@@ -180,5 +192,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares()
 
 
-QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares}
-ORACLE: dict[str, str] = {}
+def p8_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target source: texts taken more often than allowed (0), and whether it has its share of the tokens but for one text, or all that it can give."""
+    mix = _mix(spark, sf_dir)
+    over = mix.chosen.join(F.broadcast(mix.goal_df.select("__l0", "__most")), "__l0").groupBy(F.col("__l0").alias("source")).agg(F.count_if(F.col("copies") > F.col("__most")).alias("k"))
+    size = mix.used.groupBy(F.col("__l0").alias("source")).agg(F.max("__n").alias("largest"))
+    got = mix.shares().join(over, "source", "left").join(size, "source", "left")
+    weight = sum(max(w, 0.0) for w, _ in mix.goal.values()) or 1.0
+    enough = F.col("tokens_taken") + F.coalesce("largest", F.lit(0)) >= F.col("target_share") / weight * mix.total
+    return got.select("source", F.coalesce("k", F.lit(0)).alias("n_over_cap"), (enough | (F.col("tokens_taken") >= F.col("n_tokens") * F.col("max_repeats"))).alias("is_reached"))
+
+
+QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p8_bounds": p8_bounds}
+ORACLE = {"p8_bounds": "SELECT source, 0 AS n_over_cap, true AS is_reached FROM mix_target WHERE source IS NOT NULL GROUP BY source"}

@@ -505,5 +505,35 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_counts(df, "record_id", F.col("evaluation"), F.col("split"), "fact_summary", "canonical_url").withColumnRenamed("group", "evaluation")
 
 
-QUERIES = {"p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_report": p6_report}
-ORACLE: dict[str, str] = {}
+def p6_same_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluation: pairs of a training and an evaluation record of one page, counted from the numbers of records of each page."""
+    pages = _pages(table(spark, sf_dir, "prediction_record"), "record_id", F.col("evaluation"), F.col("split"), "canonical_url")
+    per = pages.groupBy("__group", "__page").agg(F.count_if("__train").alias("t"), F.count_if(~F.col("__train")).alias("e")).where("t > 0 AND e > 0")
+    return per.groupBy(F.col("__group").alias("evaluation")).agg(F.count(F.lit(1)).alias("n_pages"), F.sum(F.col("t") * F.col("e")).alias("n_pairs"))
+
+
+def p6_equal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluation: pairs of a training and an evaluation record whose texts are the same but for blanks at the ends, and those of them that the search leaves out (none)."""
+    df = table(spark, sf_dir, "prediction_record")
+    rows = df.select("evaluation", _is_train(F.col("split")).alias("train"), F.md5(F.trim("fact_summary")).alias("text"), F.col("record_id").alias("__id")).where(F.trim("fact_summary") != "")
+    members = near_classes(df, "record_id", F.col("evaluation"), _is_train(F.col("split")), "fact_summary")[0]
+    rows = rows.where("train IS NOT NULL AND evaluation IS NOT NULL").join(members.select("__id", "__class"), "__id", "left")
+    per = rows.groupBy("evaluation", "text").agg(F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("e"), F.countDistinct(F.coalesce("__class", F.unhex(F.hex("__id")))).alias("k"))
+    per = per.where("t > 0 AND e > 0").groupBy("evaluation")
+    return per.agg(F.sum(F.col("t") * F.col("e")).alias("n_pairs"), F.sum(F.when(F.col("k") > 1, F.col("t") * F.col("e")).otherwise(0)).alias("n_apart"))
+
+
+QUERIES = {"p6_same_pages": p6_same_pages, "p6_equal_texts": p6_equal_texts, "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_report": p6_report}
+_KIND = "CASE lower(trim(split)) WHEN 'train' THEN true WHEN 'validation' THEN false WHEN 'test' THEN false END AS train"
+ORACLE = {
+    "p6_same_pages": f"""
+        WITH u AS (SELECT evaluation, {_KIND}, regexp_replace(regexp_replace(trim(canonical_url), '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*:)?//', '') AS b FROM prediction_record),
+        k AS (SELECT evaluation, train, regexp_replace(lower(regexp_extract(b, '^[^/]*')), ':(80|443)?$', '') || url_decode(replace(regexp_replace(regexp_extract(b, '^[^/]*(/.*)?$', 1), '/+$', ''), '+', '%2B')) AS page
+          FROM u WHERE b <> '' AND train IS NOT NULL AND evaluation IS NOT NULL),
+        n AS (SELECT evaluation, page, count(*) FILTER (train) AS t, count(*) FILTER (NOT train) AS e FROM k GROUP BY ALL)
+        SELECT evaluation, count(*) AS n_pages, sum(t * e) AS n_pairs FROM n WHERE t > 0 AND e > 0 GROUP BY ALL""",
+    "p6_equal_texts": f"""
+        WITH u AS (SELECT evaluation, {_KIND}, trim(fact_summary) AS x FROM prediction_record WHERE trim(fact_summary) <> ''),
+        n AS (SELECT evaluation, x, count(*) FILTER (train) AS t, count(*) FILTER (NOT train) AS e FROM u WHERE train IS NOT NULL AND evaluation IS NOT NULL GROUP BY ALL)
+        SELECT evaluation, sum(t * e) AS n_pairs, 0 AS n_apart FROM n WHERE t > 0 AND e > 0 GROUP BY ALL""",
+}

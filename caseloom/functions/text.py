@@ -10,8 +10,25 @@ BLANK = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 #: A mark that no text holds; stands between pieces before they are split.
 CUT = "\x1e"
-# Abbreviations whose point ends no sentence.
-ABBREVIATIONS = ("v", "vs", "Mr", "Mrs", "Ms", "Dr", "No", "Nos", "Art", "Arts", "Sec", "para", "paras", "cf", "e\\.g", "i\\.e", "etc", "Rep", "Fed", "St")
+# Abbreviations whose point ends no sentence, in any letter case; nor does that of a single letter.
+ABBREVIATIONS = ("art", "arts", "dr", "e.g", "etc", "i.e", "jr", "mr", "mrs", "ms", "no", "nos", "para", "paras", "prof", "sec", "secs", "sr", "st", "u.k", "u.s", "v", "vs")
+#: What begins an item of a list: a bullet, or up to three letters or digits with a point or bracket.
+ITEM = r"(?:[-•*]|[(]?[0-9A-Za-z]{1,3}[).])"
+SPACE = r"[\t\p{Zs}]"
+#: What may close and open a sentence next to its mark.
+CLOSING, OPENING = r"""["'’”)\]]""", r"""["'“‘(\[]"""
+#: Patterns of sentences(), each with what it is replaced by; CUT ends a piece, HELD is a point that ends none.
+HELD = "\x1f"
+_HOLDS = "|".join(x.replace(".", "[.]") for x in ABBREVIATIONS)
+SENTENCE_STEPS = (
+    (r"\r\n|\r", "\n"),
+    (rf"\n{BLANK}*\n", CUT),
+    (rf"\n({SPACE}*{ITEM}{SPACE})", CUT + "$1"),
+    (rf"{BLANK}+", " "),
+    (rf"(^|[^A-Za-z.])((?i:{_HOLDS}|[a-z]))[.]", "$1$2" + HELD),
+    (rf"([.!?](?:[.!?]|{CLOSING})*) ({OPENING}*\p{{Lu}})", "$1" + CUT + "$2"),
+    (HELD, "."),
+)
 
 
 def strip(x: Column) -> Column:
@@ -66,16 +83,11 @@ def ordered_unique(values: Column) -> Column:
 
 def sentences(x: Column) -> Column:
     """Sentences in order. Paragraphs and list items always end one; a point, question or exclamation
-    mark does before a capital, unless it ends an abbreviation, an initial or stands in a number."""
-    text = F.regexp_replace(strip(x), r"\r\n|\r", "\n")
-    text = F.regexp_replace(text, r"\n[ \t]*\n+", CUT)
-    text = F.regexp_replace(text, r"\n([ \t]*(?:[-*•][ \t]+|\(?[A-Za-z0-9]{1,3}[.)][ \t]+))", CUT + "$1")
-    text = F.regexp_replace(text, rf"{BLANK}+", " ")
-    # A protected point is hidden behind a mark while sentences are cut.
-    text = F.regexp_replace(text, rf"(^|[^\p{{L}}])({'|'.join(ABBREVIATIONS)}|\p{{Lu}})\. ", "$1$2\x1f ")
-    text = F.regexp_replace(text, r"""([.!?]+["'’”)\]]*) (["'“‘(\[]*\p{Lu})""", "$1" + CUT + "$2")
-    pieces = F.split(F.regexp_replace(text, "\x1f", "."), CUT)
-    return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")
+    mark does before a capital, unless it is of an abbreviation, an initial or a number."""
+    text = strip(x)
+    for pattern, by in SENTENCE_STEPS:
+        text = F.regexp_replace(text, pattern, by)
+    return F.filter(F.transform(F.split(text, CUT), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def numbered(values: Column) -> Column:

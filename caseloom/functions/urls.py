@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def same_page_key(url: Column) -> Column:
@@ -35,18 +32,35 @@ def url_host(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-@F.pandas_udf(StringType())
-def normal_escapes(paths: pd.Series) -> pd.Series:
+#: Characters that need no escape in a path.
+UNRESERVED = "[A-Za-z0-9._~-]"
+
+
+def normal_escapes(path: Column) -> Column:
     """Percent escapes in one form: unreserved characters decoded, hex digits upper case, a stray % escaped."""
-    unreserved = re.compile(r"[A-Za-z0-9._~-]")
 
-    def one(m: re.Match) -> str:
-        if m[1] is None:
-            return "%25"
-        ch = chr(int(m[1], 16))
-        return ch if unreserved.fullmatch(ch) else "%" + m[1].upper()
+    def piece(x: Column, i: Column) -> Column:
+        code = F.substring(x, 1, 2)
+        char = F.chr(F.conv(code, 16, 10).cast("long"))
+        known = F.when(char.rlike(f"^{UNRESERVED}$"), char).otherwise(F.concat(F.lit("%"), F.upper(code)))
+        return F.when(i == 0, x).when(x.rlike("^[0-9A-Fa-f]{2}"), F.concat(known, F.substring(x, 3, 1 << 30))).otherwise(F.concat(F.lit("%25"), x))
+
+    return F.when(path.contains("%"), F.array_join(F.transform(F.split(path, "%"), piece), "")).otherwise(path)
+
+
+# The first and the third step of a case page's path, between which a step names the language, and those languages.
+SITE_STEPS, SITE_LANGUAGES = ("cld", "case-law-doc"), ("ar", "en", "es", "fr", "ru", "zh")
+
+
+def site_path(path: Column, steps: tuple[str, str] = SITE_STEPS, languages: tuple[str, ...] = SITE_LANGUAGES) -> Column:
+    """A path with slashes of one kind, no empty steps, and no language between the two steps."""
+
+    def joined(s: Column) -> Column:
+        named = (F.get(s, 0) == steps[0]) & F.lower(F.get(s, 1)).isin(*languages) & (F.get(s, 2) == steps[1])
+        kept = F.when(F.coalesce(named, F.lit(False)), F.concat(F.slice(s, 1, 1), F.slice(s, 3, 1 << 30))).otherwise(s)
+        return F.array_join(F.transform(kept, lambda x: F.concat(F.lit("/"), x)), "")
 
-    return paths.map(lambda p: p if not isinstance(p, str) or "%" not in p else re.sub(r"%(?:([0-9A-Fa-f]{2}))?", one, p))
+    return _let(F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda x: x != ""), joined)
 
 
 def url_flags(url: Column) -> Column:
@@ -66,13 +80,10 @@ def url_flags(url: Column) -> Column:
 
 
 def page_identity(url: Column) -> Column:
-    """Host and path of a web page: https without port or with its own, slashes collapsed, the locale step
-    and the closing slash dropped, query and fragment aside; null for anything else."""
-    u = F.regexp_replace(F.trim(url), r"[?#].*$", "")
+    """Host and site_path() of a web page by https, without port or with its own, query and fragment aside; null for anything else."""
+    u = F.substring_index(F.substring_index(F.trim(url), "#", 1), "?", 1)
     host = F.lower(F.regexp_extract(u, r"^(?i:https)://([^/:@]+)(?::443)?(?:/|$)", 1))
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(u, r"^[A-Za-z]+://[^/]+(.*)$", 1), r"\\", "/"), r"/{2,}", "/")
-    path = F.regexp_replace(path, r"^/cld/(?i:ar|zh|en|fr|ru|es)/case-law-doc/", "/cld/case-law-doc/")
-    return F.when(host != "", F.concat(host, F.regexp_replace(path, r"/+$", "")))
+    return F.when(host != "", F.concat(host, site_path(F.regexp_extract(u, r"^[A-Za-z]+://[^/]+(.*)$", 1))))
 
 
 def url_relation(actual: Column, expected: Column) -> Column:

@@ -9,13 +9,13 @@ from caseloom.functions import text as T
 from caseloom.functions.urls import page_identity, same_page_key
 from caseloom.operators import integrity as I
 from caseloom.operators.label_metrics import ratio
-from caseloom.operators.ranking import spaced_places, with_place
+from caseloom.operators.ranking import quantiles, running_within, spaced_places, with_place, with_upto
 from caseloom.operators.skew import hot_keys, salted_join
 from caseloom.plans.metrics import SQL_PREDICTIONS as _P
 from caseloom.plans.metrics import ontology, predictions, test_cases
 from caseloom.plans.texts import SQL_BLANK as _B
 from caseloom.plans.texts import sql_identity as _identity
-from caseloom.sources.tables import table
+from caseloom.sources.tables import cut, small, table
 
 SEED = "20260811"
 
@@ -179,11 +179,14 @@ def a18_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a19_download_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles and fences of body sizes by status, and how many pages lie beyond the fences."""
     h = table(spark, sf_dir, "http_outcome").where(F.length("body") > 0).select("status", F.octet_length("body").alias("b"))
-    q = h.groupBy("status").agg(F.percentile("b", F.array(*map(F.lit, (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)))).alias("q"), F.avg("b").alias("mean"), F.count(F.lit(1)).alias("n"))
-    fences = q.withColumns({"lo": F.col("q")[2] - 1.5 * (F.col("q")[4] - F.col("q")[2]), "hi": F.col("q")[4] + 1.5 * (F.col("q")[4] - F.col("q")[2])})
-    out = h.join(F.broadcast(fences.select("status", "lo", "hi")), "status").groupBy("status").agg(F.count_if((F.col("b") < F.col("lo")) | (F.col("b") > F.col("hi"))).alias("n_outliers"))
-    names = ("p01", "p05", "p25", "p50", "p75", "p95", "p99")
-    return fences.join(out, "status").select("status", "n", "mean", *[F.col("q")[i].alias(x) for i, x in enumerate(names)], "lo", "hi", "n_outliers")
+    counts = cut(h.where("status IS NOT NULL").groupBy("status", "b").agg(F.count(F.lit(1)).alias("k")), "sizes")  # bodies are read once
+    q = quantiles(counts, ["status"], "b", {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}, "k")
+    q = q.withColumns({"lo": F.col("p25") - 1.5 * (F.col("p75") - F.col("p25")), "hi": F.col("p75") + 1.5 * (F.col("p75") - F.col("p25"))})
+    # A row per status code: the fences are at most a thousand.
+    sums = counts.join(F.broadcast(small(q.select("status", "lo", "hi"), 1000)), "status").groupBy("status").agg(
+        F.sum("k").alias("n"), (F.sum(F.col("b") * F.col("k")) / F.sum("k")).alias("mean"), F.sum(F.when((F.col("b") < F.col("lo")) | (F.col("b") > F.col("hi")), F.col("k")).otherwise(0)).alias("n_outliers")
+    )
+    return q.join(sums, "status")
 
 
 def a20_http_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,16 +214,28 @@ def a23_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a24_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage of requests (events): sums, medians, 90th percentiles, distinct users, failures."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.median("value").alias("median_value"), F.percentile("value", 0.9).alias("p90_value"),
-        F.countDistinct("user_id").alias("n_users"), F.count_if(F.col("value") > 15).alias("n_slow"),
-    )
+    got = e.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.countDistinct("user_id").alias("n_users"), F.count_if(F.col("value") > 15).alias("n_slow")
+    )
+    q = quantiles(e, ["event_type"], "value", {"median_value": 0.5, "p90_value": 0.9}).withColumnRenamed("event_type", "t")
+    return got.join(q, F.col("event_type").eqNullSafe(F.col("t")), "left").drop("t")
 
 
 def a25_usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage by type and hour, by type and overall; medians of raw rows at every level."""
-    e = table(spark, sf_dir, "events").select("event_type", F.hour("ts").alias("hour"), "value", "ts")
-    return e.rollup("event_type", "hour").agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("median_value"), F.grouping_id().cast("int").alias("level"))
+    e = table(spark, sf_dir, "events").groupBy("event_type", F.hour("ts").alias("hour"), "value").agg(F.count(F.lit(1)).alias("k"))
+    none = F.lit(None)
+    levels = F.array(
+        F.struct(F.col("event_type"), F.col("hour"), F.lit(0).alias("level")), F.struct(F.col("event_type"), none.cast("int").alias("hour"), F.lit(1).alias("level")),
+        F.struct(none.cast("string").alias("event_type"), none.cast("int").alias("hour"), F.lit(3).alias("level")),
+    )
+    each = e.select(F.inline(levels), "value", "k")
+    keys = ["event_type", "hour", "level"]
+    q = quantiles(each, keys, "value", {"median_value": 0.5}, "k")
+    q = q.select(*[F.col(x).alias(f"q_{x}") for x in keys], "median_value")
+    same = [F.col(x).eqNullSafe(F.col(f"q_{x}")) for x in keys]
+    n = each.groupBy(*keys).agg(F.sum("k").alias("n"))
+    return n.join(q, same, "left").select("event_type", "hour", "n", "median_value", "level")
 
 
 def a26_token_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,16 +254,15 @@ def a27_proxy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a28_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average precision of a score (an embedding's first number) for each label; equal scores are one step."""
-    e = table(spark, sf_dir, "embeddings").select("label", F.round(F.col("embedding")[0].cast("double"), 2).alias("score"))
-    n = e.groupBy("label").agg(F.count(F.lit(1)).alias("positives"))
-    step = e.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    hits = e.groupBy("label", "score").agg(F.count(F.lit(1)).alias("k"))
-    # Positives up to a score within the label, all rows up to a score over distinct scores (at most a few thousand).
-    seen = step.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0))).select("score", "upto")
-    w = Window.partitionBy("label").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    got = hits.join(seen, "score").withColumn("found", F.sum("k").over(w)).join(n, "label")
-    return got.groupBy("label").agg(F.sum(F.col("found") / F.col("upto") * F.col("k") / F.col("positives")).alias("average_precision"), F.max("positives").alias("positives"))
+    """Average precision of a score (an embedding's first number) for each label; equal scores are one step.
+
+    Rows up to a score, and positives up to it within a label, are running totals over ranges of the order.
+    """
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("score")).where("score IS NOT NULL")
+    hits = cut(e.groupBy("label", "score").agg(F.count(F.lit(1)).alias("k")), "hits")
+    seen = with_upto(hits.groupBy("score").agg(F.sum("k").alias("n")), [F.desc("score")], F.col("n"), "upto").select("score", "upto")
+    got = running_within(hits, "label", [F.desc("score")], "k", "found").join(seen, "score")
+    return got.groupBy("label").agg(F.sum(F.col("found") / F.col("upto") * F.col("k") / F.col("found_total")).alias("average_precision"), F.max("found_total").alias("positives"))
 
 
 def a29_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,7 +364,6 @@ def _page(u: str) -> str:
 
 
 
-
 def _pieces(x: str) -> str:
     return f"len(list_filter(string_split_regex({x}, '{_B}+'), lambda w: w <> ''))"
 
@@ -409,7 +422,7 @@ ORACLE = {
     + " FROM k GROUP BY ALL",
     "a27_proxy_tokens": f"""WITH k AS (SELECT evaluation, {_pieces("coalesce(fact_summary, '')")} AS w FROM prediction_record)
         SELECT evaluation, count(*) AS n, CAST(count(*) * 900 + sum(w) AS BIGINT) AS zero_shot, CAST(count(*) * 2400 + sum(w) AS BIGINT) AS six_shot FROM k GROUP BY ALL""",
-    "a28_average_precision": """WITH e AS (SELECT label, round(CAST(embedding[1] AS DOUBLE), 2) AS score FROM embeddings), s0 AS (SELECT score, count(*) AS n FROM e GROUP BY score),
+    "a28_average_precision": """WITH e AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings), s0 AS (SELECT score, count(*) AS n FROM e GROUP BY score),
         s AS (SELECT score, sum(n) OVER (ORDER BY score DESC) AS upto FROM s0), h0 AS (SELECT label, score, count(*) AS k FROM e GROUP BY label, score),
         h AS (SELECT *, sum(k) OVER (PARTITION BY label ORDER BY score DESC) AS found FROM h0), n AS (SELECT label, count(*) AS positives FROM e GROUP BY label)
         SELECT h.label, sum(found / upto * k / positives) AS average_precision, max(positives) AS positives FROM h JOIN s ON h.score = s.score JOIN n ON h.label = n.label GROUP BY h.label""",

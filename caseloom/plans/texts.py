@@ -1,21 +1,21 @@
-"""Text, URL and cell functions over the tables (scalar functions F1-F33, predicates P1-P13, rules C1-C8)."""
+"""Text, URL and cell functions over the tables (scalar functions F1-F33, predicates P1-P13, rules C7 and C8)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
 from caseloom.functions import urls as U
 from caseloom.functions.language import language_code
-from caseloom.sources.tables import table
+from caseloom.sources.tables import small, table
 
 
 def f01_canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical form and flags of each requested URL; a fatal flag blanks it."""
     u = table(spark, sf_dir, "prediction_record").select("record_id", F.trim("canonical_url").alias("url"))
     flags = U.url_flags(F.col("url"))
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract("url", r"^[A-Za-z]+://[^/]+([^?#]*)", 1), r"\\", "/"), r"/{2,}", "/")
+    path = U.site_path(F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1))
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]+)", 1))
     fatal = F.arrays_overlap(flags, F.array(*map(F.lit, ("MISSING", "CONTROL_CHARACTER", "DOT_SEGMENT", "MALFORMED_ESCAPE", "OTHER_SCHEME"))))
     got = u.select("record_id", fatal.alias("fatal"), F.array_join(flags, "|").alias("flags"), host.alias("host"), U.normal_escapes(path).alias("path"))
@@ -120,14 +120,15 @@ def f17_list_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f18_label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of normalized cells mapped to ids, with codes for unknown, misplaced and repeated ones."""
+    """Labels of normalized cells mapped to ids, with codes: unknown, of another family, or repeated within the cell (after the first)."""
     qc = table(spark, sf_dir, "human_annotation_qc_report").withColumn("field", F.trim("field"))
     family = F.when(F.col("field").startswith("Acts"), "ACT").when(F.col("field").startswith("Means"), "MEANS").when(F.col("field").startswith("Purpose"), "PURPOSE")
-    rows = qc.where(F.col("normalized_value").startswith("[")).select("qc_id", family.alias("expected"), F.explode(F.from_json("normalized_value", "array<string>")).alias("raw_label"))
-    known = F.broadcast(table(spark, sf_dir, "amp_ontology").select("label_id", "family", "raw_label"))
+    rows = qc.where(F.col("normalized_value").startswith("[")).select("qc_id", family.alias("expected"), F.posexplode(F.from_json("normalized_value", "array<string>")).alias("i", "raw_label"))
+    known = F.broadcast(small(table(spark, sf_dir, "amp_ontology").select("label_id", "family", "raw_label"), 1000))
     got = rows.where(F.col("expected").isNotNull()).join(known, "raw_label", "left")
-    code = F.when(F.col("label_id").isNull(), "UNKNOWN_LABEL").when(F.col("family") != F.col("expected"), "WRONG_FAMILY").otherwise("OK")
-    return got.groupBy("expected", code.alias("code")).agg(F.count(F.lit(1)).alias("n_labels"), F.countDistinct("raw_label").alias("n_distinct"))
+    again = F.min("i").over(Window.partitionBy("qc_id", "raw_label")) < F.col("i")  # the labels of one cell
+    code = F.when(F.col("label_id").isNull(), "UNKNOWN_LABEL").when(F.col("family") != F.col("expected"), "WRONG_FAMILY").when(again, "DUPLICATE_LABEL").otherwise("OK")
+    return got.withColumn("code", code).groupBy("expected", "code").agg(F.count(F.lit(1)).alias("n_labels"), F.countDistinct("raw_label").alias("n_distinct"))
 
 
 def f20_sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,11 +169,13 @@ def f24_pane_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f25_page_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Locale of a page: the script's variable, else the html tag."""
-    body = F.col("body").cast("string")
+    """Locale of a page and where it is from: the script's variable, else the html tag, else the language step of its URL."""
+    body, url = F.col("body").cast("string"), F.coalesce("final_url", "requested_url")
     script, tag = F.regexp_extract(body, r"pageLocale = '([a-z]{2})'", 1), F.regexp_extract(body, r'<html lang="([a-z]{2})"', 1)
-    got = table(spark, sf_dir, "http_outcome").where(F.length("body") > 0).select(script.alias("script"), tag.alias("tag"))
-    return got.groupBy(F.coalesce(F.nullif("script", F.lit("")), F.nullif("tag", F.lit(""))).alias("locale"), (F.col("script") != "").alias("from_script")).agg(F.count(F.lit(1)).alias("n_pages"))
+    step = F.regexp_extract(url, rf"/{U.SITE_STEPS[0]}/({'|'.join(U.SITE_LANGUAGES)})/{U.SITE_STEPS[1]}/", 1)
+    got = table(spark, sf_dir, "http_outcome").where(F.length("body") > 0).select(script.alias("script"), tag.alias("tag"), step.alias("step"))
+    origin = F.when(F.col("script") != "", "script").when(F.col("tag") != "", "tag").when(F.col("step") != "", "url").otherwise("none")
+    return got.groupBy(F.coalesce(*[F.nullif(x, F.lit("")) for x in ("script", "tag", "step")]).alias("locale"), origin.alias("origin")).agg(F.count(F.lit(1)).alias("n_pages"))
 
 
 def f27_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,10 +237,13 @@ def p03_first_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p05_booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markers of pages read as booleans by two vocabularies."""
+    """Markers of pages read as booleans by three vocabularies: blank as false and yes or no allowed; strict; any case of 1 and TRUE."""
     v = table(spark, sf_dir, "page_validation")
     text = F.get_json_object("markers", "$.has_case_title")
-    return v.groupBy(T.bool_of(text, ("TRUE", "1", "YES"), ("FALSE", "0", "NO"), False).alias("lenient"), T.bool_of(text, ("TRUE", "1"), ("FALSE", "0"), None).alias("strict")).agg(F.count(F.lit(1)).alias("n"))
+    any_case = T.bool_of(text, ("TRUE", "1"), ("FALSE", "0", "NO", "N"), False)
+    return v.groupBy(
+        T.bool_of(text, ("TRUE", "1", "YES"), ("FALSE", "0", "NO"), False).alias("lenient"), T.bool_of(text, ("TRUE", "1"), ("FALSE", "0"), None).alias("strict"), any_case.alias("any_case")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def p06_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,12 +270,46 @@ def p09_answerable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.where(F.col("review_status").isin("SUBSTANTIVE") & (F.col("blocks_scoring") == 0)).groupBy(F.trim("field").alias("field")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def error_filters(label: str, family: str) -> dict[str, Column]:
+    """Conditions on (ref, pred) by name: not exact, a label missed or invented, a family's prediction empty or not within the reference."""
+    of = lambda x: F.filter(x, lambda v: v.startswith(family + "_"))
+    ref, pred = F.col("ref"), F.col("pred")
+    return {
+        "not_exact": (F.size(F.array_except(ref, pred)) > 0) | (F.size(F.array_except(pred, ref)) > 0),
+        "label_wrong": F.array_contains(ref, label) != F.array_contains(pred, label),
+        "not_contained": (F.size(of(pred)) == 0) | (F.size(F.array_except(of(pred), of(ref))) > 0),
+    }
+
+
+def inspected(cases: DataFrame, evaluation: str | None = None, method: str | None = None, fold: int | None = None, jurisdiction: str | None = None, only: Column | None = None) -> DataFrame:
+    """Test cases by the filters that are given, in the order of their ids; the report shows the first 100."""
+    for name, value in (("evaluation", evaluation), ("method", method), ("fold", fold), ("jurisdiction", jurisdiction)):
+        if value is not None:
+            cases = cases.where(F.col(name) == value)
+    return (cases if only is None else cases.where(only)).select("record_id", "evaluation", "method", "jurisdiction").orderBy("record_id").limit(100)
+
+
+def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = table(spark, sf_dir, "prediction_record").where(F.lower(F.trim("split")) == "test")
+    as_set = lambda x: F.array_distinct(F.coalesce(x, F.array().cast("array<string>")))
+    return y.select("record_id", "evaluation", "method", "fold", "jurisdiction", as_set("silver_reference_labels").alias("ref"), as_set("predicted_labels").alias("pred"))
+
+
 def p10_error_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 100 test cases that miss or invent a chosen label (a report of that size)."""
-    y = table(spark, sf_dir, "prediction_record")
-    label = F.lit("MEANS_FALSE_PROMISE")
-    wrong = F.coalesce(F.array_contains("silver_reference_labels", label) != F.array_contains("predicted_labels", label), F.lit(False))
-    return y.where((F.lower(F.trim("split")) == "test") & wrong).select("record_id", "evaluation", "method", "jurisdiction").orderBy("record_id").limit(100)
+    return inspected(_sets(spark, sf_dir), only=error_filters("MEANS_FALSE_PROMISE", "MEANS")["label_wrong"])
+
+
+def p10_fold_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 100 of the second fold of A2 by method M3 whose means are not within the reference."""
+    return inspected(_sets(spark, sf_dir), "A2", "M3", 2, only=error_filters("MEANS_FALSE_PROMISE", "MEANS")["not_contained"])
+
+
+def p10_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many test cases each filter leaves, by evaluation, method, fold and jurisdiction."""
+    tests = error_filters("MEANS_FALSE_PROMISE", "MEANS")
+    got = _sets(spark, sf_dir).groupBy("evaluation", "method", "fold", "jurisdiction")
+    return got.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(t).alias(f"n_{k}") for k, t in tests.items()])
 
 
 def p11_demo_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,12 +320,21 @@ def p11_demo_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(ok).join(high, "jurisdiction", "left_anti").select("review_id")
 
 
+def role_profile(labels: Column, forms: Column, text: Column, required: tuple[str, ...], form: str | None, words: tuple[int, int], acts: int, means: int, pattern: str) -> Column:
+    """Whether a record fits a role: required labels, the only form named, a range of words, least numbers of acts and means, a pattern."""
+    of = lambda f: F.size(F.filter(labels, lambda v: v.startswith(f + "_")))
+    fits = (F.size(F.array_except(F.array(*map(F.lit, required)), labels)) == 0) & T.word_count(F.coalesce(text, F.lit(""))).between(*words) & (of("ACT") >= acts) & (of("MEANS") >= means)
+    if form is not None:
+        fits &= F.array_contains(forms, form) & (F.size(forms) == 1)
+    return fits & F.coalesce(F.lower(text).rlike(pattern), F.lit(False))
+
+
 def p12_role_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews that fit a profile: labels required, word range, a pattern in the text."""
+    """Reviews that fit a profile: labels required, one form, word range, label counts, a pattern in the text."""
     d = table(spark, sf_dir, "demo_bank_review")
-    labels = F.coalesce(F.from_json("act_ontology_ids_json", "array<string>"), F.array().cast("array<string>"))
-    ok = (F.size(F.array_except(F.array(F.lit("ACT_ACCEPT")), labels)) == 0) & T.word_count(F.coalesce("english_fact_summary", F.lit(""))).between(60, 400)
-    return d.where(ok & F.coalesce(F.col("english_fact_summary").rlike("court|judge|appeal"), F.lit(False))).select("review_id")
+    array = lambda x: F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>"))
+    labels = F.concat(array("act_ontology_ids_json"), array("means_ontology_ids_json"))
+    return d.where(role_profile(labels, array("geographic_form_reference_json"), F.col("english_fact_summary"), ("ACT_ACCEPT",), "Cross-border", (40, 400), 1, 1, "court|judge|appeal|peti|tribunal")).select("review_id")
 
 
 def p13_review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,23 +345,6 @@ def p13_review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def c01_text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered rules over a text: the first pattern that matches names the class."""
-    t = F.lower(F.coalesce("text", F.lit("")))
-    rules = (("GROUP", r"group of|workers|labourers|recruits|deckhands"), ("PAIR", r"two sisters|married couple|couple"), ("SINGLE", r"the complainant|the applicant|a domestic worker|injured party"))
-    word = F.lit("UNKNOWN")
-    for name, pattern in reversed(rules):
-        word = F.when(t.rlike(pattern), F.lit(name)).otherwise(word)
-    return table(spark, sf_dir, "documents").groupBy("doc_domain", word.alias("signal")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def c04_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ages in years that texts name, and whether all of a text's are of adults."""
-    ages = F.transform(F.regexp_extract_all("text", F.lit(r"\(([0-9]{1,2}) years\)"), 1), lambda x: x.cast("int"))
-    got = table(spark, sf_dir, "documents").select("doc_id", ages.alias("ages")).where(F.size("ages") > 0)
-    return got.select("doc_id", F.array_min("ages").alias("youngest"), F.array_max("ages").alias("oldest"), F.forall("ages", lambda a: a >= 18).alias("all_adult"))
-
-
 def c07_page_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages checked for status, size, type and required parts; error codes in order."""
     h = table(spark, sf_dir, "http_outcome").select("page_id", "status", "body", F.try_element_at("headers", F.lit("content-type")).alias("kind"))
@@ -338,7 +370,7 @@ QUERIES = {
         f01_canonical_urls, f02_escapes, f03_page_identity, f04_url_relations, f05_url_year, f06_collapsed, f07_nfkc_titles, f09_blocks, f10_bullets, f11_f12_word_counts, f13_excerpts,
         f14_sentences, f15_numbered, f16_evidence_ids, f17_list_cells, f18_label_ids, f20_sentinels, f21_canonical_json, f22_safe_json, f23_digests, f24_pane_languages, f25_page_locale,
         f27_memberships, f28_retry_waits, f29_failures, f32_clarity, f33_formatted, p01_usable_text, p02_cohort, p03_first_values, p05_booleans, p06_integers, p07_roles, p08_training_rows,
-        p09_answerable, p10_error_inspection, p11_demo_pool, p12_role_profiles, p13_review_status, c01_text_signals, c04_ages, c07_page_validity, c08_parse_status,
+        p09_answerable, p10_error_inspection, p11_demo_pool, p12_role_profiles, p10_fold_inspection, p10_error_counts, p13_review_status, c07_page_validity, c08_parse_status,
     )
 }
 
@@ -358,32 +390,62 @@ def _words(x: str) -> str:
     return f"len(regexp_extract_all({x}, '{_W}+(?:[''’-]{_W}+)*'))"
 
 
+def sql_site_path(x: str) -> str:
+    """site_path() in SQL."""
+    first, third = U.SITE_STEPS
+    s = f"list_filter(string_split(replace({x}, chr(92), '/'), '/'), lambda x: x <> '')"
+    named = f"coalesce(({s})[1] = '{first}' AND lower(({s})[2]) IN {U.SITE_LANGUAGES} AND ({s})[3] = '{third}', false)"
+    return f"array_to_string(list_transform(CASE WHEN {named} THEN list_concat(({s})[1:1], ({s})[3:]) ELSE {s} END, lambda y: '/' || y), '')"
+
+
 def sql_identity(u: str) -> str:
     v = f"regexp_replace(trim({u}), '[?#].*$', '')"
     host = f"lower(regexp_extract({v}, '^(?i:https)://([^/:@]+)(?::443)?(?:/|$)', 1))"
-    path = f"regexp_replace(regexp_replace(regexp_extract({v}, '^[A-Za-z]+://[^/]+(.*)$', 1), '\\\\', '/', 'g'), '/{{2,}}', '/', 'g')"
-    path = f"regexp_replace(regexp_replace({path}, '^/cld/(?i:ar|zh|en|fr|ru|es)/case-law-doc/', '/cld/case-law-doc/'), '/+$', '')"
+    path = sql_site_path(f"regexp_extract({v}, '^[A-Za-z]+://[^/]+(.*)$', 1)")
     return f"CASE WHEN {host} <> '' THEN {host} || {path} END"
 
 
+def sql_escapes(x: str) -> str:
+    """normal_escapes() in SQL."""
+    char = "chr(CAST('0x' || left(y, 2) AS INT))"
+    known = f"CASE WHEN regexp_matches({char}, '^{U.UNRESERVED}$') THEN {char} ELSE '%' || upper(left(y, 2)) END"
+    return f"array_to_string(list_transform(string_split({x}, '%'), lambda y, i: CASE WHEN i = 1 THEN y WHEN regexp_matches(y, '^[0-9A-Fa-f]{{2}}') THEN ({known}) || substr(y, 3) ELSE '%25' || y END), '')"
+
+
 def _relation(a: str, b: str) -> str:
     return f"CASE WHEN coalesce(trim({a}), '') = '' THEN 'MISSING' WHEN {a} = {b} THEN 'EXACT_MATCH' WHEN {sql_identity(a)} = {sql_identity(b)} THEN 'CANONICAL_EQUIVALENT' ELSE 'MISMATCH' END"
 
 
 def _sentences(x: str) -> str:
-    t = f"regexp_replace({_strip(x)}, '\\r\\n|\\r', chr(10), 'g')"
-    t = f"regexp_replace({t}, '\\n[ \\t]*\\n+', chr(30), 'g')"
-    t = f"regexp_replace({t}, '\\n([ \\t]*(?:[-*•][ \\t]+|\\(?[A-Za-z0-9]{{1,3}}[.)][ \\t]+))', chr(30) || '\\1', 'g')"
-    t = f"regexp_replace({t}, '{_B}+', ' ', 'g')"
-    t = f"regexp_replace({t}, '(^|[^\\p{{L}}])({'|'.join(T.ABBREVIATIONS)}|\\p{{Lu}})\\. ', '\\1\\2' || chr(31) || ' ', 'g')"
-    t = f"""regexp_replace({t}, '([.!?]+["''’”)\\]]*) (["''“‘(\\[]*\\p{{Lu}})', '\\1' || chr(30) || '\\2', 'g')"""
-    return f"list_filter(list_transform(string_split(replace({t}, chr(31), '.'), chr(30)), lambda s: trim(s)), lambda s: s <> '')"
+    t = _strip(x)
+    for pattern, by in T.SENTENCE_STEPS:
+        t = f"regexp_replace({t}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by.replace('$', chr(92))}', 'g')"
+    return f"list_filter(list_transform(string_split({t}, chr(30)), lambda s: trim(s)), lambda s: s <> '')"
 
 
 _HAS = lambda x: f"coalesce({_strip(x)}, '') <> ''"
 _LINES = f"list_transform(string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10)), lambda l: {_collapse('l')})"
 
+_AS_SET = "coalesce(list_distinct({}), [])"
+_SETS = f"""WITH s AS (SELECT record_id, evaluation, method, fold, jurisdiction, {_AS_SET.format("silver_reference_labels")} AS ref, {_AS_SET.format("predicted_labels")} AS pred FROM prediction_record WHERE lower(trim(split)) = 'test')"""
+_OF = lambda x: f"list_filter({x}, lambda v: starts_with(v, 'MEANS_'))"
+_OUTSIDE = f"(len({_OF('pred')}) = 0 OR len(list_intersect({_OF('pred')}, {_OF('ref')})) < len({_OF('pred')}))"
+_HOST = "lower(regexp_extract(u, '^[A-Za-z]+://([^/:?#]+)', 1))"
+_ESCAPED_PATH = sql_escapes(sql_site_path("regexp_extract(u, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1)"))
+_ANY_PATH = "regexp_replace(regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '[?#].*$', '')"
+_URL_TESTS = (
+    ("BACKSLASH", "contains(u, chr(92))", False), ("CONTROL_CHARACTER", r"regexp_matches(u, '[\x00-\x1f\x7f]')", True), ("DOT_SEGMENT", rf"regexp_matches({_ANY_PATH}, '(^|/)[.]{{1,2}}(/|$)')", True),
+    ("MALFORMED_ESCAPE", f"regexp_matches(regexp_replace({_ANY_PATH}, '%[0-9A-Fa-f]{{2}}', '', 'g'), '%')", True), ("NO_HTML_PAGE", f"NOT ends_with(lower({_ANY_PATH}), '.html')", False), ("OTHER_SCHEME", "NOT regexp_matches(lower(u), '^https?://')", True),
+)
+_FLAGS = "CASE WHEN u IS NULL OR u = '' THEN 'MISSING' ELSE array_to_string(list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t, _ in _URL_TESTS) + "], lambda x: x IS NOT NULL), '|') END"
+_FATAL = "coalesce(u, '') = '' OR " + " OR ".join(t for _, t, fatal in _URL_TESTS if fatal)
+
 ORACLE = {
+    "f01_canonical_urls": f"WITH k AS (SELECT record_id, trim(canonical_url) AS u FROM prediction_record) SELECT record_id, {_FLAGS} AS flags, CASE WHEN NOT ({_FATAL}) THEN 'https://' || {_HOST} || {_ESCAPED_PATH} END AS canonical_url FROM k",
+    "f02_escapes": f"""SELECT page_id, {sql_escapes("regexp_extract(requested_url, '^[A-Za-z]+://[^/]+([^?#]*)', 1)")} AS path FROM http_outcome""",
+    "f25_page_locale": rf"""WITH h AS (SELECT body::VARCHAR AS t, coalesce(final_url, requested_url) AS u FROM http_outcome WHERE octet_length(body) > 0),
+        k AS (SELECT regexp_extract(t, 'pageLocale = \\x27([a-z]{{2}})\\x27', 1) AS a, regexp_extract(t, '<html lang=\\x22([a-z]{{2}})\\x22', 1) AS b, coalesce(regexp_extract(u, '/{U.SITE_STEPS[0]}/({"|".join(U.SITE_LANGUAGES)})/{U.SITE_STEPS[1]}/', 1), '') AS c FROM h)
+        SELECT coalesce(nullif(a, ''), nullif(b, ''), nullif(c, '')) AS locale, CASE WHEN a <> '' THEN 'script' WHEN b <> '' THEN 'tag' WHEN c <> '' THEN 'url' ELSE 'none' END AS origin, count(*) AS n_pages FROM k GROUP BY ALL""",
     "f03_page_identity": f"SELECT record_id, {sql_identity('canonical_url')} AS page FROM prediction_record",
     "f04_url_relations": f"SELECT h.page_id, {_relation('final_url', 'requested_url')} AS final_relation, {_relation('og_url', 'requested_url')} AS og_relation FROM http_outcome h LEFT JOIN page_validation v ON h.page_id = v.page_id",
     "f05_url_year": "SELECT page_id, try_cast(regexp_extract(requested_url, '/((?:19|20)[0-9]{2})/', 1) AS INT) AS url_year FROM http_outcome",
@@ -400,10 +462,10 @@ ORACLE = {
     "f16_evidence_ids": """WITH e AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\bS([1-9][0-9]*):', 1), lambda x: x::INT) AS ids FROM documents)
         SELECT doc_id, array_to_string(list_transform(list_sort(list_distinct(ids)), lambda x: 'S' || x), ';') AS evidence, list_sort(list_distinct(ids)) = ids AS is_valid FROM e WHERE len(ids) > 0""",
     "f17_list_cells": "WITH k AS (SELECT qc_id, from_json(normalized_value, '[\"VARCHAR\"]') AS v FROM human_annotation_qc_report WHERE normalized_value LIKE '[%') SELECT qc_id, len(v) AS n_items, array_to_string(v, ' / ') AS items FROM k",
-    "f18_label_ids": """WITH k AS (SELECT CASE WHEN trim(field) LIKE 'Acts%' THEN 'ACT' WHEN trim(field) LIKE 'Means%' THEN 'MEANS' WHEN trim(field) LIKE 'Purpose%' THEN 'PURPOSE' END AS expected,
+    "f18_label_ids": """WITH k AS (SELECT qc_id, CASE WHEN trim(field) LIKE 'Acts%' THEN 'ACT' WHEN trim(field) LIKE 'Means%' THEN 'MEANS' WHEN trim(field) LIKE 'Purpose%' THEN 'PURPOSE' END AS expected,
         unnest(from_json(normalized_value, '["VARCHAR"]')) AS raw_label FROM human_annotation_qc_report WHERE normalized_value LIKE '[%')
-        SELECT expected, CASE WHEN label_id IS NULL THEN 'UNKNOWN_LABEL' WHEN family <> expected THEN 'WRONG_FAMILY' ELSE 'OK' END AS code, count(*) AS n_labels, count(DISTINCT raw_label) AS n_distinct
-        FROM k LEFT JOIN amp_ontology USING (raw_label) WHERE expected IS NOT NULL GROUP BY ALL""",
+        SELECT expected, CASE WHEN label_id IS NULL THEN 'UNKNOWN_LABEL' WHEN family <> expected THEN 'WRONG_FAMILY' WHEN again THEN 'DUPLICATE_LABEL' ELSE 'OK' END AS code, count(*) AS n_labels, count(DISTINCT raw_label) AS n_distinct
+        FROM (SELECT *, row_number() OVER (PARTITION BY qc_id, raw_label) > 1 AS again FROM k) LEFT JOIN amp_ontology USING (raw_label) WHERE expected IS NOT NULL GROUP BY ALL""",
     "f20_sentinels": """SELECT trim(field) AS field, CASE upper(trim(raw_value)) WHEN 'TRUE' THEN 'YES' WHEN 'FALSE' THEN 'NO' WHEN 'SINGLE' THEN 'ONE' WHEN 'MULTIPLE' THEN 'MANY' WHEN 'UNKNOWN' THEN 'UNKNOWN' ELSE 'OTHER' END AS value,
         count(*) AS n FROM human_annotation_qc_report WHERE trim(field) IN ('child human labeled', 'multiplicity human labeled') GROUP BY ALL""",
     "f21_canonical_json": """WITH j AS (SELECT review_id, to_json({'jurisdiction': jurisdiction, 'narrative_language': narrative_language, 'review_id': review_id, 'search_rank': search_rank})::VARCHAR AS canonical FROM demo_bank_review)
@@ -427,22 +489,24 @@ ORACLE = {
         AND json_array_length(purpose_ontology_ids_json) > 0""",
     "p03_first_values": f"""SELECT qc_id, coalesce(nullif(raw_value, ''), nullif(normalized_value, '')) AS first_nonempty, CASE WHEN {_HAS('raw_value')} THEN raw_value WHEN {_HAS('normalized_value')} THEN normalized_value END AS first_nonblank
         FROM human_annotation_qc_report""",
-    "p05_booleans": "SELECT coalesce((markers->>'$.has_case_title')::BOOLEAN, false) AS lenient, (markers->>'$.has_case_title')::BOOLEAN AS strict, count(*) AS n FROM page_validation GROUP BY ALL",
+    "p05_booleans": "SELECT coalesce((markers->>'$.has_case_title')::BOOLEAN, false) AS lenient, (markers->>'$.has_case_title')::BOOLEAN AS strict, coalesce((markers->>'$.has_case_title')::BOOLEAN, false) AS any_case, count(*) AS n FROM page_validation GROUP BY ALL",
     "p06_integers": """WITH k AS (SELECT record_id, search_rank, try_cast(nullif(regexp_extract(case_id, '([0-9]+)$', 1), '') AS INT) AS n FROM prediction_record) SELECT record_id, coalesce(n, -1) AS case_number, n = search_rank AS agrees FROM k""",
     "p07_roles": "SELECT evaluation, upper(trim(split)) AS role, count(*) AS n FROM prediction_record GROUP BY ALL",
     "p08_training_rows": "SELECT evaluation, method, count(*) AS n FROM prediction_record WHERE upper(trim(split)) NOT IN ('VALIDATION', 'TEST') AND NOT coalesce(truncated_input, false) GROUP BY ALL",
     "p09_answerable": "SELECT trim(field) AS field, count(*) AS n FROM human_annotation_qc_report WHERE review_status = 'SUBSTANTIVE' AND blocks_scoring = 0 GROUP BY ALL",
-    "p10_error_inspection": """SELECT record_id, evaluation, method, jurisdiction FROM prediction_record WHERE lower(trim(split)) = 'test'
-        AND coalesce(list_contains(silver_reference_labels, 'MEANS_FALSE_PROMISE') <> list_contains(predicted_labels, 'MEANS_FALSE_PROMISE'), false) ORDER BY record_id LIMIT 100""",
+    "p10_error_inspection": f"{_SETS} SELECT record_id, evaluation, method, jurisdiction FROM s WHERE list_contains(ref, 'MEANS_FALSE_PROMISE') <> list_contains(pred, 'MEANS_FALSE_PROMISE') ORDER BY record_id LIMIT 100",
+    "p10_fold_inspection": f"{_SETS} SELECT record_id, evaluation, method, jurisdiction FROM s WHERE evaluation = 'A2' AND method = 'M3' AND fold = 2 AND {_OUTSIDE} ORDER BY record_id LIMIT 100",
+    "p10_error_counts": f"""{_SETS} SELECT evaluation, method, fold, jurisdiction, count(*) AS n, count(*) FILTER (len(ref) <> len(pred) OR len(list_intersect(ref, pred)) <> len(ref)) AS n_not_exact,
+        count(*) FILTER (list_contains(ref, 'MEANS_FALSE_PROMISE') <> list_contains(pred, 'MEANS_FALSE_PROMISE')) AS n_label_wrong, count(*) FILTER ({_OUTSIDE}) AS n_not_contained FROM s GROUP BY ALL""",
     "p11_demo_pool": f"""SELECT review_id FROM demo_bank_review d WHERE coalesce(fact_summary_parser_warnings, '') = '' AND {_words("coalesce(english_fact_summary, '')")} BETWEEN 40 AND 800
         AND NOT EXISTS (SELECT 1 FROM (SELECT jurisdiction FROM demo_bank_review GROUP BY 1 HAVING count(*) >= 10) h WHERE h.jurisdiction = d.jurisdiction)""",
-    "p12_role_profiles": f"""SELECT review_id FROM demo_bank_review WHERE list_contains(from_json(act_ontology_ids_json, '["VARCHAR"]'), 'ACT_ACCEPT') AND {_words("coalesce(english_fact_summary, '')")} BETWEEN 60 AND 400
-        AND coalesce(regexp_matches(english_fact_summary, 'court|judge|appeal'), false)""",
+    "p12_role_profiles": f"""SELECT review_id FROM demo_bank_review WHERE list_contains(from_json(act_ontology_ids_json, '["VARCHAR"]'), 'ACT_ACCEPT') AND json_array_length(means_ontology_ids_json) > 0
+        AND from_json(geographic_form_reference_json, '["VARCHAR"]') = ['Cross-border'] AND {_words("coalesce(english_fact_summary, '')")} BETWEEN 40 AND 400
+        AND coalesce(regexp_matches(lower(english_fact_summary), 'court|judge|appeal|peti|tribunal'), false)""",
     "p13_review_status": f"""WITH k AS (SELECT lower(trim(coalesce(reviewer_approve, ''))) AS m, {_HAS('reviewer_notes')} AS n FROM demo_bank_review)
         SELECT CASE WHEN m = 'agree' THEN CASE WHEN n THEN 'AGREED_WITH_NOTE' ELSE 'AGREED' END WHEN m = 'hold' THEN 'HELD' WHEN m = 'skip' THEN 'SKIPPED' ELSE 'OPEN' END AS status, count(*) AS n FROM k GROUP BY ALL""",
-    "c01_text_signals": """WITH k AS (SELECT doc_domain, lower(coalesce(text, '')) AS t FROM documents) SELECT doc_domain, CASE WHEN regexp_matches(t, 'group of|workers|labourers|recruits|deckhands') THEN 'GROUP'
-        WHEN regexp_matches(t, 'two sisters|married couple|couple') THEN 'PAIR' WHEN regexp_matches(t, 'the complainant|the applicant|a domestic worker|injured party') THEN 'SINGLE' ELSE 'UNKNOWN' END AS signal, count(*) AS n FROM k GROUP BY ALL""",
-    "c04_ages": """WITH k AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\(([0-9]{1,2}) years\\)', 1), lambda x: x::INT) AS a FROM documents)
-        SELECT doc_id, list_min(a) AS youngest, list_max(a) AS oldest, list_min(a) >= 18 AS all_adult FROM k WHERE len(a) > 0""",
+    "c07_page_validity": """WITH h AS (SELECT page_id, status, headers['content-type'] AS kind, coalesce(octet_length(body), 0) AS n, coalesce(body::VARCHAR, '') AS t, body IS NULL AS none FROM http_outcome),
+        e AS (SELECT page_id, list_filter([CASE WHEN status IS NULL THEN 'NO_RESPONSE' END, CASE WHEN status <> 200 THEN 'BAD_STATUS' END, CASE WHEN n = 0 THEN 'EMPTY_BODY' END, CASE WHEN NOT starts_with(coalesce(kind, ''), 'text/html') THEN 'NOT_HTML' END,
+        CASE WHEN NOT contains(t, '<title>') THEN 'NO_TITLE' END, CASE WHEN NOT none AND n < 1500 THEN 'SMALL' END], lambda x: x IS NOT NULL) AS e FROM h) SELECT page_id, array_to_string(e, '|') AS errors, len(e) = 0 AS is_valid FROM e""",
     "c08_parse_status": "SELECT CASE WHEN len(errors) > 0 THEN 'PARSE_ERROR' WHEN len(warnings) > 0 THEN 'PARTIAL' ELSE 'FOUND' END AS status, count(*) AS n_pages FROM page_validation GROUP BY ALL",
 }

@@ -37,30 +37,54 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is set.
+    Only where the setting is absent and all runs on one machine (tests), a temporary folder is set; a cluster without it is refused.
     """
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
         found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="caseloom-"))
         found = sc.getCheckpointDir()
     return found
 
 
+_CUTS: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that cut() wrote in this application; call it when the results that read them are written. Returns their number."""
+    sc = spark.sparkContext
+    paths = _CUTS.pop(sc.applicationId, [])
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def cut(df: DataFrame, name: str = "stage", schema: StructType | None = None) -> DataFrame:
     """Write df to a parquet table in the shared folder and read it back.
 
     Cuts the lineage as checkpoint() does, but keeps columns prunable and small;
     it survives the loss of executors, as the files are in the shared folder. schema:
-    other types of the same columns, to read them back as.
+    other types of the same columns, to read them back as. release() deletes the tables.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df, proven to have that many rows at most, as a local table; an error beyond. For what is broadcast."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table that is broadcast may have {most} rows at most")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def local_path(path: str) -> str | None:
     """The file-system path of a file: URI, or None where it isn't local or mounted."""
     p = path[5:] if path.startswith("file:") else path

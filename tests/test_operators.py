@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import integrity as I
 from caseloom.operators.aliases import with_jurisdiction
-from caseloom.operators.ranking import spaced_places, with_place
+from caseloom.operators.ranking import quantiles, running_within, spaced_places, with_place
 from caseloom.operators.resample import draws, intervals, replicates
 from caseloom.operators.search import balanced_partition
 from caseloom.operators.skew import block_join, hot_keys, salted_join
@@ -105,3 +105,30 @@ def test_block_join(spark):
     for left_id in ("l", None):
         got = [tuple(r) for r in block_join(left, right, ["k"], hot, "k", "r", left_id, 4).select("l", "r").collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [("hot" if i % 3 else f"k{i % 5}", "a.b", float(x)) for i, x in enumerate(rng.normal(size=900))] + [(None, None, 1.0), (None, None, 2.0), ("void", None, None), ("one", "", 7.0)]
+    rows += [("hot", "a.b", 0.5)] * 300
+    df = spark.createDataFrame(rows, "k string, `x.y` string, v double")
+    shares = {"lo": 0.0, "q": 0.37, "mid": 0.5, "hi": 1.0}
+    got = {(r[0], r[1]): r[2:] for r in quantiles(df, ["k", "x.y"], "v", shares).collect()}
+    groups = {}
+    for k, x, v in rows:
+        if v is not None:
+            groups.setdefault((k, x), []).append(v)
+    assert got.keys() == groups.keys()
+    for key, vs in groups.items():
+        assert got[key] == pytest.approx(tuple(np.quantile(vs, list(shares.values()))), abs=1e-12)
+    counted = df.groupBy("k", "`x.y`", "v").count()
+    assert {(r[0], r[1]): r[2:] for r in quantiles(counted, ["k", "x.y"], "v", shares, "count").collect()} == got
+    assert quantiles(df.limit(0), ["k"], "v", shares).count() == 0
+
+
+def test_running_within(spark):
+    df = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 1, 5), (None, 1, 9), ("a", 3, 1)], "k string, o int, w int")
+    got = {(r.k, r.o): (r.s, r.s_total) for r in running_within(df, "k", [F.desc("o")], "w", "s").collect()}
+    assert got == {("a", 3): (1, 6), ("a", 2): (4, 6), ("a", 1): (6, 6), ("b", 1): (5, 5)}

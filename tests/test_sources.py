@@ -87,3 +87,14 @@ def test_stream(spark, tmp_path):
     states = E.latest_states(spark.read.schema(E.SCHEMA).parquet(str(tmp_path / "out")))
     assert states.count() == 12 and states.selectExpr("sum(n_attempts)").first()[0] == 13
     assert E.sessions(spark.read.schema(E.SCHEMA).parquet(str(tmp_path / "in"))).selectExpr("sum(n)").first()[0] == 13
+
+
+def test_cut_and_release(spark, tmp_path):
+    from caseloom.sources import tables
+
+    tables.release(spark)
+    got = tables.cut(spark.range(5).toDF("id"), "five")
+    assert got.count() == 5 and tables.release(spark) == 1 and tables.release(spark) == 0
+    with pytest.raises(ValueError, match="3 rows"):
+        tables.small(spark.range(4).toDF("id"), 3)
+    assert tables.small(spark.range(3).toDF("id"), 3).count() == 3

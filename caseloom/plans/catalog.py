@@ -31,6 +31,7 @@ FLOATS = {
     "a10_family_diagnostics": "cpmr mean_contained_recall cpmr_nonempty_reference empty_reference_correct_empty_rate",
     "a11_abstention": "empty_rate mean_labels median_labels",
     "a12_reference_comparison": "mean_jaccard micro_precision micro_recall micro_f1",
+    "a13_answerable_comparison": "micro_f1",
     "a14_auxiliary_concordance": "concordance",
     "a15_binary_metrics": "precision recall accuracy f1",
     "a16_agreement": "kappa positive_agreement",
@@ -44,6 +45,7 @@ FLOATS = {
     "a24_usage": "median_value p90_value",
     "a25_usage_rollup": "median_value",
     "a26_token_audit": "p50 p90 p99 within_32 within_64 within_128 within_256 within_512 within_1024 within_2048",
+    "a30_availability": "mean_jaccard",
     "a28_average_precision": "average_precision",
     "lineitem_pricing": "avg_price",
     "m01_vocabulary": "idf",

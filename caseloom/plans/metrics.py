@@ -18,7 +18,7 @@ def ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def families(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
     """Family -> its labels in order, from the fixed ontology."""
-    rows = ontology(spark, sf_dir).orderBy("label_ord").collect()
+    rows = M.small_rows(ontology(spark, sf_dir).select("label_ord", "family", "label_id"))
     out: dict[str, list[str]] = {}
     for r in rows:
         out.setdefault(r["family"], []).append(r["label_id"])
@@ -150,7 +150,8 @@ def one_a_case(cases: DataFrame, method: str, name: str) -> DataFrame:
     return one.groupBy("evaluation", "case_id").agg(F.min_by("pred", "record_id").alias(name), F.min_by("ref", "record_id").alias(f"{name}_ref"))
 
 
-SILVER_WORDS = ("BOTH_EMPTY", "EXACT_MATCH", "FIRST_BROADER", "SECOND_BROADER", "PARTIAL_OVERLAP_BOTH_HAVE_EXTRAS", "NO_OVERLAP")
+# The words for how two label sets relate, the first one being the silver reference's.
+SILVER_WORDS = ("BOTH_EMPTY", "EXACT_MATCH", "SILVER_BROADER", "HUMAN_BROADER", "PARTIAL_OVERLAP_BOTH_HAVE_EXTRAS", "NO_OVERLAP")
 
 
 def paired_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,16 +189,25 @@ def a12_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a13_answerable_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The comparison over answerable cases only, with F1 straight from the counts."""
-    status = table(spark, sf_dir, "human_annotation_qc_report").groupBy((F.col("source_row_number") % 97).alias("k")).agg(F.max("blocks_scoring").alias("blocked"))
-    rows = paired_sets(spark, sf_dir).withColumn("k", F.pmod(F.crc32(F.col("case_id").cast("binary")), F.lit(97)).cast("int"))
-    rows = rows.join(F.broadcast(status), "k", "left").withColumn("answerable", F.coalesce(F.col("blocked"), F.lit(0)) == 0)
-    ok, shared = F.col("answerable"), F.size(F.array_intersect("a", "b"))
-    only_a, only_b = F.size(F.array_except("a", "b")), F.size(F.array_except("b", "a"))
-    got = rows.groupBy("family").agg(
-        F.count_if(ok).alias("n_answerable"), F.count_if(~ok).alias("n_not_answerable"), F.coalesce(F.sum(F.when(ok, shared)), F.lit(0)).alias("shared"),
-        F.coalesce(F.sum(F.when(ok, only_a)), F.lit(0)).alias("only_first"), F.coalesce(F.sum(F.when(ok, only_b)), F.lit(0)).alias("only_second"),
-    )
+    """Two reviewers' registered labels by family over cases that both found answerable, with F1 straight from the counts.
+
+    A case is a source row; the number after HRV in its ids is the reviewer's. Cases that either reviewer abstained from,
+    skipped or didn't review are counted, but not in the sums.
+    """
+    qc = table(spark, sf_dir, "human_annotation_qc_report").where(F.col("reliability_case_id").rlike("^HRV[12]-"))
+    family = F.when(F.trim("field").startswith("Acts"), "ACT").when(F.trim("field").startswith("Means"), "MEANS").when(F.trim("field").startswith("Purpose"), "PURPOSE")
+    rows = qc.select("source_row_number", F.substring("reliability_case_id", 4, 1).alias("who"), family.alias("family"), (F.col("review_status") == "SUBSTANTIVE").alias("ok"), F.from_json("normalized_value", "array<string>").alias("v"))
+    rows = rows.where("family IS NOT NULL AND v IS NOT NULL").select("source_row_number", "who", "family", "ok", F.explode_outer("v").alias("label"))
+    # A row per case, family and label; who gave it.
+    said = lambda k: F.max(F.col("who") == k).alias(f"in{k}")
+    given = rows.groupBy("source_row_number", "family", "label").agg(said("1"), said("2"), F.min("ok").alias("ok"))
+    label = F.col("label").isNotNull()
+    cases = given.groupBy("source_row_number", "family").agg(
+        F.max("in1").alias("a"), F.max("in2").alias("b"), F.min("ok").alias("ok"), F.count_if(label & F.col("in1") & F.col("in2")).alias("shared"),
+        F.count_if(label & F.col("in1") & ~F.col("in2")).alias("x"), F.count_if(label & ~F.col("in1") & F.col("in2")).alias("y"),
+    ).where("a AND b")
+    total = lambda v, name: F.coalesce(F.sum(F.when(F.col("ok"), F.col(v))), F.lit(0)).alias(name)
+    got = cases.groupBy("family").agg(F.count_if("ok").alias("n_answerable"), F.count_if(~F.col("ok")).alias("n_not_answerable"), total("shared", "shared"), total("x", "only_first"), total("y", "only_second"))
     return got.withColumn("micro_f1", M.ratio(2 * F.col("shared"), 2 * F.col("shared") + F.col("only_first") + F.col("only_second")))
 
 
@@ -404,8 +414,15 @@ ORACLE = {
         v AS (SELECT *, shared / nullif(shared + only_first, 0) AS micro_precision, shared / nullif(shared + only_second, 0) AS micro_recall FROM z)
         SELECT *, CASE WHEN micro_precision IS NOT NULL AND micro_recall IS NOT NULL THEN
           coalesce(2 * micro_precision * micro_recall / nullif(micro_precision + micro_recall, 0), 0.0) END AS micro_f1 FROM v""",
+    "a13_answerable_comparison": """WITH q AS (SELECT source_row_number AS r, reliability_case_id[4] AS who, CASE WHEN trim(field) LIKE 'Acts%' THEN 'ACT' WHEN trim(field) LIKE 'Means%' THEN 'MEANS' WHEN trim(field) LIKE 'Purpose%' THEN 'PURPOSE' END AS family,
+          review_status = 'SUBSTANTIVE' AS ok, from_json(normalized_value, '["VARCHAR"]') AS v FROM human_annotation_qc_report WHERE regexp_matches(reliability_case_id, '^HRV[12]-')),
+        s AS (SELECT r, family, who, bool_and(ok) AS ok, list_distinct(flatten(list(v))) AS v FROM q WHERE family IS NOT NULL AND v IS NOT NULL GROUP BY ALL),
+        j AS (SELECT a.family, a.ok AND b.ok AS ok, len(list_intersect(a.v, b.v)) AS s, len(a.v) AS x, len(b.v) AS y FROM s a JOIN s b ON a.r = b.r AND a.family = b.family AND a.who = '1' AND b.who = '2'),
+        g AS (SELECT family, count(*) FILTER (ok) AS n_answerable, count(*) FILTER (NOT ok) AS n_not_answerable, CAST(coalesce(sum(s) FILTER (ok), 0) AS BIGINT) AS shared, CAST(coalesce(sum(x - s) FILTER (ok), 0) AS BIGINT) AS only_first,
+          CAST(coalesce(sum(y - s) FILTER (ok), 0) AS BIGINT) AS only_second FROM j GROUP BY ALL)
+        SELECT *, CASE WHEN 2 * shared + only_first + only_second > 0 THEN 2 * shared / (2 * shared + only_first + only_second) END AS micro_f1 FROM g""",
     "a12_relations": f"""{_PAIR} SELECT evaluation, family, CASE WHEN NOT available THEN 'REFERENCE_UNAVAILABLE' WHEN len(a) = 0 AND len(b) = 0 THEN 'BOTH_EMPTY' WHEN oa = 0 AND ob = 0 THEN 'EXACT_MATCH'
-        WHEN ob = 0 THEN 'FIRST_BROADER' WHEN oa = 0 THEN 'SECOND_BROADER' WHEN shared > 0 THEN 'PARTIAL_OVERLAP_BOTH_HAVE_EXTRAS' ELSE 'NO_OVERLAP' END AS relation,
+        WHEN ob = 0 THEN 'SILVER_BROADER' WHEN oa = 0 THEN 'HUMAN_BROADER' WHEN shared > 0 THEN 'PARTIAL_OVERLAP_BOTH_HAVE_EXTRAS' ELSE 'NO_OVERLAP' END AS relation,
         count(*) AS n_cases FROM y GROUP BY ALL""",
     "a14_auxiliary_concordance": """WITH q AS (SELECT trim(field) AS field, upper(trim(raw_value)) AS a, upper(trim(normalized_value)) AS b FROM human_annotation_qc_report),
         k AS (SELECT *, a IS NOT NULL AND b IS NOT NULL AND a <> 'UNKNOWN' AND b <> 'UNKNOWN' AS ok FROM q WHERE field IN ('child human labeled', 'multiplicity human labeled', 'Done?', 'jurisdiction'))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
+from caseloom.functions.language import language_code
 from caseloom.functions.urls import page_identity, same_page_key
 from caseloom.operators import integrity as I
 from caseloom.operators.label_metrics import ratio
@@ -18,6 +19,8 @@ from caseloom.plans.texts import sql_identity as _identity
 from caseloom.sources.tables import cut, small, table
 
 SEED = "20260811"
+#: The order of methods in reports.
+METHODS = ("M1", "M2", "M3", "M4")
 
 
 def j01_manifest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,27 +56,36 @@ def j04_attribute_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where(~same_page_key(F.col("canonical_url")).eqNullSafe(same_page_key(F.col("requested_url")))).select("review_id", "search_rank")
 
 
+def _members(p: DataFrame) -> DataFrame:
+    """One row per method, evaluation and test case with the attributes that all methods have to share."""
+    labels = F.array_join(F.array_sort("ref"), ";")
+    one = p.where((F.col("role") == "test") & (F.col("variant") == "PRIMARY")).groupBy("evaluation", "method", "case_id")
+    return one.agg(F.min("fold").alias("fold"), F.min("jurisdiction").alias("jurisdiction"), F.min("search_rank").alias("search_rank"), F.min(same_page_key(F.col("canonical_url"))).alias("page"), F.min(labels).alias("labels"))
+
+
 def j05_split_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases of each method's test predictions that another method lacks, by evaluation."""
-    t = test_cases(spark, sf_dir).where(F.col("variant") == "PRIMARY").select("evaluation", "method", "case_id").distinct()
-    pairs = F.explode(F.array(*[F.lit(f"M{i}") for i in (2, 3, 4)])).alias("other")
-    first = t.where(F.col("method") == "M1").select("evaluation", "case_id", pairs)
-    rest = t.where(F.col("method") != "M1").select("evaluation", "case_id", F.col("method").alias("other"))
-    return I.set_gaps(first, rest).groupBy("evaluation", "other", "side").agg(F.count(F.lit(1)).alias("n_cases"))
+    """Test cases of each method against those of method M1, by evaluation: missing and extra ones, and attributes that disagree."""
+    url = table(spark, sf_dir, "prediction_record").select("record_id", "canonical_url")
+    t = cut(_members(predictions(spark, sf_dir).join(url, "record_id")), "members")
+    others = F.explode(F.array(*[F.lit(f"M{i}") for i in (2, 3, 4)])).alias("other")
+    first = t.where(F.col("method") == "M1").select("*", others).drop("method")
+    rest = t.where(F.col("method") != "M1").withColumnRenamed("method", "other")
+    checks = {f"{x.upper()}_MISMATCH": ~F.col(f"l.{x}").eqNullSafe(F.col(f"r.{x}")) for x in ("fold", "jurisdiction", "search_rank", "page", "labels")}
+    return I.key_issues(first, rest, ["evaluation", "other", "case_id"], checks).groupBy("evaluation", "other", "issue").agg(F.count(F.lit(1)).alias("n_cases"))
 
 
 def j06_label_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted labels joined to the ontology; labels that it lacks stay with a null family."""
     rows = predictions(spark, sf_dir).select("method", F.explode("pred").alias("label_id"))
     counts = rows.groupBy("method", "label_id").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(F.broadcast(ontology(spark, sf_dir).select("label_id", "family", "label_ord")), "label_id", "left")
+    return counts.join(F.broadcast(small(ontology(spark, sf_dir).select("label_id", "family", "label_ord"), 1000)), "label_id", "left")
 
 
 def j07_case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per case of A1: how many labels the reference and each method give."""
-    p = predictions(spark, sf_dir).where((F.col("evaluation") == "A1") & (F.col("variant") == "PRIMARY"))
+    """One row per case and evaluation: how many labels the reference and each method give."""
+    p = predictions(spark, sf_dir).where(F.col("variant") == "PRIMARY")
     n = lambda m: F.max(F.when(F.col("method") == m, F.size("pred"))).alias(f"n_{m.lower()}")
-    return p.groupBy("case_id").agg(F.max(F.size("ref")).alias("n_reference"), n("M1"), n("M2"), n("M3"), n("M4"))
+    return p.groupBy("evaluation", "case_id").agg(F.max(F.size("ref")).alias("n_reference"), n("M1"), n("M2"), n("M3"), n("M4"))
 
 
 def j10_common_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,6 +188,15 @@ def a18_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def a18_corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by jurisdiction: documents, usable ones, cases, languages, cases in several languages, characters."""
+    d = table(spark, sf_dir, "documents").select("jurisdiction", "search_rank", language_code(F.col("lang")).alias("lang"), T.has_text(F.col("text")).alias("usable"), F.col("n_chars").alias("n"))
+    by_case = d.where("search_rank IS NOT NULL").groupBy("jurisdiction", "search_rank").agg(F.countDistinct("lang").alias("k")).groupBy("jurisdiction")
+    by_case = by_case.agg(F.count(F.lit(1)).alias("n_cases"), F.count_if(F.col("k") > 1).alias("n_multilingual_cases")).withColumnRenamed("jurisdiction", "j")
+    got = d.groupBy("jurisdiction").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if("usable").alias("n_usable"), F.countDistinct("lang").alias("n_languages"), F.sum("n").alias("n_characters"))
+    return got.join(by_case, F.col("jurisdiction").eqNullSafe(F.col("j")), "left").drop("j").fillna(0, ["n_cases", "n_multilingual_cases"])
+
+
 def a19_download_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles and fences of body sizes by status, and how many pages lie beyond the fences."""
     h = table(spark, sf_dir, "http_outcome").where(F.length("body") > 0).select("status", F.octet_length("body").alias("b"))
@@ -277,10 +298,43 @@ def a29_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a30_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews by which of the three families have labels, and how well two spellings of the lists agree."""
+    """Reviews by which of the three families have labels, and how well two lists of the acts, by raw label and by id, agree (mean Jaccard similarity)."""
     d = table(spark, sf_dir, "demo_bank_review")
     some = lambda x: (F.coalesce(F.size(F.from_json(x, "array<string>")), F.lit(0)) > 0).cast("int")
-    return d.groupBy(some("act_ontology_ids_json").alias("has_act"), some("means_ontology_ids_json").alias("has_means"), some("purpose_ontology_ids_json").alias("has_purpose")).agg(F.count(F.lit(1)).alias("n"))
+    known = small(ontology(spark, sf_dir).select("raw_label", "label_id"), 1000).collect()
+    ids = F.create_map(*[F.lit(x) for r in known for x in r])
+    listed = F.array_distinct(F.transform(F.from_json("legacy_acts_reference_json", "array<string>"), lambda x: F.coalesce(F.try_element_at(ids, x), x)))
+    rows = d.select(some("act_ontology_ids_json").alias("has_act"), some("means_ontology_ids_json").alias("has_means"), some("purpose_ontology_ids_json").alias("has_purpose"), listed.alias("a"), F.array_distinct(F.from_json("act_ontology_ids_json", "array<string>")).alias("b"))
+    jaccard = ratio(F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b")))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return rows.groupBy("has_act", "has_means", "has_purpose").agg(F.count(F.lit(1)).alias("n"), F.count_if(both).alias("n_compared"), F.avg(F.when(both, jaccard)).alias("mean_jaccard"))
+
+
+def p14_harmonized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews, predictions and documents in one table: their own columns under common names, types and spellings; what a source lacks is null."""
+    text = lambda x: F.md5(F.coalesce(x, F.lit("")))
+    reviews = table(spark, sf_dir, "demo_bank_review").select(
+        F.lit("REVIEW").alias("origin"), F.col("review_id").alias("item_id"), F.col("search_rank").cast("long").alias("case_rank"), F.col("jurisdiction").alias("place"), text("english_fact_summary").alias("text_md5"),
+        language_code(F.col("narrative_language")).alias("language"), F.col("word_count").cast("long").alias("n_words"), F.col("reviewed_at").alias("at"),
+    )
+    records = table(spark, sf_dir, "prediction_record").select(
+        F.lit("PREDICTION").alias("origin"), F.col("record_id").alias("item_id"), F.col("search_rank").cast("long").alias("case_rank"), F.col("jurisdiction").alias("place"), text("fact_summary").alias("text_md5"),
+        F.upper(F.trim("split")).alias("role"), F.col("predicted_at").alias("at"),
+    )
+    docs = table(spark, sf_dir, "documents").select(
+        F.lit("DOCUMENT").alias("origin"), F.col("doc_id").alias("item_id"), F.col("search_rank").cast("long").alias("case_rank"), F.col("jurisdiction").alias("place"), text("text").alias("text_md5"),
+        language_code(F.col("lang")).alias("language"), F.col("collected_at").alias("at"),
+    )
+    got = reviews.unionByName(records, allowMissingColumns=True).unionByName(docs, allowMissingColumns=True)
+    return got.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
+def w12_canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted labels by method, numbered in the fixed order of methods and of the ontology, which no plan promises by itself."""
+    n = predictions(spark, sf_dir).select("method", F.explode("pred").alias("label_id")).groupBy("method", "label_id").agg(F.count(F.lit(1)).alias("n"))
+    known = F.broadcast(small(ontology(spark, sf_dir).select("label_id", "label_ord"), 1000))
+    got = n.join(known, "label_id").withColumn("method_ord", F.array_position(F.array(*map(F.lit, METHODS)), F.col("method"))).where("method_ord > 0")
+    return with_place(got, [F.col("method_ord"), F.col("label_ord")]).select("place", "method", "label_id", "n")
 
 
 def w01_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +378,7 @@ def s14_raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s15_output_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sets of outputs compared by content: MISSING, UNCHANGED or CONFLICT_DIFFERENT."""
+    """Two sets of outputs, the first and the last fetch of each rank, compared by content: MISSING, UNCHANGED or CONFLICT_DIFFERENT (files: sources.files.inspect_outputs)."""
     h = table(spark, sf_dir, "http_outcome").where("search_rank IS NOT NULL").groupBy("search_rank").agg(F.min_by(F.md5("body"), "page_id").alias("a"), F.max_by(F.md5("body"), "page_id").alias("b"), F.count(F.lit(1)).alias("k"))
     state = F.when(F.col("k") == 1, "MISSING").when(F.col("a").eqNullSafe(F.col("b")), "UNCHANGED").otherwise("CONFLICT_DIFFERENT")
     return h.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
@@ -348,8 +402,8 @@ QUERIES = {
     for f in (
         j01_manifest_issues, j02_repeated_keys, j03_aligned, j04_attribute_mismatches, j05_split_membership, j06_label_dimension, j07_case_table, j10_common_cases, j11_leakage_free,
         j12_without_demos, j13_confusion_grid, j15_disjoint_jurisdictions, j16_recovered_identity, j17_identity_agreement, u01_missing_extra, u02_union, u03_tri_state, u04_set_algebra,
-        u05_role_overlap, u06_ordered_unique, a18_coverage, a19_download_diagnostics, a20_http_events, a21_duplicate_groups, a23_frequencies, a24_usage, a25_usage_rollup, a26_token_audit,
-        a27_proxy_tokens, a28_average_precision, a29_digests, a30_availability, w01_keep_first, w03_spaced_pick, w05_hash_order, w13_most_common, w14_sample, s14_raw_names, s15_output_check,
+        u05_role_overlap, u06_ordered_unique, a18_coverage, a18_corpus_summary, a19_download_diagnostics, a20_http_events, a21_duplicate_groups, a23_frequencies, a24_usage, a25_usage_rollup, a26_token_audit,
+        a27_proxy_tokens, a28_average_precision, a29_digests, a30_availability, p14_harmonized, w12_canonical_order, w01_keep_first, w03_spaced_pick, w05_hash_order, w13_most_common, w14_sample, s14_raw_names, s15_output_check,
         lineitem_pricing, order_revenue_by_region,
     )
 }
@@ -368,6 +422,7 @@ def _pieces(x: str) -> str:
     return f"len(list_filter(string_split_regex({x}, '{_B}+'), lambda w: w <> ''))"
 
 
+_LANG = "coalesce(nullif(lower(regexp_extract(trim(coalesce({}, '')), '^([A-Za-z]{{2,3}})', 1)), ''), 'und')"
 _JSON = "coalesce(json_array_length({}), 0) > 0"
 ORACLE = {
     "j01_manifest_issues": f"""WITH j AS (SELECT coalesce(l.page_id, r.page_id) AS page_id, l.page_id AS a, r.page_id AS b, l.search_rank AS ra, r.search_rank AS rb, {_identity('requested_url')} AS ua, {_identity('og_url')} AS ub, status, valid
@@ -379,12 +434,15 @@ ORACLE = {
     "j03_aligned": "SELECT o_orderkey, o_custkey, count(*) AS n_items FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL",
     "j04_attribute_mismatches": f"""WITH h AS (SELECT search_rank, min(requested_url) AS requested_url FROM http_outcome GROUP BY ALL)
         SELECT review_id, d.search_rank FROM demo_bank_review d JOIN h USING (search_rank) WHERE {_page('canonical_url')} IS DISTINCT FROM {_page('requested_url')}""",
-    "j05_split_membership": f"""WITH {_P}, t1 AS (SELECT DISTINCT evaluation, method, case_id FROM t WHERE variant = 'PRIMARY'), f AS (SELECT evaluation, case_id, unnest(['M2', 'M3', 'M4']) AS other FROM t1 WHERE method = 'M1'),
-        r AS (SELECT evaluation, case_id, method AS other FROM t1 WHERE method <> 'M1'), g AS (SELECT *, 'MISSING' AS side FROM (SELECT evaluation, case_id, other FROM f EXCEPT ALL SELECT * FROM r)
-        UNION ALL SELECT *, 'EXTRA' FROM (SELECT * FROM r EXCEPT ALL SELECT evaluation, case_id, other FROM f)) SELECT evaluation, other, side, count(*) AS n_cases FROM g GROUP BY ALL""",
+    "j05_split_membership": f"""WITH {_P}, u AS (SELECT record_id AS k, {_page('canonical_url')} AS page FROM prediction_record), t1 AS (SELECT evaluation, method, case_id, min(fold) AS fold, min(jurisdiction) AS jurisdiction,
+        min(search_rank) AS search_rank, min(page) AS page, min(array_to_string(list_sort(ref), ';')) AS labels FROM t JOIN u ON k = record_id WHERE variant = 'PRIMARY' GROUP BY ALL),
+        l AS (SELECT *, unnest(['M2', 'M3', 'M4']) AS other FROM t1 WHERE method = 'M1'), r AS (SELECT *, method AS other FROM t1 WHERE method <> 'M1'),
+        j AS (SELECT coalesce(l.evaluation, r.evaluation) AS evaluation, coalesce(l.other, r.other) AS other, unnest(CASE WHEN r.case_id IS NULL THEN ['MISSING_RIGHT'] WHEN l.case_id IS NULL THEN ['MISSING_LEFT'] ELSE
+          list_filter([{", ".join(f"CASE WHEN l.{x} IS DISTINCT FROM r.{x} THEN '{x.upper()}_MISMATCH' END" for x in ("fold", "jurisdiction", "search_rank", "page", "labels"))}], lambda x: x IS NOT NULL) END) AS issue
+          FROM l FULL JOIN r ON l.evaluation = r.evaluation AND l.other = r.other AND l.case_id = r.case_id) SELECT evaluation, other, issue, count(*) AS n_cases FROM j GROUP BY ALL""",
     "j06_label_dimension": f"WITH {_P}, k AS (SELECT method, unnest(pred) AS label_id FROM p) SELECT method, label_id, count(*) AS n, any_value(family) AS family, any_value(label_ord) AS label_ord FROM k LEFT JOIN amp_ontology USING (label_id) GROUP BY method, label_id",
-    "j07_case_table": f"""WITH {_P} SELECT case_id, max(len(ref)) AS n_reference, max(len(pred)) FILTER (method = 'M1') AS n_m1, max(len(pred)) FILTER (method = 'M2') AS n_m2, max(len(pred)) FILTER (method = 'M3') AS n_m3,
-        max(len(pred)) FILTER (method = 'M4') AS n_m4 FROM p WHERE evaluation = 'A1' AND variant = 'PRIMARY' GROUP BY ALL""",
+    "j07_case_table": f"""WITH {_P} SELECT evaluation, case_id, max(len(ref)) AS n_reference, max(len(pred)) FILTER (method = 'M1') AS n_m1, max(len(pred)) FILTER (method = 'M2') AS n_m2, max(len(pred)) FILTER (method = 'M3') AS n_m3,
+        max(len(pred)) FILTER (method = 'M4') AS n_m4 FROM p WHERE variant = 'PRIMARY' GROUP BY ALL""",
     "j10_common_cases": f"WITH {_P}, k AS (SELECT evaluation, case_id FROM p GROUP BY ALL HAVING count(DISTINCT method) >= 2) SELECT evaluation, count(*) AS n_cases FROM k GROUP BY ALL",
     "j11_leakage_free": f"WITH {_P} SELECT evaluation, method, count(*) AS n FROM p WHERE role = 'train' AND NOT EXISTS (SELECT 1 FROM p q WHERE q.role = 'test' AND q.evaluation = p.evaluation AND q.case_id = p.case_id) GROUP BY ALL",
     "j12_without_demos": f"WITH {_P} SELECT evaluation, count(*) AS n FROM p WHERE role = 'test' AND NOT EXISTS (SELECT 1 FROM demo_bank_review d WHERE d.search_rank = p.search_rank) GROUP BY ALL",
@@ -428,8 +486,25 @@ ORACLE = {
         SELECT h.label, sum(found / upto * k / positives) AS average_precision, max(positives) AS positives FROM h JOIN s ON h.score = s.score JOIN n ON h.label = n.label GROUP BY h.label""",
     "a29_digests": f"""WITH {_P}, k AS (SELECT DISTINCT evaluation, method, concat_ws(chr(9), search_rank::VARCHAR, case_id) AS line FROM p)
         SELECT evaluation, method, count(*) AS n_members, bit_xor(CAST('0x' || left(sha256(line), 15) AS BIGINT)) AS digest FROM k GROUP BY ALL""",
-    "a30_availability": f"""SELECT ({_JSON.format('act_ontology_ids_json')})::INT AS has_act, ({_JSON.format('means_ontology_ids_json')})::INT AS has_means, ({_JSON.format('purpose_ontology_ids_json')})::INT AS has_purpose, count(*) AS n
-        FROM demo_bank_review GROUP BY ALL""",
+    "a30_availability": f"""WITH k AS (SELECT ({_JSON.format('act_ontology_ids_json')})::INT AS has_act, ({_JSON.format('means_ontology_ids_json')})::INT AS has_means, ({_JSON.format('purpose_ontology_ids_json')})::INT AS has_purpose,
+          list_distinct(list_transform(from_json(legacy_acts_reference_json, '["VARCHAR"]'), lambda x: coalesce(m[x], x))) AS a, list_distinct(from_json(act_ontology_ids_json, '["VARCHAR"]')) AS b
+          FROM demo_bank_review CROSS JOIN (SELECT map(list(raw_label), list(label_id)) AS m FROM amp_ontology))
+        SELECT has_act, has_means, has_purpose, count(*) AS n, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n_compared, avg(CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END)
+          FILTER (a IS NOT NULL AND b IS NOT NULL) AS mean_jaccard FROM k GROUP BY ALL""",
+    "a18_corpus_summary": f"""WITH d AS (SELECT jurisdiction, search_rank, n_chars, {_LANG.format('lang')} AS l, coalesce(regexp_replace(text, '^{_B}+|{_B}+$', '', 'g'), '') <> '' AS u FROM documents),
+        c AS (SELECT jurisdiction, search_rank, count(DISTINCT l) AS k FROM d WHERE search_rank IS NOT NULL GROUP BY ALL), m AS (SELECT jurisdiction AS j, count(*) AS n_cases, count(*) FILTER (k > 1) AS n_multilingual_cases FROM c GROUP BY ALL),
+        g AS (SELECT jurisdiction, count(*) AS n_documents, count(*) FILTER (u) AS n_usable, count(DISTINCT l) AS n_languages, CAST(sum(n_chars) AS BIGINT) AS n_characters FROM d GROUP BY ALL)
+        SELECT g.*, coalesce(n_cases, 0) AS n_cases, coalesce(n_multilingual_cases, 0) AS n_multilingual_cases FROM g LEFT JOIN m ON jurisdiction IS NOT DISTINCT FROM j""",
+    "p14_harmonized": f"""SELECT 'REVIEW' AS origin, review_id AS item_id, search_rank AS case_rank, jurisdiction AS place, md5(coalesce(english_fact_summary, '')) AS text_md5, {_LANG.format('narrative_language')} AS language, word_count::BIGINT AS n_words,
+          strftime(reviewed_at, '%Y-%m-%d %H:%M:%S') AS at, NULL AS role FROM demo_bank_review
+        UNION ALL SELECT 'PREDICTION', record_id, search_rank, jurisdiction, md5(coalesce(fact_summary, '')), NULL, NULL, strftime(predicted_at, '%Y-%m-%d %H:%M:%S'), upper(trim(split)) FROM prediction_record
+        UNION ALL SELECT 'DOCUMENT', doc_id, search_rank, jurisdiction, md5(coalesce(text, '')), {_LANG.format('lang')}, NULL, strftime(collected_at, '%Y-%m-%d %H:%M:%S'), NULL FROM documents""",
+    "w12_canonical_order": f"""WITH {_P}, k AS (SELECT method, unnest(pred) AS label_id FROM p), n AS (SELECT method, label_id, count(*) AS n FROM k WHERE method IN {METHODS} GROUP BY ALL)
+        SELECT row_number() OVER (ORDER BY method, label_ord) AS place, method, label_id, n FROM n JOIN amp_ontology USING (label_id)""",
+    "u06_ordered_unique": f"""WITH k AS (SELECT review_id, list_filter(list_transform(string_split(candidate_set_memberships, '|'), lambda x: regexp_replace(x, '^{_B}+|{_B}+$', '', 'g')), lambda x: x <> '') AS v FROM demo_bank_review)
+        SELECT review_id, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), ',') AS items FROM k""",
+    "s15_output_check": """WITH k AS (SELECT search_rank, arg_min(md5(body), page_id) AS a, arg_max(md5(body), page_id) AS b, arg_min(body IS NULL, page_id) AS an, arg_max(body IS NULL, page_id) AS bn, count(*) AS k FROM http_outcome WHERE search_rank IS NOT NULL GROUP BY ALL)
+        SELECT CASE WHEN k = 1 THEN 'MISSING' WHEN a = b AND an = bn OR an AND bn THEN 'UNCHANGED' ELSE 'CONFLICT_DIFFERENT' END AS state, count(*) AS n FROM k GROUP BY ALL""",
     "w01_keep_first": f"""WITH k AS (SELECT page_id, {_identity('requested_url')} AS page FROM http_outcome), m AS (SELECT *, CASE WHEN page IS NULL THEN page_id ELSE min(page_id) OVER (PARTITION BY page) END AS first_page_id FROM k)
         SELECT page_id, first_page_id, page_id <> first_page_id AS is_repeat FROM m""",
     "w03_spaced_pick": """WITH k AS (SELECT page_id, search_rank, row_number() OVER (ORDER BY search_rank NULLS FIRST, page_id) AS place, count(*) OVER () AS n FROM http_outcome)

@@ -3,21 +3,127 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 
 
-def balanced_partition(sizes: dict[str, Sequence[int]], parts: int = 3) -> dict[str, int]:
+def exhaustive_partition(sizes: dict[str, Sequence[int]], parts: int = 3) -> dict[str, int]:
+    """Up to 18 groups into parts with equally many groups each (their number is a multiple of parts), the best of all ways.
+
+    sizes: group -> its total and its label counts. Of the ways whose totals have a range of two at most, or of all where
+    there are none: the least largest deviation of a share, then the least squared ones, then range, then the first by names.
+    """
+    names = sorted(sizes)
+    n, k = len(names), len(names) // parts
+    if n > 18 or n % parts:
+        raise ValueError("an exhaustive partition takes up to 18 groups, as many for each part")
+    if not n:
+        return {}
+    x = np.array([sizes[g] for g in names], dtype=float).reshape(n, -1)
+    want = np.maximum(x.sum(axis=0) / parts, 1e-9)
+    subsets = [np.array(c) for c in combinations(range(n), k)]
+    mask = np.array([int(sum(1 << int(i) for i in c)) for c in subsets], dtype=np.int64)
+    total = np.array([x[c].sum(axis=0) for c in subsets])
+    off = total / want - 1
+    worst, squared = np.abs(off).max(axis=1), (off**2).sum(axis=1)
+    number = {int(m): i for i, m in enumerate(mask)}
+    best: tuple | None = None
+
+    def search(left: int, chosen: list[int]) -> None:
+        nonlocal best
+        first = left & -left
+        if len(chosen) == parts - 1:
+            last = number[left]
+            consider([*chosen, last])
+            return
+        fits = np.flatnonzero((mask & left == mask) & (mask & first > 0))
+        if len(chosen) < parts - 2:
+            for i in fits:
+                if best is None or worst[i] <= best[0][1] or not best[0][0] == 0:
+                    search(left & ~int(mask[i]), [*chosen, int(i)])
+            return
+        # The last two parts at once: each candidate and what is left of it.
+        rest = np.array([number[int(left & ~m)] for m in mask[fits]])
+        done = np.array(chosen, dtype=int)
+        sums = [total[fits, 0], total[rest, 0], *[np.full(len(fits), total[i, 0]) for i in done]]
+        spread = np.max(sums, axis=0) - np.min(sums, axis=0)
+        key = np.column_stack([
+            spread > 2, np.round(np.maximum(np.maximum(worst[fits], worst[rest]), worst[done].max() if len(done) else 0.0), 12),
+            np.round(squared[fits] + squared[rest] + squared[done].sum(), 12), spread,
+        ])
+        i = np.lexsort(key.T[::-1])[0]
+        offer(tuple(key[i]), [*chosen, int(fits[i]), int(rest[i])])
+
+    def consider(found: list[int]) -> None:
+        sums = total[found, 0]
+        spread = float(sums.max() - sums.min())
+        offer((float(spread > 2), round(float(worst[found].max()), 12), round(float(squared[found].sum()), 12), spread), found)
+
+    def offer(key: tuple, found: list[int]) -> None:
+        nonlocal best
+        groups = sorted(tuple(subsets[i]) for i in found)
+        if best is None or (key, groups) < best:
+            best = key, groups
+
+    search((1 << n) - 1, [])
+    return {names[i]: p for p, group in enumerate(best[1]) for i in group}
+
+
+def beam_sets(labels: np.ndarray, weights: np.ndarray, quality: np.ndarray, ids: Sequence[int], k: int, width: int, diverse: int) -> list[tuple[float, list[int]]]:
+    """Sets of k candidates by weight of the labels covered and quality, the best first, found by a beam of partial sets.
+
+    labels: candidates x labels, of 0 and 1. A label counts once a set. Results after the first share k - 2 members at most with
+    each one before. Ties go to the smaller ids. The number of candidates has a bound, as a step scores width x candidates.
+    """
+    order = np.argsort(ids)
+    labels, quality, ids = labels[order].astype(np.float32), quality[order], np.asarray(ids)[order]
+    n = len(ids)
+    if n > 20_000:
+        raise ValueError("a beam search takes 20,000 candidates at most")
+    k = min(k, n)
+    members, seen, score = np.zeros((1, 0), dtype=np.int64), np.zeros((1, labels.shape[1]), dtype=np.float32), np.zeros(1)
+    for _ in range(k):
+        top: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        step = max(1, 4_000_000 // max(n, 1))
+        for i in range(0, len(members), step):
+            part = slice(i, i + step)
+            gain = ((1 - seen[part]) * weights.astype(np.float32)) @ labels.T
+            each = np.round(score[part, None] + quality[None, :] + gain, 9)
+            np.put_along_axis(each, members[part], -np.inf, axis=1)
+            flat = each.ravel()
+            best = np.argpartition(-flat, min(width * 2, len(flat) - 1))[: width * 2] if len(flat) > width * 2 else np.arange(len(flat))
+            best = best[np.isfinite(flat[best])]
+            top.append((flat[best], best // n + i, best % n))
+        value, parent, new = (np.concatenate(x) for x in zip(*top, strict=True))
+        sets = np.sort(np.column_stack([members[parent], new]), axis=1)
+        rank = np.lexsort((*sets.T[::-1], -value))
+        sets, value, parent, new = sets[rank], value[rank], parent[rank], new[rank]
+        _, first = np.unique(sets, axis=0, return_index=True)
+        keep = np.sort(first)[:width]
+        members, score = sets[keep], value[keep]
+        seen = np.maximum(seen[parent[keep]], labels[new[keep]])
+    out: list[tuple[float, list[int]]] = []
+    for value, row in zip(score, members, strict=True):
+        if all(len(set(row) & set(x)) <= k - 2 for _, x in out):
+            out.append((float(value), row.tolist()))
+            if len(out) == diverse:
+                break
+    return [(v, ids[x].tolist()) for v, x in out]
+
+
+def balanced_partition(sizes: dict[str, Sequence[int]], parts: int = 3, fixed: dict[str, int] | None = None) -> dict[str, int]:
     """Groups (at most 5,000) into parts with near-equal totals in every dimension.
 
     sizes: group -> its total and its label counts. Largest first into the part that
-    keeps the deviation smallest, then exchanges while they help; ties by name.
+    keeps the deviation smallest, then exchanges while they help; ties by name. fixed: groups that have their part already.
     """
     if len(sizes) > 5000:
         raise ValueError("a partition search takes 5,000 groups at most")
     if not sizes:
         return {}
-    names = sorted(sizes, key=lambda g: (-sizes[g][0], g))
+    fixed = fixed or {}
+    names = sorted(sizes, key=lambda g: (g not in fixed, -sizes[g][0], g))
     x = np.array([sizes[g] for g in names], dtype=float).reshape(len(names), -1)
     want = x.sum(axis=0) / parts
     scale = np.maximum(want, 1.0)
@@ -25,11 +131,11 @@ def balanced_partition(sizes: dict[str, Sequence[int]], parts: int = 3) -> dict[
     total = np.zeros((parts, x.shape[1]))
     cost = lambda t: (((t - want) / scale) ** 2).sum()
     for i in range(len(names)):
-        part[i] = min(range(parts), key=lambda p: (((total[p] + x[i] - want) / scale) ** 2).sum() - (((total[p] - want) / scale) ** 2).sum())
+        part[i] = fixed[names[i]] if names[i] in fixed else min(range(parts), key=lambda p: (((total[p] + x[i] - want) / scale) ** 2).sum() - (((total[p] - want) / scale) ** 2).sum())
         total[part[i]] += x[i]
     for _ in range(20):
         moved = False
-        for i in range(len(names)):
+        for i in range(len(fixed), len(names)):
             now = cost(total)
             for j in range(i + 1, min(len(names), i + 200)):
                 a, b = part[i], part[j]

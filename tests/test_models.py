@@ -38,3 +38,20 @@ def test_grid_is_fitted(spark, tiny, monkeypatch):
     best = max(got, key=lambda r: (r.macro_average_precision, -r.config))
     assert [r.config for r in got if r.is_selected] == [best.config]
     assert best.threshold in extras.GRID_THRESHOLDS and 0 < best.macro_f1 <= 1
+
+
+def test_demonstrations_are_checked():
+    import pytest
+
+    from caseloom.plans.requests import checked_demos
+
+    bank = [{"demo_order": i, "review_id": i, "search_rank": 10 + i, "canonical_url": f"u{i}", "jurisdiction": f"j{i}", "text": "t", "labels": "[]"} for i in range(1, 7)]
+    assert [r["demo_order"] for r in checked_demos(bank[::-1], ["elsewhere"])] == [1, 2, 3, 4, 5, 6]
+    for change, message in (
+        (bank[:5], "exactly 6"), ([*bank[:5], bank[5] | {"demo_order": 7}], "orders"), ([*bank[:5], bank[5] | {"search_rank": 11}], "search_rank"), ([*bank[:5], bank[5] | {"canonical_url": "u1"}], "canonical_url"),
+        ([*bank[:5], bank[5] | {"text": " "}], "no text"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            checked_demos(change)
+    with pytest.raises(ValueError, match="held-out"):
+        checked_demos(bank, ["j3"])

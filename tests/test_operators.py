@@ -9,9 +9,9 @@ from caseloom.operators import integrity as I
 from caseloom.operators.aliases import with_jurisdiction
 from caseloom.operators.ranking import quantiles, running_within, spaced_places, with_place
 from caseloom.operators.resample import draws, intervals, replicates
-from caseloom.operators.search import balanced_partition
+from caseloom.operators.search import balanced_partition, beam_sets, exhaustive_partition
 from caseloom.operators.skew import block_join, hot_keys, salted_join
-from caseloom.plans.partitions import beam_cover, stratified_roles
+from caseloom.plans.partitions import stratified_roles
 
 
 def test_with_place(spark):
@@ -72,11 +72,50 @@ def test_balanced_partition():
     assert balanced_partition({}) == {} and balanced_partition({"a": (1,)}) == {"a": 0}
 
 
-def test_beam_cover(spark):
-    pool = spark.createDataFrame([(1, ["a", "b"], 0.0), (2, ["a", "b"], 0.0), (3, ["c"], 0.0)], "id long, labels array<string>, quality double")
-    ids, score = beam_cover(pool, 2)
-    assert ids == [1, 3] and score == pytest.approx(2 / 2**0.5 + 1)
-    assert beam_cover(pool.limit(0), 2) == ([], 0.0) and len(beam_cover(pool, 5)[0]) == 3
+def test_beam_sets():
+    """A beam as wide as all partial sets finds what trying all sets finds."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    labels = (rng.random((9, 6)) < 0.3).astype(float)
+    weights, quality = rng.random(6), -rng.random(9) / 10
+    ids = [int(x) for x in rng.permutation(9) + 100]
+    score = lambda c: weights[labels[list(c)].max(axis=0) > 0].sum() + quality[list(c)].sum()
+    best = max(itertools.combinations(range(9), 3), key=score)
+    got = beam_sets(labels, weights, quality, ids, 3, 15_000, 4)
+    assert got[0][0] == pytest.approx(score(best), abs=1e-5) and sorted(got[0][1]) == sorted(ids[i] for i in best)
+    assert all(len(set(x[1]) & set(y[1])) <= 1 for x, y in itertools.combinations(got, 2)) and [x[0] for x in got] == sorted((x[0] for x in got), reverse=True)
+    rare = np.array([[1, 0], [1, 1], [1, 0]])
+    (value, members), *_ = beam_sets(rare, np.array([3**-0.5, 1.0]), np.array([0.0, 0.0, -0.1]), [1, 2, 3], 2, 20, 1)
+    assert members == [1, 2] and value == pytest.approx(3**-0.5 + 1, abs=1e-5)
+    assert len(beam_sets(rare, np.ones(2), np.zeros(3), [1, 2, 3], 5, 20, 1)[0][1]) == 3
+
+
+@pytest.mark.parametrize("n", [6, 9])
+def test_exhaustive_partition(n):
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    sizes = {f"g{i}": (int(rng.integers(20, 30)), int(rng.integers(0, 9))) for i in range(n)}
+    x = np.array([sizes[g] for g in sorted(sizes)], dtype=float)
+    want = x.sum(axis=0) / 3
+
+    def key(parts):
+        t = np.array([[x[[i for i in range(n) if parts[i] == p], d].sum() for d in range(2)] for p in range(3)])
+        off, spread = t / want - 1, np.ptp(t[:, 0])
+        return (spread > 2, round(np.abs(off).max(), 9), round((off**2).sum(), 9), spread)
+
+    all_ways = {p for p in itertools.product(range(3), repeat=n) if all(p.count(k) == n // 3 for k in range(3))}
+    got = exhaustive_partition(sizes)
+    parts = tuple(got[g] for g in sorted(sizes))
+    assert parts in all_ways and key(parts) == min(map(key, all_ways))
+    assert exhaustive_partition({}) == {}
+    with pytest.raises(ValueError, match="18"):
+        exhaustive_partition({f"g{i}": (1,) for i in range(7)})
 
 
 def test_aliases(spark):

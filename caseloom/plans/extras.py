@@ -1,4 +1,4 @@
-"""Remaining operators of the survey: nested paths, label shapes, secret scan, charges, batch scoring, grid search."""
+"""Remaining operators of the survey: nested paths, label shapes, secret scan, charges, batch scoring."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.operators import label_metrics as M
+from caseloom.operators.linear import in_batches
 from caseloom.plans.metrics import families
-from caseloom.plans.models import OneVsRest
 from caseloom.plans.pages import parsed_pages
 from caseloom.sources.tables import table
 
@@ -76,59 +76,13 @@ def h13_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", F.size("t").alias("n_texts"), F.length(F.array_join("t", "")).alias("n_chars"))
 
 
-# The grid, later parameters first, and the thresholds.
-GRID = [(min_df, c, balanced) for min_df in (1, 2) for c in (0.25, 1.0, 4.0) for balanced in (False, True)]
-GRID_THRESHOLDS = [round(0.2 + 0.05 * i, 2) for i in range(13)]
-
-
-def m03_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve configurations of the one-vs-rest models by macro average precision on validation, then one threshold by macro-F1.
-
-    The best configuration wins, ties go to the earlier; of thresholds the one nearest 0.5, then the lower. threshold and macro_f1 are
-    of the winner. Labels without a validation case are not in the macro average precision; macro-F1 is over all labels.
-    """
-    from pyspark.ml.functions import vector_to_array
-
-    rows, best, it = [], None, None
-    for config, (min_df, c, balanced) in enumerate(GRID, 1):
-        if config == 1 or min_df != GRID[config - 2][0]:
-            if it is not None and (best is None or best[2] is not it):
-                it.close()
-            it = OneVsRest(spark, sf_dir, min_df)
-        models = it.fit(c, balanced)
-        known = [x for x in it.precisions(models) if x is not None]
-        macro = sum(known) / len(known) if known else None
-        rows.append((config, min_df, c, "balanced" if balanced else None, macro))
-        if macro is not None and (best is None or macro > best[0]):
-            best = macro, config, it, models
-    threshold = f1 = None
-    if best is not None:
-        _, _, it, models = best
-        p = vector_to_array("probability")[1]
-        t = F.array(*map(F.lit, GRID_THRESHOLDS))
-        got = {}
-        for i, m in enumerate(models):
-            if m is None:
-                continue
-            hit = F.col("p") >= F.col("t")
-            each = it.scored(i, m).select("n", "label", p.alias("p"), F.explode(t).alias("t")).groupBy("t")
-            for r in each.agg(F.sum(F.when(hit & (F.col("label") == 1), F.col("n"))).alias("tp"), F.sum(F.when(hit, F.col("n"))).alias("hits"), F.sum(F.when(F.col("label") == 1, F.col("n"))).alias("k")).collect():
-                named = (r.hits or 0) + (r.k or 0)
-                got[r.t] = got.get(r.t, 0.0) + (2 * (r.tp or 0) / named if named else 0.0)
-        threshold = min(got, key=lambda x: (-round(got[x], 9), round(abs(x - 0.5), 6), x))
-        f1 = got[threshold] / len(it.labels)
-        it.close()
-    out = [(*r, best is not None and r[0] == best[1], *((threshold, f1) if best is not None and r[0] == best[1] else (None, None))) for r in rows]
-    return spark.createDataFrame(out, "config int, min_df int, c double, class_weight string, macro_average_precision double, is_selected boolean, threshold double, macro_f1 double")
-
-
 def m06_batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A linear model applied to embeddings in Arrow batches; the same score by expressions differs by less than 1e-6."""
+    """A linear model applied to embeddings in Arrow batches, in smaller ones where memory is short; the same score by expressions differs by less than 1e-6."""
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
         rows = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, 1))
-        return pd.Series(rows.astype(np.float64) @ np.cos(np.arange(rows.shape[1])))
+        return pd.Series(in_batches(lambda part: part.astype(np.float64) @ np.cos(np.arange(rows.shape[1])), rows, 4096))
 
     e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
     plain = F.aggregate(F.transform("embedding", lambda v, i: v.cast("double") * F.cos(i.cast("double"))), F.lit(0.0), lambda a, v: a + v)
@@ -136,7 +90,7 @@ def m06_batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("mean_score"), F.count_if(F.abs(F.col("s") - F.col("t")) > 1e-6).alias("n_different"))
 
 
-QUERIES = {f.__name__: f for f in (p04_nested_paths, f19_label_shapes, c11_secret_scan, h10_charges, h13_flattened, m03_grid, m06_batch_scores)}
+QUERIES = {f.__name__: f for f in (p04_nested_paths, f19_label_shapes, c11_secret_scan, h10_charges, h13_flattened, m06_batch_scores)}
 ORACLE = {
     "p04_nested_paths": "SELECT page_id, CAST(coalesce(json_array_length(redirect_chain), 0) AS BIGINT) AS n_steps, CAST(redirect_chain->'$[#-1]'->>'status' AS INT) AS last_status FROM http_outcome",
     "f19_label_shapes": """SELECT count(*) AS n, 0 AS n_different, CAST(sum((SELECT count(*) FROM amp_ontology WHERE list_contains(predicted_labels, label_id))) AS BIGINT) AS n_labels FROM prediction_record""",

@@ -26,7 +26,7 @@ def test_full_bootstrap(spark, tiny):
     rows = [r for r in pq.read_table(f"{tiny}/prediction_record.parquet").to_pylist() if (r["split"] or "").strip().lower() == "test"]
     labels = {r["label_id"] for r in pq.read_table(f"{tiny}/amp_ontology.parquet").to_pylist()}
     sets = [(r["evaluation"], r["method"], r["prediction_variant"], r["case_id"], set(r["silver_reference_labels"] or ()) - {None}, set(r["predicted_labels"] or ()) - {None}) for r in rows]
-    n = models.FULL_REPLICATES
+    n = models.REPLICATES
     assert n == 1000
     macro = {}
     for key in {(e, m) for e, m, v, *_ in sets if v == "PRIMARY"}:
@@ -37,13 +37,13 @@ def test_full_bootstrap(spark, tiny):
         named = np.array([[(x in s[4]) + (x in s[5]) for x in frozen] for s in mine], dtype=float)
         a, b = 2 * w.T @ tp, w.T @ named
         macro[key] = np.divide(a, b, out=np.zeros_like(a), where=b > 0).mean(axis=1)[w.sum(axis=0) > 0], w.sum(axis=0) > 0
-    got = models.m09_bootstrap_full(spark, tiny).collect()
+    got = models.m09_bootstrap(spark, tiny).collect()
     assert {r.metric for r in got} == {"macro_f1", "micro_f1", "exact_set_accuracy", "example_jaccard"}
     ours = {(r.evaluation, r.method): r for r in got if r.metric == "macro_f1"}
     assert set(ours) == set(macro)
     for key, (x, _) in macro.items():
         assert (ours[key].ci_lower, ours[key].ci_upper) == pytest.approx(tuple(np.percentile(x, [2.5, 97.5]))) and ours[key].n_replicates == len(x)
-    pairs = models.m10_paired_bootstrap_full(spark, tiny).collect()
+    pairs = models.m10_paired_bootstrap(spark, tiny).collect()
     assert {r.comparison for r in pairs} == {"M3 - M2", "M4 - M2", "M4 - M3"}
     full = {k: np.full(n, np.nan) for k in macro}
     for k, (x, on) in macro.items():

@@ -74,28 +74,40 @@ def test_p2_brute_force(spark, tiny):
     assert unicodedata.normalize("NFC", "é") == "é"
 
 
-PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>Case A &amp; B | Site</title></head><body>
+PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>Case A{0} &amp; B | Site</title></head><body>
 <nav><ul><li><a href="/">Home</a><li><a href="/s">Search</a></ul></nav>
 <div class="zz"><p>We use cookies.</p><button>OK</button></div>
-<div class="q1"><h1>Case A &amp; B</h1><dl><dt>Court<dd>Supreme Court<dt>No<dd>7</dl>
-<h3>Facts</h3><p>The first defendant&nbsp;was <b>fined</b> after<br>a long trial in the city court.</p>
-<p>The second paragraph is about the appeal that was dismissed in the same year.
-<div class="promo"><p>Newsletter</p></div>
-<h3>Charges</h3><ul><li>section 1: fined, 2<li>section 2: acquitted</ol>
+<div class="q1"><h1>Case A{0} &amp; B</h1><dl><dt>Court<dd>Supreme Court<dt>No<dd>7{0}</dl>
+<h3>Facts</h3><p>The first defendant&nbsp;was <b>fined</b> after<br>a long trial in the city court {0}.</p>
+<p>The second paragraph is about the appeal that was dismissed in the same year {0}.
+<div class="z9"><p>Newsletter</p><p>Once a month.</p></div>
+<h3>Charges</h3><ul><li>section {0}: fined, 2<li>section 2: acquitted</ol>
 <blockquote>The court said that the law was clear and applied to all the accused.</blockquote>
-<ul class=share><li>Share this page</li><li>Print</li></ul></div>
-<div class="q2"><h3>Related cases</h3><h4>Other v. State</h4><p>Another text about another case that is not this one at all.</p></div>
+<ul class=c7><li>Share this page</li><li>Print</li></ul>
+{1}</div>
+<div class="q2">{2}</div>
 <footer><p>Copyright</p></footer><p style="display:none">hidden</p></body></html>"""
-OWN = [
-    "Case A & B", "Court", "Supreme Court", "No", "7", "Facts", "The first defendant was fined after a long trial in the city court.", "The second paragraph is about the appeal that was dismissed in the same year.",
-    "Charges", "section 1: fined, 2", "section 2: acquitted", "The court said that the law was clear and applied to all the accused.",
-]
+BOX = """<div class="k4"><h3>Related cases</h3><h4>Other v. State {0}</h4><p>Another text about another case that is not this one at all, number {0}.</p></div>"""
+
+
+def page_of(i: int) -> str:
+    """A page of case i; every second one has the box of other cases within its main part, the others beside it."""
+    box = BOX.format(i * 31)
+    return PAGE.format(i, box if i % 2 else "", "" if i % 2 else box)
+
+
+def own_of(i: int) -> list[str]:
+    return [
+        f"Case A{i} & B", "Court", "Supreme Court", "No", f"7{i}", "Facts", f"The first defendant was fined after a long trial in the city court {i}.", f"The second paragraph is about the appeal that was dismissed in the same year {i}.",
+        "Charges", f"section {i}: fined, 2", "section 2: acquitted", "The court said that the law was clear and applied to all the accused.",
+    ]
 
 
 def test_page():
-    g = P.Page(PAGE.encode())
-    assert g.heading == "Case A & B" and g.own == OWN
-    assert "hidden" not in g.site and {"Home", "Newsletter", "Share this page", "Related cases", "Copyright"} <= set(g.site)
+    g = P.Page(page_of(2).encode())
+    assert g.heading == "Case A2 & B" and [t for t, boxes in g.own if not boxes or g.boxes[boxes[-1]][0] not in ("Newsletter", "Share this page")] == own_of(2)
+    assert "hidden" not in g.site and {"Home", "Related cases", "Copyright"} <= set(g.site)
+    assert ["Newsletter", "Once a month."] in g.boxes and ["Share this page", "Print"] in g.boxes
 
 
 @pytest.mark.parametrize("body", [b"", b"%PDF-1.4 ...", b"<html><head><title>Site</title></head><body><h1>Page not found</h1></body></html>", b"\xff\xfe<<<>>", b"<" * 5000])
@@ -105,8 +117,8 @@ def test_pages_without_case(body):
 
 
 def test_page_encodings():
-    page = PAGE.replace("utf-8", "windows-1252").replace("city court", "città €")
-    assert any("città €" in x for x in P.Page(page.encode("cp1252")).own)
+    page = page_of(2).replace("utf-8", "windows-1252").replace("city court", "città €")
+    assert any("città €" in x for x, _ in P.Page(page.encode("cp1252")).own)
 
 
 def test_density_prefers_text():
@@ -117,12 +129,16 @@ def test_density_prefers_text():
 
 
 def test_main_blocks(spark):
+    """Boxes, lists and texts of the site go by what all pages together show; class names are made by a machine. Repeats of a page are equal."""
     import hashlib
 
-    df = spark.createDataFrame([(1, bytearray(PAGE.encode())), (2, None), (3, bytearray(b"")), (4, bytearray(PAGE.encode()))], "page_id long, body binary")
+    ids = [*range(2, 24), 2]
+    df = spark.createDataFrame([(n, bytearray(page_of(i).encode())) for n, i in enumerate(ids)] + [(98, None), (99, bytearray(b""))], "page_id long, body binary")
     got = {(r["__page"], bytes(r["__md5"])) for r in P.main_blocks(df, "page_id", "body").collect()}
-    assert got == {(i, hashlib.md5(t.encode()).digest()) for i in (1, 4) for t in OWN}
+    assert got == {(n, hashlib.md5(t.encode()).digest()) for n, i in enumerate(ids) for t in own_of(i)}
     assert P.main_blocks(df.limit(0), "page_id", "body").count() == 0
+    few = {bytes(r["__md5"]) for r in P.main_blocks(df.where("page_id = 0"), "page_id", "body").collect()}
+    assert {hashlib.md5(t.encode()).digest() for t in [*own_of(2), "Newsletter"]} <= few
 
 
 CLEAN = [

@@ -1,4 +1,4 @@
-"""Remaining operators of the survey: nested paths, label shapes, secret scan, charges, batch scoring."""
+"""Remaining operators of the survey: nested paths, label shapes, secret scan, batch scoring."""
 
 from __future__ import annotations
 
@@ -44,33 +44,9 @@ def c11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_domain", F.explode(found).alias("kind")).groupBy("doc_domain", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def h10_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Charges listed on pages: provision, outcome and the number that follows."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    from caseloom.functions.html_tree import blocks, decode, parse
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, text = [], []
-            for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for t, n in blocks(parse(decode(body))[0]) if body else ():
-                    if n.tag == "li":
-                        at.append(i)
-                        text.append(t)
-            yield pa.RecordBatch.from_pydict({"page_id": pa.array(at, pa.int64()), "item": pa.array(text, pa.string())})
-
-    rows = table(spark, sf_dir, "http_outcome").select(F.col("page_id").cast("long"), "body").mapInArrow(run, "page_id long, item string")
-    part = lambda k: F.regexp_extract("item", r"^(.+): ([a-z]+), ([0-9]+)$", k)
-    got = rows.select(part(1).alias("provision"), part(2).alias("outcome"), part(3).try_cast("int").alias("n")).where("outcome <> ''")
-    return got.groupBy("provision", "outcome").agg(F.count(F.lit(1)).alias("n_charges"), F.sum("n").alias("sum_n"))
-
-
 def h13_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts of a page's nested record in one column: how many and how long."""
-    p = parsed_pages(table(spark, sf_dir, "http_outcome"))
+    p = parsed_pages(table(spark, sf_dir, "http_outcome"), ("title", "metas", "sections", "fields", "panes"))
     texts = F.concat(F.array("title"), F.transform("metas", lambda m: m["content"]), F.transform("sections", lambda s: s["heading"]), F.flatten(F.transform("fields", lambda f: F.array(f["label"], f["value"]))), F.transform("panes", lambda x: x["text"]))
     got = p.select("page_id", F.filter(texts, lambda t: t.isNotNull()).alias("t"))
     return got.select("page_id", F.size("t").alias("n_texts"), F.length(F.array_join("t", "")).alias("n_chars"))
@@ -90,7 +66,7 @@ def m06_batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("mean_score"), F.count_if(F.abs(F.col("s") - F.col("t")) > 1e-6).alias("n_different"))
 
 
-QUERIES = {f.__name__: f for f in (p04_nested_paths, f19_label_shapes, c11_secret_scan, h10_charges, h13_flattened, m06_batch_scores)}
+QUERIES = {f.__name__: f for f in (p04_nested_paths, f19_label_shapes, c11_secret_scan, h13_flattened, m06_batch_scores)}
 ORACLE = {
     "p04_nested_paths": "SELECT page_id, CAST(coalesce(json_array_length(redirect_chain), 0) AS BIGINT) AS n_steps, CAST(redirect_chain->'$[#-1]'->>'status' AS INT) AS last_status FROM http_outcome",
     "f19_label_shapes": """SELECT count(*) AS n, 0 AS n_different, CAST(sum((SELECT count(*) FROM amp_ontology WHERE list_contains(predicted_labels, label_id))) AS BIGINT) AS n_labels FROM prediction_record""",

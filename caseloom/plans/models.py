@@ -121,10 +121,9 @@ def m03_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         i = np.flatnonzero(every)
         yield pa.RecordBatch.from_pydict({"at": pa.array(i), "n": pa.array(every[i].astype(np.int64)), "k": pa.array(hits[i].astype(np.int64))})
 
-    got = it.score(held, ["ref", "n"], range(len(GRID)), cells, "at long, n long, k long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()  # a bounded table
+    got = it.score(held, ["ref", "n"], range(len(GRID)), cells, "at long, n long, k long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).toPandas()  # a bounded table
     every, hits = np.zeros(len(GRID) * len(labels) * CELLS), np.zeros(len(GRID) * len(labels) * CELLS)
-    for r in got:
-        every[r["at"]], hits[r["at"]] = r["n"], r["k"]
+    every[got["at"].to_numpy(dtype=np.int64)], hits[got["at"].to_numpy(dtype=np.int64)] = got["n"], got["k"]
     every, hits = (x.reshape(len(GRID), len(labels), CELLS)[:, :, ::-1] for x in (every, hits))
     upto, found = every.cumsum(axis=2), hits.cumsum(axis=2)
     total = found[:, :, -1]

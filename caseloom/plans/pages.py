@@ -79,7 +79,7 @@ _HEADING = re.compile("h[1-6]")
 # What heads the charges of a page, in the languages of its labels.
 CHARGE_HEADINGS = {"charges", "cargos", "anklage", "anklagepunkte", "chefs d’accusation", "acusações"}
 _CHARGE = re.compile(r"(.+): ([a-z]+), ([0-9]+)")
-_PERSON = re.compile(r"\b([A-Z][\w’-]+(?: [A-Z][\w’-]+)+) \(([0-9]{1,2}) years\)")
+_AGE = re.compile(r"\(([0-9]{1,2}) years\)")
 
 
 def extract(page_id: int, body: bytes | None, parts: set[str] | None = None) -> dict:
@@ -98,7 +98,7 @@ def extract(page_id: int, body: bytes | None, parts: set[str] | None = None) ->
         out["locale"] = (script[1] if script else tag) or None
         found = blocks(root)
         heads = [(i, int(b.tag[1])) for i, (_, n) in enumerate(found) if _HEADING.fullmatch((b := _block(n)).tag)]
-        ends = [*(i for i, _ in heads[1:]), len(found)]
+        ends = [*(i for i, _ in heads[1:]), len(found)][: len(heads)]
         if "metas" in want:
             for x in nodes:
                 if x.tag == "meta" and (a := x.attrs()).get("content") and (a.get("property") or a.get("name")):
@@ -206,9 +206,14 @@ def _charges(found: list[tuple[str, Node]], heads: list[tuple[int, int]], ends:
             if m:
                 charges.append({"section": section, "owner": owner, "ordinal": len(charges) + 1, "provision": m[1], "outcome": m[2], "n": int(m[3])})
                 continue
-            for p in _PERSON.finditer(text):
-                owner = p[1]
-                persons.append({"ordinal": len(persons) + 1, "name": p[1], "age": int(p[2]), "section": section})
+            for p in _AGE.finditer(text):
+                name: list[str] = []
+                for word in reversed(text[: p.start()].split()):
+                    if not word[0].isupper():
+                        break
+                    name.insert(0, word)
+                owner = " ".join(name) or owner
+                persons.append({"ordinal": len(persons) + 1, "name": " ".join(name) or None, "age": int(p[1]), "section": section})
     return charges, persons
 
 
@@ -324,7 +329,8 @@ def h12_page_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h04_recorded_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles that pages have, by the recorded document title: recorded ones that the page's differ from (blanks and entities aside)."""
     v = table(spark, sf_dir, "page_validation").where("document_title IS NOT NULL").select("page_id", F.trim(F.regexp_replace("document_title", r"\s+", " ")).alias("recorded"))
-    got = v.join(_pages(spark, sf_dir, "title"), "page_id")
+    html = table(spark, sf_dir, "http_outcome").where(F.col("body").cast("string").contains("<title>")).select("page_id")  # recorded titles of other files aren't in them
+    got = v.join(html, "page_id", "left_semi").join(_pages(spark, sf_dir, "title"), "page_id")
     return got.agg(F.count(F.lit(1)).alias("n_titles"), F.count_if(F.coalesce("title", F.lit("")) != F.col("recorded")).alias("n_different"))
 
 
@@ -377,7 +383,7 @@ ORACLE = {
     "h09_person_counts": _COUNT.format(_PLAIN, r"\([0-9]{1,2} years\)"),
     "h10_charge_counts": _COUNT.format(_PLAIN, "(?i)<li[^>]*>[^<]*?: [a-z]+, [0-9]+"),
     "h11_section_counts": _COUNT.format("body::VARCHAR", "(?i)<h[1-6][ >]"),
-    "h04_recorded_titles": "SELECT count(*) AS n_titles, 0 AS n_different FROM page_validation WHERE document_title IS NOT NULL AND page_id IN (SELECT page_id FROM http_outcome)",
+    "h04_recorded_titles": "SELECT count(*) AS n_titles, 0 AS n_different FROM page_validation WHERE document_title IS NOT NULL AND page_id IN (SELECT page_id FROM http_outcome WHERE contains(body::VARCHAR, '<title>'))",
     "f26_meta": r"""SELECT page_id, nullif(replace(regexp_extract(body::VARCHAR, 'og:url\\x22 content=\\x22([^\\]*)\\x22', 1), '&amp;', '&'), '') IS NOT DISTINCT FROM og_url AS same FROM http_outcome JOIN page_validation USING (page_id)""",
     "h12_page_accounts": "SELECT count(*) AS n_pages, count(DISTINCT page_id) AS n_ids, count(*) FILTER (coalesce(octet_length(body), 0) = 0) AS n_empty, 0 AS n_errors, 0 AS n_gapped, 0 AS n_invented FROM http_outcome",
 }

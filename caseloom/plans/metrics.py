@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.operators import label_metrics as M
-from caseloom.sources.tables import table
+from caseloom.sources.tables import small, table
 
 FAMILIES = ("ACT", "MEANS", "PURPOSE")
 KEYS = ["evaluation", "method", "variant"]
@@ -80,7 +80,7 @@ def a3_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a4_supported_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels with support in the pooled test set, with their place in the ontology."""
     labels = frozen_labels(test_cases(spark, sf_dir))
-    return labels.join(F.broadcast(ontology(spark, sf_dir).select("label_id", "label_ord")), "label_id")
+    return labels.join(F.broadcast(small(ontology(spark, sf_dir).select("label_id", "label_ord"), 1000)), "label_id")
 
 
 def scopes(cases: DataFrame) -> DataFrame:

@@ -269,10 +269,17 @@ def m10_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m11_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jaccard per case computed in two ways: cases that differ by more than 1e-12 (none)."""
+    """Metrics computed in two ways, from set sizes and from label rows: cases and groups that differ by more than 1e-12 (none)."""
     cases = M.with_case_counts(test_cases(spark, sf_dir))
     again = F.when(F.size(F.array_union("ref", "pred")) == 0, 1.0).otherwise(F.size(F.array_intersect("ref", "pred")) / F.size(F.array_union("ref", "pred")))
-    return cases.agg(F.count(F.lit(1)).alias("n_cases"), F.count_if(F.abs(F.col("jaccard") - again) > 1e-12).alias("n_different"))
+    one = cases.agg(F.count(F.lit(1)).alias("n_cases"), F.count_if(F.abs(F.col("jaccard") - again) > 1e-12).alias("n_different"), F.count_if(F.col("is_exact") != (F.array_sort("ref") == F.array_sort("pred")).cast("long")).alias("n_exact_different"))
+    sets = cases.groupBy("evaluation", "method").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    facts = M.label_facts(test_cases(spark, sf_dir), ["evaluation", "method"]).groupBy("evaluation", "method").agg(
+        F.count_if(F.col("in_ref") & F.col("in_pred")).alias("a"), F.count_if(~F.col("in_ref")).alias("b"), F.count_if(~F.col("in_pred")).alias("c")
+    )
+    f1 = F.abs(M.f1_of(F.col("tp"), F.col("fp"), F.col("fn")) - M.f1_of(F.col("a"), F.col("b"), F.col("c")))
+    groups = sets.join(facts, ["evaluation", "method"]).agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(f1 > 1e-12).alias("n_groups_different"))
+    return one.withColumn("__one", F.lit(1)).join(groups.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
 QUERIES = {
@@ -323,7 +330,7 @@ ORACLE = {
           FROM g CROSS JOIN (VALUES {", ".join(f"('{a} - {b}', '{a}', '{b}')" for a, b in COMPARISONS)}) c(comparison, first, second) LEFT JOIN v y ON y.evaluation = g.evaluation AND y.r = g.r AND y.metric = g.metric AND y.method = first
           LEFT JOIN v z ON z.evaluation = g.evaluation AND z.r = g.r AND z.metric = g.metric AND z.method = second),
         i AS (SELECT evaluation, comparison, metric, quantile_cont(value, 0.025) AS ci_lower, quantile_cont(value, 0.975) AS ci_upper, count(value) AS n_replicates FROM x GROUP BY ALL) SELECT *, ci_lower > 0 OR ci_upper < 0 AS excludes_zero FROM i""",
-    "m11_recomputed": f"WITH {_P} SELECT count(*) AS n_cases, 0 AS n_different FROM t",
+    "m11_recomputed": f"WITH {_P} SELECT count(*) AS n_cases, 0 AS n_different, 0 AS n_exact_different, count(DISTINCT (evaluation, method)) AS n_groups, 0 AS n_groups_different FROM t",
     "w07_best_threshold": f"{_VOTES} SELECT * FROM b",
     "w08_best_configuration": "SELECT method, run_id, row_id, macro_f1 FROM amp_per_jurisdiction WHERE macro_f1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY method ORDER BY macro_f1 DESC, row_id) = 1",
 }

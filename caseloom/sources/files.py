@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import uuid
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, StringType
@@ -19,6 +22,17 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: StructTyp
     return spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("_path", F.col("_metadata.file_path"))
 
 
+def read_numbered_jsonl(spark: SparkSession, path: str | Sequence[str], schema: StructType | str) -> DataFrame:
+    """JSON lines of files that fit into a task each; a line that isn't a JSON object fails the read with path:line. Blank lines are skipped."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("_path"), F.inline(F.transform(F.split("value", r"\r?\n"), lambda x, i: F.struct(i.alias("_line"), x.alias("_text")))))
+    rows = files.where(F.trim("_text") != "")
+    bad = F.try_parse_json("_text").isNull() | ~F.ltrim("_text").startswith("{")
+    message = F.concat(F.col("_path"), F.lit(":"), (F.col("_line") + 1).cast("string"), F.lit(" is no JSON object"))
+    text = F.when(bad, F.raise_error(message).cast("string")).otherwise(F.col("_text"))
+    return rows.select(F.from_json(text, schema).alias("_row")).select(*[F.col("_row").getField(f.name).alias(f.name) for f in schema])
+
+
 def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A file with one JSON object or array."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -47,7 +61,7 @@ def read_pages(spark: SparkSession, path: str, glob: str = "*.html") -> DataFram
 def read_predictions(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
     """All prediction files under a folder, JSON lines and CSV alike, with their path; rows without a method are skipped.
 
-    A method, evaluation, variant and rank that occurs twice is an error, raised when the rows are read.
+    A method, evaluation, variant and rank that occurs twice is an error, raised here: only the keys are read and counted for it.
     """
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     options = {"recursiveFileLookup": True}
@@ -57,8 +71,8 @@ def read_predictions(spark: SparkSession, root: str, schema: StructType | str) -
     both = lines.withColumn("source_path", F.col("_metadata.file_path")).unionByName(typed).where(F.coalesce("method", F.lit("")) != "")
     keys = [x for x in ("method", "evaluation", "variant", "search_rank") if x in schema.names]
     twice = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    checked = twice.agg(F.when(F.count(F.lit(1)) > 0, F.raise_error(F.lit("a prediction occurs twice"))).alias("x")).first()
-    del checked
+    if found := twice.limit(1).collect():
+        raise ValueError(f"a prediction occurs twice: {found[0].asDict()}")
     return both
 
 
@@ -85,3 +99,55 @@ def compare_outputs(spark: SparkSession, expected: DataFrame, path: str) -> str:
         return "CONFLICT_DIFFERENT"
     there = there.select(*expected.columns)
     return "UNCHANGED" if there.exceptAll(expected).isEmpty() and expected.exceptAll(there).isEmpty() else "CONFLICT_DIFFERENT"
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of the cluster's file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
+    """One file, all of it or none: written beside its place under another name, then renamed. A file that is there is replaced."""
+    fs, where = _files(spark, path)
+    _, part = _files(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(part)
+    out.write(data)
+    out.close()
+    if fs.exists(where):
+        fs.delete(where, False)
+    if not fs.rename(part, where):
+        fs.delete(part, False)
+        raise OSError(f"could not write {path}")
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """One file that fits into memory."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
+def write_arrays(spark: SparkSession, arrays: Mapping[str, np.ndarray], path: str) -> None:
+    """Named arrays, such as a fitted model's weights, as one npz file."""
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    write_bytes(spark, out.getvalue(), path)
+
+
+def read_arrays(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(read_bytes(spark, path)), allow_pickle=False) as got:
+        return {k: got[k] for k in got.files}
+
+
+def inspect_outputs(spark: SparkSession, expected: Mapping[str, bytes]) -> dict[str, str]:
+    """Per path of a few small outputs: MISSING, UNCHANGED, CONFLICT_DIFFERENT, or CONFLICT_NOT_FILE where something else has its name."""
+    out = {}
+    for path, data in expected.items():
+        fs, where = _files(spark, path)
+        if not fs.exists(where):
+            out[path] = "MISSING"
+        elif not fs.getFileStatus(where).isFile():
+            out[path] = "CONFLICT_NOT_FILE"
+        else:
+            same = fs.getFileStatus(where).getLen() == len(data) and read_bytes(spark, path) == data
+            out[path] = "UNCHANGED" if same else "CONFLICT_DIFFERENT"
+    return out

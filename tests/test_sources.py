@@ -98,3 +98,32 @@ def test_cut_and_release(spark, tmp_path):
     with pytest.raises(ValueError, match="3 rows"):
         tables.small(spark.range(4).toDF("id"), 3)
     assert tables.small(spark.range(3).toDF("id"), 3).count() == 3
+
+
+def test_numbered_lines(spark, tmp_path):
+    p = tmp_path / "a.jsonl"
+    p.write_text('{"a": 1}\n\n{"a": 2, "b": "x"}\r\n')
+    assert sorted((r.a, r.b) for r in files.read_numbered_jsonl(spark, str(p), "a long, b string").collect()) == [(1, None), (2, "x")]
+    for line in ("[1]", "{oops", "7"):
+        p.write_text('{"a": 1}\n\n' + line + "\n")
+        with pytest.raises(Exception, match=r"a\.jsonl:3 "):
+            files.read_numbered_jsonl(spark, str(p), "a long").collect()
+
+
+def test_single_files(spark, tmp_path):
+    import numpy as np
+
+    a, d = str(tmp_path / "m.npz"), tmp_path / "folder"
+    d.mkdir()
+    files.write_arrays(spark, {"w": np.arange(3.0), "b": np.zeros(0)}, a)
+    files.write_arrays(spark, {"w": np.arange(4.0)}, a)
+    assert files.read_arrays(spark, a)["w"].tolist() == [0, 1, 2, 3]
+    files.write_bytes(spark, b"x", str(tmp_path / "x"))
+    got = files.inspect_outputs(spark, {str(tmp_path / "x"): b"x", str(tmp_path / "y"): b"", str(d): b"", a: b"no"})
+    assert list(got.values()) == ["UNCHANGED", "MISSING", "CONFLICT_NOT_FILE", "CONFLICT_DIFFERENT"]
+    assert not [x for x in tmp_path.iterdir() if x.name.endswith(".part")]
+    p = tmp_path / "one.json"
+    p.write_text('{"a": 5,\n "b": {"c": [1]}}')
+    assert files.read_json(spark, str(p), "a long, b struct<c:array<int>>").first().b.c == [1]
+    files.write_jsonl(spark.createDataFrame([(1, None)], "a long, b string"), str(tmp_path / "lines"))
+    assert '{"a":1,"b":null}' in "".join(x.read_text() for x in (tmp_path / "lines").glob("part-*"))

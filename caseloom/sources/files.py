@@ -25,7 +25,7 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: StructTyp
 def read_numbered_jsonl(spark: SparkSession, path: str | Sequence[str], schema: StructType | str) -> DataFrame:
     """JSON lines of files that fit into a task each; a line that isn't a JSON object fails the read with path:line. Blank lines are skipped."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("_path"), F.inline(F.transform(F.split("value", r"\r?\n"), lambda x, i: F.struct(i.alias("_line"), x.alias("_text")))))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_path"), F.inline(F.transform(F.split("value", r"\r?\n"), lambda x, i: F.struct(i.alias("_line"), x.alias("_text")))))
     rows = files.where(F.trim("_text") != "")
     bad = F.try_parse_json("_text").isNull() | ~F.ltrim("_text").startswith("{")
     message = F.concat(F.col("_path"), F.lit(":"), (F.col("_line") + 1).cast("string"), F.lit(" is no JSON object"))

@@ -64,12 +64,13 @@ def classes(node: Node) -> set[str]:
     return set(node.attrs().get("class", "").split()) if node.attr else set()
 
 
-def language(pane_id: str | None, label: str | None, locale: str | None, first: bool) -> tuple[str | None, str]:
-    """Language of a pane and where it is from: the tab's name, the end of the id, the page."""
+def language(pane_id: str | None, label: str | None, locale: str | None, first: bool, href: str | None = None) -> tuple[str | None, str]:
+    """Language of a pane and where it is from: the tab's name, the end of the pane's id, the end of the tab's link, the page."""
     if label and label.strip().casefold() in LANGUAGE_NAMES:
         return LANGUAGE_NAMES[label.strip().casefold()], "tab_label"
-    if pane_id and (m := re.search(r"(?:^|[_-])(ar|de|en|es|fr|pt|ru|zh)$", pane_id.lower())):
-        return m[1], "pane_id"
+    for name, method in ((pane_id, "pane_id"), (href, "href")):
+        if name and (m := re.search(r"(?:^|[#_-])(ar|de|en|es|fr|pt|ru|zh)$", name.lower())):
+            return m[1], method
     if locale:
         return locale.lower(), "page_first_pane" if first else "page"
     return None, "unknown"
@@ -156,11 +157,14 @@ def _panes(nodes: list[Node], locale: str | None) -> tuple[list[dict], list[str]
     out: list[dict] = []
     notes: set[str] = set()
     labels: list[str] = []
+    links: list[str | None] = []
     group = 0
     for x in nodes:
         names = classes(x)
         if "nav-tabs" in names:
-            labels = [text_of(k) for k in x.kids if not isinstance(k, str)]
+            tabs = [k for k in x.kids if not isinstance(k, str)]
+            labels = [text_of(k) for k in tabs]
+            links = [next((a.attrs().get("href") for a in walk(k) if a.tag == "a"), None) for k in tabs]
         elif "tab-content" in names:
             group += 1
             panes = [k for k in x.kids if not isinstance(k, str) and "tab-pane" in classes(k)]
@@ -171,11 +175,11 @@ def _panes(nodes: list[Node], locale: str | None) -> tuple[list[dict], list[str]
                 notes.add("REPEATED_PANE_ID")
             for i, k in enumerate(panes):
                 label = labels[i] if i < len(labels) else None
-                lang, method = language(ids[i], label, locale, i == 0)
+                lang, method = language(ids[i], label, locale, i == 0, links[i] if i < len(links) else None)
                 if lang is None:
                     notes.add("UNKNOWN_PANE_LANGUAGE")
                 out.append({"group": group, "ordinal": i + 1, "pane_id": ids[i], "tab_label": label, "language": lang, "method": method, "text": text_of(k)})
-            labels = []
+            labels, links = [], []
     return out, sorted(notes)
 
 

@@ -26,7 +26,7 @@ from caseloom.functions.urls import same_page_key, url_host
 from caseloom.operators.skew import block_join, hot_keys
 from caseloom.sources.tables import c, cut, spread, table
 
-#: Hashes of a text. Of texts with four in five words in the same order, the words with repeats have Jaccard similarity 2/3 and more,
+#: Hashes of a text that its sketch is of. Of texts with four in five words in the same order, the words with repeats have Jaccard similarity 2/3 and more,
 #: wherever the other words stand; that is the share of hashes that agree.
 HASHES, LEAST = 128, 2 / 3
 #: A band of r hashes is shared with probability LEAST**r; so many bands are taken that none is with probability MISSED at most.
@@ -50,7 +50,7 @@ HOT, GRID = 0.005, 8
 
 
 def plan_bands(n: int) -> tuple[int, int]:
-    """(hashes of a band, bands) for n texts: recall is the same at every size, only chance meetings are kept in proportion."""
+    """(hashes of a band, bands) for n texts: recall is the same at every size, and a text meets as many others by chance."""
     rows = 4
     while True:
         bands = math.ceil(math.log(MISSED) / math.log(1 - LEAST**rows))
@@ -98,9 +98,11 @@ class Signer:
 
     def __init__(self, rows: int = 4, bands: int = 26) -> None:
         rng = np.random.default_rng(6)
-        self.mul = rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
-        per = HASHES // rows
-        self.of = [at[k * rows : (k + 1) * rows] for at in (rng.permutation(HASHES) for _ in range(-(-bands // per))) for k in range(per)][:bands]
+        # Bands share no hash, so that they are independent; beyond those of the sketch there are as many hashes as they take.
+        self.hashes = max(HASHES, rows * bands)
+        self.mul = rng.integers(1, 1 << 32, self.hashes, dtype=np.uint32) | np.uint32(1)
+        at = rng.permutation(self.hashes)
+        self.of = [at[k * rows : (k + 1) * rows] for k in range(bands)]
         self.plain = np.full(0x110000, self.UNKNOWN, dtype=np.uint32)  # code point -> plain code point, 0 for nothing, APART for ideographs
         self.power = np.ones(1, dtype=np.uint64)
 
@@ -167,15 +169,15 @@ class Signer:
         same = np.append(False, h[1:] == h[:-1])
         again = n - np.maximum.accumulate(np.where(same, 0, n))
         mixed = (_mix((h & np.uint64((1 << 48) - 1)) + again.astype(np.uint64) * self.GOLD) >> np.uint64(32)).astype(np.uint32)
-        low = np.empty((HASHES, len(starts)), dtype=np.uint32)
+        low = np.empty((self.hashes, len(starts)), dtype=np.uint32)
         size, step = len(h), 64  # a few texts at a time stay in the processor's cache
         for i in range(0, len(starts), step):
             lo, hi = starts[i], starts[i + step] if i + step < len(starts) else size
             x, y = mixed[lo:hi], np.empty(hi - lo, dtype=np.uint32)
-            for k in range(HASHES):
+            for k in range(self.hashes):
                 np.multiply(x, self.mul[k], out=y)
                 low[k, i : i + step] = np.minimum.reduceat(y, starts[i : i + step] - lo)
-        wide = _mix(low.astype(np.uint64) + (np.arange(HASHES, dtype=np.uint64) << np.uint64(32))[:, None])
+        wide = _mix(low.astype(np.uint64) + (np.arange(self.hashes, dtype=np.uint64) << np.uint64(32))[:, None])
         sketch = np.zeros((len(starts), PLANES * HASHES // 64), dtype=np.uint64)
         for k in range(HASHES):
             for p in range(PLANES):

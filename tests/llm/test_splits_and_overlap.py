@@ -141,6 +141,24 @@ def test_recall_at_the_definition(spark):
 def test_bands_for_every_size(n):
     rows, bands = O.plan_bands(n)
     assert (1 - O.LEAST**rows) ** bands <= O.MISSED and n * bands * O.UNRELATED**rows <= O.METS
+    of = O.Signer(rows, bands).of
+    assert len(of) == bands and len({int(x) for b in of for x in b}) == rows * bands
+
+
+def test_long_bands_find_as_much():
+    """Bands planned for many texts: pairs with a fifth of 60 words replaced share one as often."""
+    rng = random.Random(11)
+    a, b = [], []
+    for _ in range(1500):
+        w = words(rng, 60)
+        v = list(w)
+        for k in rng.sample(range(60), 12):
+            v[k] = f"y{rng.randrange(10_000)}"
+        a.append(" ".join(w))
+        b.append(" ".join(v))
+    sign = O.Signer(*O.plan_bands(20_000_000))
+    (_, _, _, x), (_, _, _, y) = sign(a), sign(b)
+    assert (x == y).any(axis=1).mean() > 0.99
 
 
 def test_hot_bands_lose_nothing(spark):

@@ -46,5 +46,20 @@ def p5_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p5_found": p5_found, "p5_label_counts": p5_label_counts}
-ORACLE: dict[str, str] = {}
+def p5_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with values by table and field; cells whose positions have gaps, and values that are blank or begin or end with blanks (0)."""
+    found = p5_found(spark, sf_dir)
+    odd = F.col("item_value").rlike(r"(?U)^\s|\s$") | (F.col("item_value") == "")
+    cells = found.groupBy("rec_table", "field_name", "rec_id").agg(F.count(F.lit(1)).alias("n"), F.max("item_pos").alias("last"), F.count_distinct("item_pos").alias("k"), F.count_if(odd).alias("odd"))
+    gapped = (F.col("n") != F.col("last")) | (F.col("k") != F.col("n"))
+    return cells.groupBy("rec_table", "field_name").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(gapped).alias("n_gapped"), F.sum("odd").alias("n_blank"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_label_counts": p5_label_counts, "p5_cells": p5_cells}
+_CELLS = "SELECT '{}' AS rec_table, '{}' AS field_name, count(*) AS n_cells, 0 AS n_gapped, 0 AS n_blank FROM {} WHERE regexp_matches({}, '[\\p{{L}}\\p{{N}}]') {}"
+_IS_LABELS = "AND trim(field, chr(32) || chr(9) || chr(160)) IN (" + ", ".join(f"'{x}'" for x in LABEL_FIELDS) + ")"
+ORACLE = {
+    "p5_cells": " UNION ALL ".join(
+        [*(_CELLS.format("demo_bank_review", x, "demo_bank_review", x, "") for x in DEMO_COLUMNS), _CELLS.format("human_annotation_qc_report", "raw_value", "human_annotation_qc_report", "raw_value", _IS_LABELS)]
+    )
+}

@@ -211,5 +211,17 @@ def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return member_counts(table(spark, sf_dir, "human_annotation_qc_report"), ["raw_value", "normalized_value"])
 
 
-QUERIES = {"p2_found": p2_found, "p2_normalized": p2_normalized, "p2_members": p2_members}
-ORACLE: dict[str, str] = {}
+def p2_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows; equal values whose forms differ, values whose form changes when it is brought into form again, and nulls that come or go (all 0)."""
+    once = p2_normalized(spark, sf_dir)
+    again = normalize_columns(once.select("qc_id", F.col("raw_value_form").alias("raw_value"), F.col("normalized_value_form").alias("normalized_value")), "qc_id", ["raw_value", "normalized_value"])
+    counted = once.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if((F.col("raw_value") == F.col("normalized_value")) & ~F.col("reads_same")).alias("n_apart"),
+        F.count_if((F.col("raw_value").isNull() != F.col("raw_value_form").isNull()) | (F.col("normalized_value").isNull() != F.col("normalized_value_form").isNull())).alias("n_null_changes"),
+    )
+    unstable = again.agg(F.count_if((F.col("raw_value") != F.col("raw_value_form")) | (F.col("normalized_value") != F.col("normalized_value_form"))).alias("n_unstable"))
+    return counted.withColumn("__one", F.lit(1)).join(unstable.withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+
+QUERIES = {"p2_found": p2_found, "p2_normalized": p2_normalized, "p2_members": p2_members, "p2_invariants": p2_invariants}
+ORACLE = {"p2_invariants": "SELECT count(*) AS n_rows, 0 AS n_apart, 0 AS n_null_changes, 0 AS n_unstable FROM human_annotation_qc_report"}

@@ -397,5 +397,13 @@ def p9_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p9_found": p9_found, "p9_repaired": p9_repaired, "p9_round_trips": p9_round_trips}
-ORACLE: dict[str, str] = {}
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents; those that come out changed without being named, and plain ones (null or ASCII without character references) that are named (both 0)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = docs.join(repair(docs, "doc_id", "text"), "doc_id")
+    plain = F.col("text").isNull() | (F.octet_length("text") == F.length("text")) & ~F.col("text").rlike("&[#A-Za-z]")
+    return got.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(~F.col("is_garbled") & ~F.col("text").eqNullSafe(F.col("repaired"))).alias("n_changed"), F.count_if(plain & F.col("is_garbled")).alias("n_plain"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_repaired": p9_repaired, "p9_round_trips": p9_round_trips, "p9_invariants": p9_invariants}
+ORACLE = {"p9_invariants": "SELECT count(*) AS n_docs, 0 AS n_changed, 0 AS n_plain FROM documents"}

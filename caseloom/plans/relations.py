@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
@@ -13,7 +13,7 @@ from caseloom.operators.label_metrics import ratio
 from caseloom.operators.ranking import quantiles, running_within, spaced_places, with_place, with_upto
 from caseloom.operators.skew import hot_keys, salted_join
 from caseloom.plans.metrics import SQL_PREDICTIONS as _P
-from caseloom.plans.metrics import ontology, predictions, test_cases
+from caseloom.plans.metrics import ontology, predictions
 from caseloom.plans.texts import SQL_BLANK as _B
 from caseloom.plans.texts import sql_identity as _identity
 from caseloom.sources.tables import cut, small, table

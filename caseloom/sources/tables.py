@@ -83,10 +83,3 @@ def small(df: DataFrame, most: int) -> DataFrame:
     if len(rows) > most:
         raise ValueError(f"a table that is broadcast may have {most} rows at most")
     return df.sparkSession.createDataFrame(rows, df.schema)
-
-
-def local_path(path: str) -> str | None:
-    """The file-system path of a file: URI, or None where it isn't local or mounted."""
-    p = path[5:] if path.startswith("file:") else path
-    p = "/" + p.lstrip("/") if path.startswith("file:") else p
-    return p if p.startswith("/") and os.path.isdir(p) else None

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -337,7 +337,7 @@ def _near_kinds(signed: DataFrame, n_bands: int) -> DataFrame:
     def meet(data: pa.Table) -> pa.Table:
         sides = []
         for side in (True, False):
-            one = data.filter(pa.compute.equal(data["train"], side))
+            one = data.filter(pc.equal(data["train"], side))
             keys = np.frombuffer(b"".join(one["keys"].to_pylist()), dtype=np.uint32).astype(np.uint64) << np.uint64(32)
             sketch = np.frombuffer(b"".join(one["sketches"].to_pylist()), dtype=np.uint64).reshape(-1, HASHES // 32)
             whole, at = np.unique(keys | _kind(sketch).view(np.uint64) >> np.uint64(32), return_index=True)

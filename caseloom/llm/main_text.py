@@ -15,14 +15,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.functions.html_tree import INLINE, PARTS, Node, blocks, clean, decode, hidden, parse
+from caseloom.functions.html_tree import INLINE, PARTS, Node, blocks, decode, hidden, parse
 from caseloom.sources.tables import c, cut, spread, table
 
 #: A text is the site's if so many pages show it outside of main text, and so many times more than inside.
@@ -114,7 +114,44 @@ class Page:
         main = max(holders, key=lambda x: x.sum)
         i = path.index(main) if main in path else len(path) - 1
         floor = min((x.d for x in path[i:] if x.tag != "html"), default=0.0)
-        self._sort(root, main, floor)
+        self.own.append((self.heading, ()))
+        within = self._status(main, set(map(id, path)), floor)
+        for k, (text, node) in enumerate(found):
+            if k == at:
+                continue
+            boxes = within(node) if k > at else None
+            if boxes is None:
+                self.site.append(text)
+                continue
+            self.own.append((text, boxes))
+            if boxes:
+                self.boxes[boxes[-1]].append(text)
+
+    def _status(self, main: Node, path: set[int], floor: float) -> Callable[[Node], tuple[int, ...] | None]:
+        """For an element after the heading, the containers within the main subtree that it is in; None outside of main, in a part of
+        the site, or in a container under floor."""
+        known: dict[int, tuple[int, ...] | None] = {id(main): ()}
+
+        def of(node: Node) -> tuple[int, ...] | None:
+            up = []
+            while node is not None and id(node) not in known:
+                up.append(node)
+                node = node.up
+            at = known[id(node)] if node is not None else None
+            for x in reversed(up):
+                if at is not None and x.tag not in INLINE:
+                    if _of_site(x):
+                        at = None
+                    elif _is_box(x):
+                        if at == () and id(x) not in path and x.d < floor and x.tag not in PARTS:
+                            at = None
+                        else:
+                            self.boxes.append([])
+                            at = (*at, len(self.boxes) - 1)
+                known[id(x)] = at
+            return at
+
+        return of
 
     def _find_heading(self, found: list[tuple[str, Node]]) -> int | None:
         """The block that the page's title names: a proper beginning of it, before a separator and the site's name."""
@@ -128,64 +165,6 @@ class Page:
                     best = i
         return best
 
-    def _sort(self, root: Node, main: Node, floor: float) -> None:
-        """Fills own, boxes and site; a container under floor, hidden or the site's own goes to site as a whole."""
-        run: list[str] = []
-        run_own: tuple[int, ...] | None = None
-        begun = False
-
-        def flush() -> None:
-            nonlocal begun
-            if run and (text := clean(run)):
-                if run_own is not None and not begun and text == self.heading:
-                    begun = True
-                    self.own.append((text, ()))
-                elif run_own is not None and begun:
-                    self.own.append((text, run_own))
-                    if run_own:
-                        self.boxes[run_own[-1]].append(text)
-                else:
-                    self.site.append(text)
-            run.clear()
-
-        # The boxes that an element is in; None outside of the main subtree.
-        stack: list[tuple[object, tuple[int, ...] | None]] = [(root, None)]
-        while stack:
-            x, own = stack.pop()
-            if isinstance(x, str):
-                if not run:
-                    run_own = own
-                run.append(x)
-                continue
-            if x is None:
-                flush()
-                continue
-            if x.tag == "br":
-                run.append(" ")
-                continue
-            if hidden(x):
-                if x.tag not in INLINE:
-                    flush()
-                continue
-            inline = x.tag in INLINE
-            if not inline:
-                flush()
-                stack.append((None, own))
-            if x is main:
-                stack += [(k, ()) for k in reversed(x.kids)]
-                continue
-            if own is not None and not inline:
-                if _of_site(x):
-                    own = None
-                elif _is_box(x):
-                    if own == () and begun and x.d < floor and x.tag not in PARTS:
-                        own = None
-                    else:
-                        self.boxes.append([])
-                        own = (*own, len(self.boxes) - 1)
-            stack += [(k, own) for k in reversed(x.kids)]
-        flush()
-
 
 def _md5(text: str) -> bytes:
     return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()

@@ -163,9 +163,9 @@ _RUNS = re.compile(r"[^\x00-\x7f]{2,}")
 def _utf8_lines(lines: list[str]) -> list[tuple[str, list[int]]]:
     """(read as, places of the lines that hold a sequence of UTF-8 read so), for each encoding that has such lines."""
     runs = [" ".join(_RUNS.findall(x)) for x in lines]  # a misread sequence holds no ASCII
-    every = "\n".join(runs)
+    every = "\n".join(x for x in runs if x)
     out = []
-    for name in UTF8_READ_AS:
+    for name in UTF8_READ_AS if every else ():
         pattern = _utf8_pattern(name)
         if pattern.search(every):
             out.append((name, [i for i, x in enumerate(runs) if x and pattern.search(x)]))
@@ -327,7 +327,7 @@ class Repairer:
         read = list(map(_unescaped, parts)) if "&" in text else parts
         lines = list(read)
         steps = self._rounds(lines)
-        if self._rare("\n".join(lines)):
+        if self._rare("\n".join(x for x in lines if not x.isascii())):
             split = {i: y for i, x in enumerate(lines) if self._rare(x) and len(y := _SENTENCES.split(x)) > 1}
             pieces = [y for x in split.values() for y in x]
             if more := self._rounds(pieces):

@@ -14,7 +14,7 @@ from caseloom.operators import linear as L
 from caseloom.operators.ranking import running_within, with_place
 from caseloom.operators.resample import STEPS, intervals, many_replicates
 from caseloom.plans.metrics import SQL_PREDICTIONS as _P
-from caseloom.plans.metrics import families, frozen_labels, predictions, test_cases
+from caseloom.plans.metrics import FAMILIES, families, frozen_labels, predictions, test_cases
 from caseloom.sources.tables import cut, small, spread, table
 
 MIN_DF, MAX_TERMS, REPLICATES, SEED = 5, 50_000, 1000, 20260811
@@ -239,7 +239,10 @@ def _full_samples(spark: SparkSession, sf_dir: str, n: int = REPLICATES) -> Data
     labels = [x for f in families(spark, sf_dir).values() for x in f]
     has = lambda side, x: F.array_contains(side, x).cast("int")
     cases = cases.withColumns({f"tp{i}": has("ref", x) * has("pred", x) for i, x in enumerate(labels)} | {f"named{i}": has("ref", x) + has("pred", x) for i, x in enumerate(labels)})
-    r = many_replicates(cases, ["evaluation", "method"], "case_id", [*STATS, *[f"{x}{i}" for i in range(len(labels)) for x in ("tp", "named")]], n, SEED)
+    for f, ids in families(spark, sf_dir).items():
+        mine = F.array_intersect("pred", F.array(*map(F.lit, ids)))
+        cases = cases.withColumn(f"ok_{f}", ((F.size(mine) > 0) & (F.size(F.array_except(mine, "ref")) == 0)).cast("int"))
+    r = many_replicates(cases, ["evaluation", "method"], "case_id", [*STATS, *[f"ok_{f}" for f in FAMILIES], *[f"{x}{i}" for i in range(len(labels)) for x in ("tp", "named")]], n, SEED)
     # At most a row per evaluation, with labels of the ontology only.
     frozen = frozen_labels(tests).where(F.col("label_id").isin(labels)).groupBy("evaluation").agg(F.collect_set("label_id").alias("frozen"))
     r = r.where("n > 0").join(F.broadcast(frozen), "evaluation", "left")
@@ -247,10 +250,11 @@ def _full_samples(spark: SparkSession, sf_dir: str, n: int = REPLICATES) -> Data
     return r.select(
         "evaluation", "method", "replicate", M.ratio(sum(f1, F.lit(0.0)), F.size("frozen")).alias("macro_f1"),
         M.f1_of(F.col("tp"), F.col("fp"), F.col("fn")).alias("micro_f1"), M.ratio(F.col("is_exact"), F.col("n")).alias("exact_set_accuracy"), M.ratio(F.col("jaccard"), F.col("n")).alias("example_jaccard"),
+        *[M.ratio(F.col(f"ok_{f}"), F.col("n")).alias(f"{f.lower()}_cpmr") for f in FAMILIES],
     )
 
 
-FULL_METRICS = ["macro_f1", *METRICS]
+FULL_METRICS = ["macro_f1", *METRICS, *[f"{f.lower()}_cpmr" for f in FAMILIES]]
 
 
 def m09_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,17 +306,19 @@ _VOTES = f"""WITH {_P}, f0 AS (SELECT evaluation, case_id, role, record_id, ref,
 _U = f"CAST('0x' || left(md5('{SEED}|' || r || '|' || case_id), 8) AS BIGINT) / 4294967296.0"
 _W = " + ".join(f"(u >= {s!r})::INT" for s in STEPS)
 _NAMED = "list_contains(ref, label_id)::INT + list_contains(pred, label_id)::INT"
-_BOOT = f"""WITH {_P}, k AS (SELECT record_id, evaluation, method, case_id, ref, pred, tp, np - tp AS fp, nr - tp AS fn, (np = tp AND nr = tp)::INT AS e, CASE WHEN np + nr - tp = 0 THEN 1.0 ELSE tp / (np + nr - tp) END AS j FROM t WHERE variant = 'PRIMARY'),
+_MINE = "list_intersect(pred, (SELECT list(label_id) FROM amp_ontology WHERE family = '{}'))"
+_OKS = ", ".join(f"(len({_MINE.format(f)}) > 0 AND len(list_intersect({_MINE.format(f)}, ref)) = len({_MINE.format(f)}))::INT AS ok_{f}" for f in FAMILIES)
+_BOOT = f"""WITH {_P}, k AS (SELECT record_id, evaluation, method, case_id, ref, pred, tp, np - tp AS fp, nr - tp AS fn, (np = tp AND nr = tp)::INT AS e, CASE WHEN np + nr - tp = 0 THEN 1.0 ELSE tp / (np + nr - tp) END AS j, {_OKS} FROM t WHERE variant = 'PRIMARY'),
   c AS (SELECT DISTINCT case_id FROM k), u AS (SELECT case_id, r, {_U} AS u FROM c CROSS JOIN range({REPLICATES}) q(r)), w AS (SELECT case_id, r, {_W} AS w FROM u),
   d AS (SELECT k.*, r, w FROM k JOIN w ON k.case_id = w.case_id WHERE w > 0),
-  a AS (SELECT evaluation, method, r, sum(w) AS n, sum(w * tp) AS tp, sum(w * fp) AS fp, sum(w * fn) AS fn, sum(w * e) AS e, sum(w * j) AS j FROM d GROUP BY ALL),
+  a AS (SELECT evaluation, method, r, sum(w) AS n, sum(w * tp) AS tp, sum(w * fp) AS fp, sum(w * fn) AS fn, sum(w * e) AS e, sum(w * j) AS j, {", ".join(f"sum(w * ok_{f}) AS ok_{f}" for f in FAMILIES)} FROM d GROUP BY ALL),
   fr AS (SELECT DISTINCT evaluation, label_id FROM (SELECT evaluation, unnest(ref) AS label_id FROM t) SEMI JOIN amp_ontology USING (label_id)), nf AS (SELECT evaluation, count(*) AS nf FROM fr GROUP BY ALL),
   lc AS (SELECT evaluation, method, case_id, label_id, sum((list_contains(ref, label_id) AND list_contains(pred, label_id))::INT) AS tp, sum({_NAMED}) AS named FROM k JOIN fr USING (evaluation) WHERE {_NAMED} > 0 GROUP BY ALL),
   lr AS (SELECT evaluation, method, r, label_id, sum(w * tp) AS tp, sum(w * named) AS named FROM lc JOIN w ON lc.case_id = w.case_id WHERE w > 0 GROUP BY ALL),
   mf AS (SELECT evaluation, method, r, sum(2.0 * tp / named) AS f FROM lr GROUP BY ALL),
-  m AS (SELECT a.evaluation, a.method, a.r, coalesce(f, 0.0) / nf AS macro_f1, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS micro_f1, e / n AS exact_set_accuracy, j / n AS example_jaccard
+  m AS (SELECT a.evaluation, a.method, a.r, coalesce(f, 0.0) / nf AS macro_f1, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS micro_f1, e / n AS exact_set_accuracy, j / n AS example_jaccard, {", ".join(f"ok_{f} / n AS {f.lower()}_cpmr" for f in FAMILIES)}
     FROM a JOIN nf USING (evaluation) LEFT JOIN mf ON a.evaluation = mf.evaluation AND a.method = mf.method AND a.r = mf.r),
-  v AS (SELECT * FROM m UNPIVOT (value FOR metric IN (macro_f1, micro_f1, exact_set_accuracy, example_jaccard)))"""
+  v AS (SELECT * FROM m UNPIVOT (value FOR metric IN ({", ".join(FULL_METRICS)})))"""
 ORACLE = {
     "m01_vocabulary": f"WITH {_TERMS} SELECT term, df, idf FROM v",
     "m01_weights": f"""WITH {_TERMS}, g AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS raw FROM tf JOIN v USING (term)),

@@ -38,7 +38,7 @@ def test_full_bootstrap(spark, tiny):
         a, b = 2 * w.T @ tp, w.T @ named
         macro[key] = np.divide(a, b, out=np.zeros_like(a), where=b > 0).mean(axis=1)[w.sum(axis=0) > 0], w.sum(axis=0) > 0
     got = models.m09_bootstrap(spark, tiny).collect()
-    assert {r.metric for r in got} == {"macro_f1", "micro_f1", "exact_set_accuracy", "example_jaccard"}
+    assert {r.metric for r in got} == {"macro_f1", "micro_f1", "exact_set_accuracy", "example_jaccard", "act_cpmr", "means_cpmr", "purpose_cpmr"}
     ours = {(r.evaluation, r.method): r for r in got if r.metric == "macro_f1"}
     assert set(ours) == set(macro)
     for key, (x, _) in macro.items():

@@ -11,7 +11,7 @@ from caseloom.operators.ranking import quantiles, running_within, spaced_places,
 from caseloom.operators.resample import draws, intervals, replicates
 from caseloom.operators.search import balanced_partition, beam_sets, exhaustive_partition
 from caseloom.operators.skew import block_join, hot_keys, salted_join
-from caseloom.plans.partitions import stratified_roles
+from caseloom.plans.partitions import exact_split, stratified_roles
 
 
 def test_with_place(spark):
@@ -171,3 +171,12 @@ def test_running_within(spark):
     df = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 1, 5), (None, 1, 9), ("a", 3, 1)], "k string, o int, w int")
     got = {(r.k, r.o): (r.s, r.s_total) for r in running_within(df, "k", [F.desc("o")], "w", "s").collect()}
     assert got == {("a", 3): (1, 6), ("a", 2): (4, 6), ("a", 1): (6, 6), ("b", 1): (5, 5)}
+
+
+def test_exact_split_leaves_no_label_short(spark):
+    rows = [(i, ["often", "seldom"] if i % 50 == 0 else ["often"]) for i in range(400)] + [(900, None)]
+    df = spark.createDataFrame(rows, "id long, labels array<string>")
+    got = {r.id: r.role for r in exact_split(df, "id", "labels", 0.4).collect()}
+    assert len(got) == 401 and sum(r == "TEST" for r in got.values()) == int(401 * 0.4)
+    assert {got[i] for i in range(0, 400, 50)} == {"TEST", "TRAIN"}
+    assert exact_split(df.limit(0), "id", "labels", 0.4).count() == 0

@@ -32,7 +32,10 @@ def test_words(spark, x, n):
     ("x", "y"),
     [
         ("One. Two! Three?", ["One.", "Two!", "Three?"]), ("State v. Smith went on. He won.", ["State v. Smith went on.", "He won."]), ("It cost 3.5 francs. Then more.", ["It cost 3.5 francs.", "Then more."]),
-        ("A first line\n\nsecond part", ["A first line", "second part"]), ("Items:\n- one\n- two", ["Items:", "- one", "- two"]), ("He said “No.” Then left.", ["He said “No.”", "Then left."]), ("", []), ("  ", []),
+        ("A first line\n\nsecond part", ["A first line", "second part"]), ("Items:\n- one\n- two", ["Items:", "- one", "- two"]), ("He said “Yes.” Then left.", ["He said “Yes.”", "Then left."]),
+        # "no." abbreviates "number", in quotes and capitals too.
+        ("He said “No.” Then left.", ["He said “No.” Then left."]), ("Prof. Smith of the U.S. Court spoke. mr. J. Jones, Jr. Left? Yes.", ["Prof. Smith of the U.S. Court spoke. mr. J. Jones, Jr. Left?", "Yes."]),
+        ("Intro\n\t(a) One\n12. Two\nand 2 b", ["Intro", "(a) One", "12.", "Two and 2 b"]), ("See sec. 3. Then v. \"B.\" Or!) Now", ["See sec. 3.", "Then v. \"B.\" Or!)", "Now"]), ("", []), ("  ", []),
     ],
 )
 def test_sentences(spark, x, y):

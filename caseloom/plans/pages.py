@@ -97,7 +97,7 @@ def extract(page_id: int, body: bytes | None, parts: set[str] | None = None) ->
         nodes = list(walk(root))
         tag = next((x.attrs().get("lang") for x in nodes if x.tag == "html"), None)
         out["locale"] = (script[1] if script else tag) or None
-        found = blocks(root)
+        found = blocks(root) if want - {"title", "locale", "metas", "panes", "badges"} else []
         heads = [(i, int(b.tag[1])) for i, (_, n) in enumerate(found) if _HEADING.fullmatch((b := _block(n)).tag)]
         ends = [*(i for i, _ in heads[1:]), len(found)][: len(heads)]
         if "metas" in want:
@@ -118,7 +118,7 @@ def extract(page_id: int, body: bytes | None, parts: set[str] | None = None) ->
             out["charges"], out["persons"] = _charges(found, heads, ends)
         if "text" in want:
             out["text"] = "\n".join(t for t, _ in found) or None
-        if not heads:
+        if not heads and want & {"status", "warnings"}:
             out["warnings"].append("NO_HEADING")
         if sum(x["language"] == "en" for x in out["panes"]) > 1:
             out["warnings"].append("SEVERAL_ENGLISH_PANES")

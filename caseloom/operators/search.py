@@ -1,11 +1,13 @@
-"""Searches over small tables, on the driver; every one states the bound of its input."""
+"""Searches over small tables, on the driver, of which every one states the bound of its input; beam_sets_over() takes any table."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def exhaustive_partition(sizes: dict[str, Sequence[int]], parts: int = 3) -> dict[str, int]:
@@ -70,46 +72,139 @@ def exhaustive_partition(sizes: dict[str, Sequence[int]], parts: int = 3) -> dic
     return {names[i]: p for p, group in enumerate(best[1]) for i in group}
 
 
-def beam_sets(labels: np.ndarray, weights: np.ndarray, quality: np.ndarray, ids: Sequence[int], k: int, width: int, diverse: int) -> list[tuple[float, list[int]]]:
-    """Sets of k candidates by weight of the labels covered and quality, the best first, found by a beam of partial sets.
+class Extensions:
+    """The best distinct sets of a partial set and one candidate more, as many as width, over candidates that come in batches of any size and order.
 
-    labels: candidates x labels, of 0 and 1. A label counts once a set. Results after the first share k - 2 members at most with
-    each one before. Ties go to the smaller ids. The number of candidates has a bound, as a step scores width x candidates.
+    Values are whole numbers of UNIT, so that sums are exact and equal sets have equal values; ties go to the smaller ids, compared
+    as sorted tuples. What is found therefore does not depend on the batches. members: partial sets x ids, sorted; seen: their labels.
     """
-    order = np.argsort(ids)
-    labels, quality, ids = labels[order].astype(np.float32), quality[order], np.asarray(ids)[order]
-    n = len(ids)
-    if n > 20_000:
-        raise ValueError("a beam search takes 20,000 candidates at most")
+
+    UNIT, CHUNK = 1e-9, 250_000
+
+    def __init__(self, members: np.ndarray, seen: np.ndarray, score: np.ndarray, weights: np.ndarray, width: int):
+        self.members, self.seen, self.score, self.width = members, seen, score, width
+        self.weights = np.round(weights / self.UNIT)
+        self.sets, self.value = np.zeros((0, members.shape[1] + 1), dtype=np.int64), np.zeros(0)
+        self.parent = self.new = np.zeros(0, dtype=np.int64)
+        self.bits = np.packbits(seen[:0], axis=1)
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.n_waiting, self.least, self.last = 0, -np.inf, np.full(len(members), -1)
+
+    def add(self, ids: np.ndarray, labels: np.ndarray, quality: np.ndarray) -> None:
+        """Extend every partial set by every candidate. labels: candidates x labels, of 0 and 1."""
+        if not len(ids):
+            return
+        quality, bits = np.round(quality / self.UNIT), np.packbits(labels.astype(bool), axis=1)
+        left = np.column_stack([~self.seen * self.weights, self.score, np.ones(len(self.score))])
+        right = np.column_stack([labels, np.ones(len(ids)), quality]).astype(float).T
+        most = (labels @ self.weights + quality).max()
+        step = max(1, self.CHUNK // len(ids))
+        for i in range(0, len(self.members), step):
+            if self.score[i] + most < self.least:  # scores fall, and no gain exceeds that of an empty set
+                break
+            value = left[i : i + step] @ right
+            fits = value > self.least
+            fits |= (value == self.least) & (ids <= self.last[i : i + step, None])
+            parent, new = np.nonzero(fits)
+            if len(parent):
+                self.offer(value[parent, new], parent + i, ids[new], bits[new])
+
+    def offer(self, value: np.ndarray, parent: np.ndarray, new: np.ndarray, bits: np.ndarray) -> None:
+        """Take in partial sets by their place, each with a candidate more: its id and its labels in bits."""
+        sets = np.sort(np.column_stack([self.members[parent], new]), axis=1)
+        ok = (sets[:, 1:] != sets[:, :-1]).all(axis=1)
+        self.waiting.append((sets[ok], value[ok], parent[ok], new[ok], bits[ok]))
+        self.n_waiting += int(ok.sum())
+        if self.n_waiting > max(self.CHUNK // 2, self.width):
+            self.settle()
+
+    def settle(self) -> Extensions:
+        """Keep the best; with width of them, what others have to reach: a value, and for each partial set the last id that ties may add."""
+        if self.waiting:
+            had = self.sets, self.value, self.parent, self.new, self.bits
+            sets, value, parent, new, bits = (np.concatenate(x) for x in zip(had, *self.waiting, strict=True))
+            self.waiting, self.n_waiting = [], 0
+            rank = np.lexsort((*sets.T[::-1], -value))
+            sets = sets[rank]
+            first = np.ones(len(sets), dtype=bool)
+            first[1:] = (sets[1:] != sets[:-1]).any(axis=1)
+            keep = np.flatnonzero(first)[: self.width]
+            self.sets, (self.value, self.parent, self.new, self.bits) = sets[keep], (x[rank[keep]] for x in (value, parent, new, bits))
+            if len(keep) == self.width:
+                self.least = self.value[-1]
+                end = np.iinfo(np.int64).max
+                padded = np.column_stack([self.members, np.full(len(self.members), end)])
+                at = (padded != self.sets[-1]).argmax(axis=1)
+                self.last = np.where(padded[np.arange(len(at)), at] < self.sets[-1][at], end, self.sets[-1][at])
+        return self
+
+    def seen_by(self) -> np.ndarray:
+        """Labels of the sets found."""
+        return self.seen[self.parent] | np.unpackbits(self.bits, axis=1, count=self.seen.shape[1]).astype(bool)
+
+
+def _beam(fill: Callable[[Extensions], Extensions], n: int, weights: np.ndarray, k: int, width: int, diverse: int) -> list[tuple[float, list[int]]]:
+    """beam_sets() over n candidates; fill has them all extend the partial sets."""
     k = min(k, n)
-    members, seen, score = np.zeros((1, 0), dtype=np.int64), np.zeros((1, labels.shape[1]), dtype=np.float32), np.zeros(1)
+    if not k:
+        return []
+    members, seen, score = np.zeros((1, 0), dtype=np.int64), np.zeros((1, len(weights)), dtype=bool), np.zeros(1)
     for _ in range(k):
-        top: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        step = max(1, 4_000_000 // max(n, 1))
-        for i in range(0, len(members), step):
-            part = slice(i, i + step)
-            gain = ((1 - seen[part]) * weights.astype(np.float32)) @ labels.T
-            each = np.round(score[part, None] + quality[None, :] + gain, 9)
-            np.put_along_axis(each, members[part], -np.inf, axis=1)
-            flat = each.ravel()
-            best = np.argpartition(-flat, min(width * 2, len(flat) - 1))[: width * 2] if len(flat) > width * 2 else np.arange(len(flat))
-            best = best[np.isfinite(flat[best])]
-            top.append((flat[best], best // n + i, best % n))
-        value, parent, new = (np.concatenate(x) for x in zip(*top, strict=True))
-        sets = np.sort(np.column_stack([members[parent], new]), axis=1)
-        rank = np.lexsort((*sets.T[::-1], -value))
-        sets, value, parent, new = sets[rank], value[rank], parent[rank], new[rank]
-        _, first = np.unique(sets, axis=0, return_index=True)
-        keep = np.sort(first)[:width]
-        members, score = sets[keep], value[keep]
-        seen = np.maximum(seen[parent[keep]], labels[new[keep]])
+        found = fill(Extensions(members, seen, score, weights, width))
+        members, seen, score = found.sets, found.seen_by(), found.value
     out: list[tuple[float, list[int]]] = []
     for value, row in zip(score, members, strict=True):
         if all(len(set(row) & set(x)) <= k - 2 for _, x in out):
-            out.append((float(value), row.tolist()))
+            out.append((float(value) * Extensions.UNIT, row.tolist()))
             if len(out) == diverse:
                 break
-    return [(v, ids[x].tolist()) for v, x in out]
+    return out
+
+
+def beam_sets(labels: np.ndarray, weights: np.ndarray, quality: np.ndarray, ids: Sequence[int], k: int, width: int, diverse: int) -> list[tuple[float, list[int]]]:
+    """Sets of k candidates by weight of the labels covered and quality, the best first, found by a beam of partial sets.
+
+    labels: candidates x labels, of 0 and 1. A label counts once a set. Every step keeps exactly the width best distinct sets. Results after
+    the first share k - 2 members at most with each one before. Ties go to the smaller ids. The number of candidates has a bound, as a step
+    scores width x candidates; beam_sets_over() has none.
+    """
+    if len(ids) > 20_000:
+        raise ValueError("a beam search on the driver takes 20,000 candidates at most")
+    each = np.asarray(ids, dtype=np.int64)
+
+    def fill(step: Extensions) -> Extensions:
+        step.add(each, labels, quality)
+        return step.settle()
+
+    return _beam(fill, len(ids), weights, k, width, diverse)
+
+
+def beam_sets_over(pool: DataFrame, n: int, weights: np.ndarray, k: int, width: int, diverse: int) -> list[tuple[float, list[int]]]:
+    """beam_sets() over a table of n candidates, of any number: id, labels (array<int>: places in weights, each once) and quality.
+
+    Tasks, 64 at most, extend the partial sets by their own candidates, a batch at a time; of each, its width best sets come to the
+    driver. As any of the best sets is among the best of its task, the results are those of one task. pool is read for every step.
+    """
+    pool = pool.select("id", "labels", "quality").coalesce(64)
+
+    def fill(step: Extensions) -> Extensions:
+        def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                places = b.column("labels")
+                labels = np.zeros((b.num_rows, len(weights)))
+                labels[np.repeat(np.arange(b.num_rows), places.value_lengths()), places.flatten()] = 1
+                step.add(b.column("id").to_numpy(), labels, b.column("quality").to_numpy())
+            best = step.settle()
+            if len(best.sets):
+                yield pa.RecordBatch.from_pydict({"value": best.value, "parent": best.parent, "new": best.new, "bits": [x.tobytes() for x in best.bits]})
+
+        found = pool.mapInArrow(extend, "value double, parent long, new long, bits binary").toArrow()
+        for b in found.to_batches():
+            bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
+            step.offer(b.column("value").to_numpy(), b.column("parent").to_numpy(), b.column("new").to_numpy(), bits)
+        return step.settle()
+
+    return _beam(fill, n, weights, k, width, diverse)
 
 
 def balanced_partition(sizes: dict[str, Sequence[int]], parts: int = 3, fixed: dict[str, int] | None = None) -> dict[str, int]:

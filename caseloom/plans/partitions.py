@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
 from caseloom.operators.ranking import running_within, with_place
-from caseloom.operators.search import balanced_partition, beam_sets, exhaustive_partition
+from caseloom.operators.search import balanced_partition, beam_sets, beam_sets_over, exhaustive_partition
 from caseloom.plans.metrics import SQL_PREDICTIONS as _P
 from caseloom.plans.metrics import predictions
 from caseloom.sources.tables import cut, small, table
@@ -192,6 +192,8 @@ def beam_pool(pool: DataFrame, k: int) -> DataFrame:
 
 
 WIDTH, SET_SIZE, RESULTS, FORM_WEIGHT = 15_000, 6, 5, 0.25
+#: From so many candidates on, the tasks of a cluster search.
+ON_DRIVER = 5000
 
 
 def w09_beam_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,14 +204,20 @@ def w09_beam_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = demo_pool(spark, sf_dir).withColumn("labels", F.concat("labels", F.transform("forms", lambda x: F.concat(F.lit("FORM:"), x))))
     n = {r["x"]: r["n"] for r in small(pool.select(F.explode("labels").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")), 1000).collect()}
     names = sorted(n)
-    pool = pool.select(F.col("review_id").alias("id"), "labels", F.round(-(F.col("words") + F.col("penalty")) / 1000, 6).alias("quality"))
-    rows = small(beam_pool(pool, SET_SIZE), 20_000).collect()
-    at = {x: i for i, x in enumerate(names)}
-    bits = np.zeros((len(rows), len(names)))
-    for i, r in enumerate(rows):
-        bits[i, [at[x] for x in r["labels"]]] = 1
     weights = np.array([FORM_WEIGHT if x.startswith("FORM:") else n[x] ** -0.5 for x in names])
-    got = beam_sets(bits, weights, np.array([r["quality"] for r in rows]), [r["id"] for r in rows], SET_SIZE, WIDTH, RESULTS) if rows else []
+    pool = pool.select(F.col("review_id").alias("id"), "labels", F.round(-(F.col("words") + F.col("penalty")) / 1000, 6).alias("quality"))
+    at = F.create_map(*[F.lit(v) for i, x in enumerate(names) for v in (x, i)]) if names else F.create_map().cast("map<string,int>")
+    places = F.array_distinct(F.transform("labels", lambda x: F.element_at(at, x))).alias("labels")
+    pool = cut(beam_pool(pool, SET_SIZE).select("id", places, "quality").repartition(min(spark.sparkContext.defaultParallelism, 64)), "beam-pool")
+    size = pool.count()
+    if size > ON_DRIVER:
+        got = beam_sets_over(pool, size, weights, SET_SIZE, WIDTH, RESULTS)
+    else:
+        rows = pool.collect()
+        bits = np.zeros((len(rows), len(names)))
+        for i, r in enumerate(rows):
+            bits[i, r["labels"]] = 1
+        got = beam_sets(bits, weights, np.array([r["quality"] for r in rows]), [r["id"] for r in rows], SET_SIZE, WIDTH, RESULTS)
     return spark.createDataFrame([(i, j, round(score, 6)) for i, (score, ids) in enumerate(got, 1) for j in ids], "result int, review_id long, set_score double")
 
 

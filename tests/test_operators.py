@@ -9,8 +9,9 @@ from caseloom.operators import integrity as I
 from caseloom.operators.aliases import with_jurisdiction
 from caseloom.operators.ranking import quantiles, running_within, spaced_places, with_place
 from caseloom.operators.resample import draws, intervals, replicates
-from caseloom.operators.search import balanced_partition, beam_sets, exhaustive_partition
+from caseloom.operators.search import balanced_partition, beam_sets, beam_sets_over, exhaustive_partition
 from caseloom.operators.skew import block_join, hot_keys, salted_join
+from caseloom.plans import partitions
 from caseloom.plans.partitions import exact_split, stratified_roles
 
 
@@ -93,6 +94,67 @@ def test_beam_sets():
     assert len(beam_sets(rare, np.ones(2), np.zeros(3), [1, 2, 3], 5, 20, 1)[0][1]) == 3
 
 
+def test_beam_step_is_exact():
+    """Every step keeps the best distinct sets, ties by ids, however many partial sets and candidates a chunk has."""
+    import numpy as np
+
+    from caseloom.operators.search import Extensions
+
+    rng = np.random.default_rng(5)
+    ids = [int(x) for x in rng.permutation(60)[:30]]
+    labels, weights, quality = (rng.random((30, 5)) < 0.3).astype(float), np.array([0.25, 0.25, 0.1, 0.1, 0.05]), -rng.choice([0.1, 0.1, 0.101], 30)
+    units = lambda x: [round(v / Extensions.UNIT) for v in x]
+    cover, w, q = {i: frozenset(np.flatnonzero(x).tolist()) for i, x in zip(ids, labels, strict=True)}, units(weights), dict(zip(ids, units(quality), strict=True))
+    value = lambda s: sum(w[x] for x in frozenset().union(*(cover[i] for i in s))) + sum(q[i] for i in s)
+    beam = [()]
+    for _ in range(4):
+        beam = sorted({tuple(sorted((*s, i))) for s in beam for i in ids if i not in s}, key=lambda s: (-value(s), s))[:40]
+    assert beam_sets(labels, weights, quality, ids, 4, 40, 1)[0][1] == list(beam[0])
+    step = Extensions(np.zeros((1, 0), dtype=np.int64), np.zeros((1, 5), dtype=bool), np.zeros(1), weights, 40)
+    for k in range(4):
+        for part in np.array_split(np.arange(30), 1 + 3 * k):
+            step.add(np.array(ids)[part], labels[part], quality[part])
+        done = step.settle()
+        step = Extensions(done.sets, done.seen_by(), done.value, weights, 40)
+    assert [tuple(x) for x in done.sets.tolist()] == beam and done.value.tolist() == [value(s) for s in beam]
+
+
+def test_beam_sets_over(spark):
+    """The tasks' search finds what the driver's does, ties included."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    labels, weights, quality = (rng.random((400, 11)) < 0.2).astype(float), rng.choice([0.25, 0.1, 1 / 3], 11), -rng.choice([0.1, 0.1, 0.123], 400)
+    ids = [int(x) for x in rng.permutation(1000)[:400]]
+    rows = [(i, np.flatnonzero(x).tolist(), float(q)) for i, x, q in zip(ids, labels, quality, strict=True)]
+    pool = spark.createDataFrame(rows, "id long, labels array<int>, quality double").repartition(5)
+    assert beam_sets_over(pool, 400, weights, 4, 90, 3) == beam_sets(labels, weights, quality, ids, 4, 90, 3)
+    assert beam_sets_over(pool.limit(0), 0, weights, 4, 90, 3) == []
+    one = spark.createDataFrame([(7, [], -0.5)], pool.schema)
+    assert beam_sets_over(one, 1, weights, 4, 90, 3) == [(pytest.approx(-0.5), [7])]
+
+
+@pytest.fixture(scope="module")
+def many_reviews(spark, tmp_path_factory):
+    """21,000 reviews of fifty words, each with a label set of its own, in a table like demo_bank_review."""
+    path = tmp_path_factory.mktemp("reviews")
+    acts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.when(F.col("id").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) > 0, F.format_string("L%02d", i))), lambda x: x.isNotNull())
+    none = F.lit(None).cast("string")
+    spark.range(1, 21_001).select(
+        F.col("id").alias("review_id"), none.alias("jurisdiction"), F.repeat(F.lit("word "), 50).alias("english_fact_summary"), none.alias("fact_summary_parser_warnings"), F.to_json(acts).alias("act_ontology_ids_json"),
+        none.alias("means_ontology_ids_json"), none.alias("purpose_ontology_ids_json"), none.alias("geographic_form_reference_json"),
+    ).write.parquet(f"{path}/demo_bank_review.parquet")
+    return str(path)
+
+
+def test_beam_set_of_many_candidates(spark, many_reviews, monkeypatch):
+    """No number of candidates is too large; the best set covers every label."""
+    monkeypatch.setattr(partitions, "WIDTH", 300)
+    rows = partitions.w09_beam_set(spark, many_reviews).where("result = 1").collect()
+    n = [sum(i >> k & 1 for i in range(1, 21_001)) for k in range(15)]
+    assert len({r.review_id for r in rows}) == 6 and [r.set_score for r in rows] == pytest.approx([sum(x**-0.5 for x in n) - 0.6] * 6, abs=2e-6)
+
+
 @pytest.mark.parametrize("n", [6, 9])
 def test_exhaustive_partition(n):
     import itertools

@@ -77,12 +77,16 @@ class Extensions:
 
     Values are whole numbers of UNIT, so that sums are exact and equal sets have equal values; ties go to the smaller ids, compared
     as sorted tuples. What is found therefore does not depend on the batches. members: partial sets x ids, sorted; seen: their labels.
+    apart: sets of the size of those found, which share all but two members at most with each of them.
     """
 
     UNIT, CHUNK = 1e-9, 250_000
 
-    def __init__(self, members: np.ndarray, seen: np.ndarray, score: np.ndarray, weights: np.ndarray, width: int):
-        self.members, self.seen, self.score, self.width = members, seen, score, width
+    def __init__(self, members: np.ndarray, seen: np.ndarray, score: np.ndarray, weights: np.ndarray, width: int, apart: Sequence[Sequence[int]] = ()):
+        self.width, self.apart, self.most = width, apart, members.shape[1] - 1
+        free = self.is_apart(members)
+        members, seen, score = members[free], seen[free], score[free]
+        self.members, self.seen, self.score = members, seen, score
         self.weights = np.round(weights / self.UNIT)
         self.sets, self.value = np.zeros((0, members.shape[1] + 1), dtype=np.int64), np.zeros(0)
         self.parent = self.new = np.zeros(0, dtype=np.int64)
@@ -90,6 +94,13 @@ class Extensions:
         self.waiting: list[tuple[np.ndarray, ...]] = []
         self.n_waiting, self.least, self.last = 0, -np.inf, np.full(len(members), -1)
 
+    def is_apart(self, sets: np.ndarray) -> np.ndarray:
+        """Which sets, or partial ones, share no more with each of apart than they may."""
+        ok = np.ones(len(sets), dtype=bool)
+        for x in self.apart:
+            ok &= np.isin(sets, x).sum(axis=1) <= self.most
+        return ok
+
     def add(self, ids: np.ndarray, labels: np.ndarray, quality: np.ndarray) -> None:
         """Extend every partial set by every candidate. labels: candidates x labels, of 0 and 1."""
         if not len(ids):
@@ -112,7 +123,7 @@ class Extensions:
     def offer(self, value: np.ndarray, parent: np.ndarray, new: np.ndarray, bits: np.ndarray) -> None:
         """Take in partial sets by their place, each with a candidate more: its id and its labels in bits."""
         sets = np.sort(np.column_stack([self.members[parent], new]), axis=1)
-        ok = (sets[:, 1:] != sets[:, :-1]).all(axis=1)
+        ok = (sets[:, 1:] != sets[:, :-1]).all(axis=1) & self.is_apart(sets)
         self.waiting.append((sets[ok], value[ok], parent[ok], new[ok], bits[ok]))
         self.n_waiting += int(ok.sum())
         if self.n_waiting > max(self.CHUNK // 2, self.width):
@@ -144,20 +155,28 @@ class Extensions:
 
 
 def _beam(fill: Callable[[Extensions], Extensions], n: int, weights: np.ndarray, k: int, width: int, diverse: int) -> list[tuple[float, list[int]]]:
-    """beam_sets() over n candidates; fill has them all extend the partial sets."""
+    """beam_sets() over n candidates; fill has them all extend the partial sets.
+
+    With many ties, all sets that the last step keeps may be alike. It is repeated for those apart from the results so far, until there are
+    enough or no others.
+    """
     k = min(k, n)
     if not k:
         return []
     members, seen, score = np.zeros((1, 0), dtype=np.int64), np.zeros((1, len(weights)), dtype=bool), np.zeros(1)
-    for _ in range(k):
+    for _ in range(k - 1):
         found = fill(Extensions(members, seen, score, weights, width))
         members, seen, score = found.sets, found.seen_by(), found.value
     out: list[tuple[float, list[int]]] = []
-    for value, row in zip(score, members, strict=True):
-        if all(len(set(row) & set(x)) <= k - 2 for _, x in out):
-            out.append((float(value) * Extensions.UNIT, row.tolist()))
-            if len(out) == diverse:
-                break
+    while len(out) < diverse:
+        found = fill(Extensions(members, seen, score, weights, width, [x for _, x in out]))
+        for value, row in zip(found.value, found.sets, strict=True):
+            if all(len(set(row) & set(x)) <= k - 2 for _, x in out):
+                out.append((float(value) * Extensions.UNIT, row.tolist()))
+                if len(out) == diverse:
+                    break
+        if len(found.value) < width:
+            break
     return out
 
 
@@ -165,8 +184,8 @@ def beam_sets(labels: np.ndarray, weights: np.ndarray, quality: np.ndarray, ids:
     """Sets of k candidates by weight of the labels covered and quality, the best first, found by a beam of partial sets.
 
     labels: candidates x labels, of 0 and 1. A label counts once a set. Every step keeps exactly the width best distinct sets. Results after
-    the first share k - 2 members at most with each one before. Ties go to the smaller ids. The number of candidates has a bound, as a step
-    scores width x candidates; beam_sets_over() has none.
+    the first share k - 2 members at most with each one before, and are the best such extensions of the last partial sets. Ties go to the
+    smaller ids. The number of candidates has a bound, as a step scores width x candidates; beam_sets_over() has none.
     """
     if len(ids) > 20_000:
         raise ValueError("a beam search on the driver takes 20,000 candidates at most")
@@ -200,7 +219,7 @@ def beam_sets_over(pool: DataFrame, n: int, weights: np.ndarray, k: int, width:
 
         found = pool.mapInArrow(extend, "value double, parent long, new long, bits binary").toArrow()
         for b in found.to_batches():
-            bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
+            bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), dtype=np.uint8).reshape(b.num_rows, step.bits.shape[1])
             step.offer(b.column("value").to_numpy(), b.column("parent").to_numpy(), b.column("new").to_numpy(), bits)
         return step.settle()
 

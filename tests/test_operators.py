@@ -155,6 +155,22 @@ def test_beam_set_of_many_candidates(spark, many_reviews, monkeypatch):
     assert len({r.review_id for r in rows}) == 6 and [r.set_score for r in rows] == pytest.approx([sum(x**-0.5 for x in n) - 0.6] * 6, abs=2e-6)
 
 
+def test_beam_sets_apart_under_ties():
+    """Where all sets of the last step are alike, the results are still as many and as different as asked for."""
+    import numpy as np
+
+    none = np.zeros((40, 0)), np.zeros(0), np.zeros(40)
+    assert [x for _, x in beam_sets(*none, list(range(1, 41)), 3, 10, 5)] == [[1, 2, 3], [1, 4, 5], [1, 6, 7], [1, 8, 9], [1, 10, 11]]
+    assert [x for _, x in beam_sets(none[0][:4], none[1], none[2][:4], [1, 2, 3, 4], 3, 10, 5)] == [[1, 2, 3]]  # there is no other
+
+
+def test_beam_set_invariants_of_many_candidates(spark, many_reviews, monkeypatch):
+    """With 21,000 candidates, most of them tied, the invariants are those of the SQL."""
+    monkeypatch.setattr(partitions, "WIDTH", 300)
+    (got,) = partitions.w09_invariants(spark, many_reviews).collect()
+    assert got.asDict() == {"n_sets": 5, "least_members": 6, "most_members": 6, "is_sorted": True, "n_too_alike": 0}
+
+
 @pytest.mark.parametrize("n", [6, 9])
 def test_exhaustive_partition(n):
     import itertools

@@ -86,6 +86,10 @@ class Extensions:
         self.width, self.apart, self.most = width, apart, members.shape[1] - 1
         free = self.is_apart(members)
         members, seen, score = members[free], seen[free], score[free]
+        # Partial sets of the same labels follow each other, so that what a chunk of them can gain is known closely.
+        first: dict[bytes, int] = {}
+        order = np.argsort(np.array([first.setdefault(x.tobytes(), i) for i, x in enumerate(seen)], dtype=np.int64), kind="stable")
+        members, seen, score = members[order], seen[order], score[order]
         self.members, self.seen, self.score = members, seen, score
         self.weights = np.round(weights / self.UNIT)
         self.sets, self.value = np.zeros((0, members.shape[1] + 1), dtype=np.int64), np.zeros(0)
@@ -108,17 +112,20 @@ class Extensions:
         quality, bits = np.round(quality / self.UNIT), np.packbits(labels.astype(bool), axis=1)
         left = np.column_stack([~self.seen * self.weights, self.score, np.ones(len(self.score))])
         right = np.column_stack([labels, np.ones(len(ids)), quality]).astype(float).T
-        most = (labels @ self.weights + quality).max()
         step = max(1, self.CHUNK // len(ids))
         for i in range(0, len(self.members), step):
-            if self.score[i] + most < self.least:  # scores fall, and no gain exceeds that of an empty set
-                break
-            value = left[i : i + step] @ right
+            part = slice(i, i + step)
+            # No set of the chunk gains more by a candidate than its labels weigh that not all of them have.
+            bound = labels @ (self.weights * ~self.seen[part].all(axis=0)) + quality + self.score[part].max()
+            near = np.flatnonzero((bound > self.least) | ((bound == self.least) & (ids <= self.last[part].max())))
+            if not len(near):
+                continue
+            value = left[part] @ right[:, near]
             fits = value > self.least
-            fits |= (value == self.least) & (ids <= self.last[i : i + step, None])
+            fits |= (value == self.least) & (ids[near] <= self.last[part, None])
             parent, new = np.nonzero(fits)
             if len(parent):
-                self.offer(value[parent, new], parent + i, ids[new], bits[new])
+                self.offer(value[parent, new], parent + i, ids[near[new]], bits[near[new]])
 
     def offer(self, value: np.ndarray, parent: np.ndarray, new: np.ndarray, bits: np.ndarray) -> None:
         """Take in partial sets by their place, each with a candidate more: its id and its labels in bits."""
